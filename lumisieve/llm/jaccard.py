@@ -36,6 +36,8 @@ SKETCH_BITS = 18
 SLICES = 64
 #: Sizes above this share one histogram bin; the boundary is always below.
 TOP_SIZE = 512
+#: Cells of the filter of documents to verify; a wrong hit costs time only, as an exact join follows.
+FILTER_BITS = 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     if len(few):
         extra = np.array([int(T.mix(np.array([hash_sequence(words[bounds[i] : bounds[i + 1]])], T.U))[0]) for i in few], T.U)
         doc, hashes = np.concatenate([doc, few]), np.concatenate([hashes, extra])
-    order = np.lexsort((hashes, doc))
+    order = T.order_by_owner(doc, hashes)
     doc, hashes = doc[order], hashes[order]
     keep = np.ones(len(doc), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
@@ -64,19 +66,22 @@ def hash_sequence(words: np.ndarray) -> int:
     return total
 
 
-def _first_pass(width: int, bits: int):
+def _sketch_cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return T.mix(h ^ T.U(bits)) >> T.U(64 - bits)
+
+
+def _sketches(width: int, bits: int):
     def run(batches):
         sketch = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(1)):
-                h, b = shingle_sets(data, offs, width)
-                sketch += np.bincount(T.mix(h ^ T.U(bits)) >> T.U(64 - bits), minlength=1 << bits)
-                one, two = T.sums(T.mix(h + T.U(1)), b), T.sums(T.mix(h + T.U(2)), b)
-                n = np.diff(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], ["doc_id", "n", "f1", "f2", "slice", "counts"])
+            for _, _, data, offs in T.pieces(batch.column(0)):
+                data = T.LOWER[data]
+                starts, ends, bounds = T.spans(data, offs, T.NOT_SPACE)
+                _, h = T.windows(T.span_hashes(data, starts, ends), bounds, width)
+                sketch += np.bincount(_sketch_cell(h, bits), minlength=1 << bits)
         if sketch.any():
             parts = [x.astype("<i8").tobytes() for x in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 1 + [pa.nulls(SLICES, pa.int64())] * 3 + [pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     return run
 
@@ -86,6 +91,18 @@ def _add_slices(table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def expected_list(cells: np.ndarray) -> float:
+    """Expected length of an inverted list of a prefix shingle, from a sketch's second moment.
+
+    Cells far above the median hold frequent shingles, which come last in the common order
+    and so hardly ever in prefixes; they are left out.
+    """
+    middle = np.median(cells)
+    cells = cells[cells <= middle + 6 * np.sqrt(middle) + 6]
+    total = cells.sum()
+    return max(1.0, ((cells * cells).sum() - total * total / len(cells)) / total) if total else 1.0
+
+
 def boundary(sizes: dict[int, int], expected_list: float) -> int:
     """The set size below which subsets are cheaper than lists."""
     best, at, cost = None, 0, sum(n * (s - need(s) + 1) * expected_list for s, n in sizes.items())
@@ -102,41 +119,93 @@ def need(size: int) -> int:
     return (4 * size + 4) // 5
 
 
-def _postings(width: int, bits: int, counts: bytes, edge: int):
+def _binary(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(hashes).view(np.uint8))]).cast(pa.binary())
+
+
+def _prefixes(width: int, bits: int, counts: bytes):
+    """Size and fingerprint of each document's set, and its prefix, rare first."""
+
     def run(batches):
         sketch = np.frombuffer(counts, "<i8")
         for batch in batches:
             for lo, hi, data, offs in T.pieces(batch.column(1)):
                 h, b = shingle_sets(data, offs, width)
-                rank = sketch[T.mix(h ^ T.U(bits)) >> T.U(64 - bits)]
-                own = T.owners(b)
-                order = np.lexsort((h, rank, own))
-                h = h[order]
-                size = np.diff(b)
-                place = np.arange(len(h)) - b[own]
-                spare = size - (4 * size + 4) // 5
-                s, p = size[own], spare[own]
-                ids = np.asarray(batch.column(0).slice(lo, hi - lo))
-                single = (place < p + 1) & (5 * s >= 4 * edge) & (s > 1)
-                keys, docs = [h[single]], [own[single]]
-                pair = np.flatnonzero((s < edge) & (s > 1) & (place < p + 2))
-                for gap in range(1, int((spare[size < edge] + 2).max(initial=0))):
-                    a = pair[(place[pair] + gap < np.minimum(p[pair] + 2, s[pair]))]
-                    keys.append(T.mix(h[a] * T.U(3) ^ h[a + gap] * T.U(0x9E3779B97F4A7C15)))
-                    docs.append(own[a])
-                key, doc = np.concatenate(keys), np.concatenate(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(size[doc].astype(np.int32))], ["key", "node", "n"])
+                one, two = T.sums(T.mix(h + T.U(1)), b), T.sums(T.mix(h + T.U(2)), b)
+                size, own = np.diff(b), T.owners(b)
+                rare = np.minimum(sketch[_sketch_cell(h, bits)], (1 << 24) - 1).astype(T.U)
+                h = h[T.order_by_owner(own, (rare << T.U(40)) | (h >> T.U(24)), stable=True)]
+                kept = np.minimum(size, size - (4 * size + 4) // 5 + 2)
+                prefix = h[np.arange(len(h)) - b[own] < kept[own]]
+                at = np.zeros(len(size) + 1, np.int64)
+                np.cumsum(kept, out=at[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(prefix, at)], ["doc_id", "n", "f1", "f2", "prefix"])
+
+    return run
+
+
+def _postings(edge: int):
+    """Buckets of sets of (id, n, prefix): single shingles of large sets, 2-subsets of small ones."""
+
+    def run(batches):
+        for batch in batches:
+            ids, size = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            raw, at = _bytes(batch.column(2))
+            h, b = raw.view(T.U), at // 8
+            own = T.owners(b)
+            place, kept = np.arange(len(h)) - b[own], np.diff(b)
+            s, spare = size[own], (size - (4 * size + 4) // 5)[own]
+            single = (place < spare + 1) & (5 * s >= 4 * edge) & (s > 1)
+            keys, docs = [h[single]], [own[single]]
+            pair = np.flatnonzero((s < edge) & (s > 1))
+            for gap in range(1, int(kept[size < edge].max(initial=0))):
+                a = pair[place[pair] + gap < kept[own[pair]]]
+                keys.append(T.mix(h[a] * T.U(3) ^ h[a + gap] * T.U(0x9E3779B97F4A7C15)))
+                docs.append(own[a])
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(size[doc].astype(np.int32))], ["key", "node", "n"])
 
     return run
 
 
-def _sets(width: int):
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw[at[0] : at[-1]]), at - at[0]
+
+
+def cell(ids: np.ndarray) -> np.ndarray:
+    return T.mix(ids.astype(np.int64).view(T.U)) & T.U((1 << FILTER_BITS) - 1)
+
+
+def _cells(batches):
+    """The cells of a filter that ids fall into, as slices of a bit map."""
+    have = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        have[cell(np.asarray(batch.column(0)))] = True
+    parts = np.split(np.packbits(have, bitorder="little"), SLICES)
+    some = [i for i, x in enumerate(parts) if x.any()]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["slice", "bits"])
+
+
+def _or_slices(table: pa.Table) -> pa.Table:
+    every = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+    return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([every.tobytes()], pa.binary())})
+
+
+def _sets(width: int, wanted: bytes):
+    """Sets of the documents whose cell is wanted."""
+
     def run(batches):
+        bits = np.frombuffer(wanted, np.uint8)
         for batch in batches:
+            c = cell(np.asarray(batch.column(0)))
+            batch = batch.filter(pa.array((bits[c >> T.U(3)] >> (c & T.U(7)).astype(np.uint8)) & 1 == 1))
             for lo, hi, data, offs in T.pieces(batch.column(1)):
                 h, b = shingle_sets(data, offs, width)
-                raw, at = h.view(np.uint8), b * 8
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _binary(h, b)], ["id", "s"])
 
     return run
 
@@ -161,33 +230,33 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = scratch.table(docs.mapInArrow(_first_pass(width, sketch_bits), "doc_id long, n long, f1 long, f2 long, slice int, counts binary"))
-    rows = first.where("slice is null")
-    slices = first.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
+    slices = docs.select("text").mapInArrow(_sketches(width, sketch_bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     counts = b"".join(bytes(r.counts) for r in sorted(slices, key=lambda r: r.slice)) or bytes(8 << sketch_bits)
-    classes = scratch.table(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id")))
+    rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary"))
+    same = ["n", "f1", "f2"]
+    classes = scratch.table(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     sizes = {r.s: r.c for r in classes.groupBy(F.least("n", F.lit(TOP_SIZE)).alias("s")).agg(F.count("*").alias("c")).collect()}
-    c = np.frombuffer(counts, "<i8").astype(float)
-    total = c.sum()
-    second = max(total, (c * c).sum() - total * total / len(c)) if total else 0.0
-    edge = boundary(sizes, second / total if total else 1.0)
-    unique = docs.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    postings = unique.mapInArrow(_postings(width, sketch_bits, counts, edge), "key long, node long, n int")
+    edge = boundary(sizes, expected_list(np.frombuffer(counts, "<i8").astype(float)))
+    unique = rows.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "prefix")
+    postings = unique.mapInArrow(_postings(edge), "key long, node long, n int")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.table(pairs)
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = scratch.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, s binary"))
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+        wanted = bytearray(1 << FILTER_BITS - 3)
+        part = len(wanted) // SLICES
+        for r in ends.mapInArrow(_cells, "slice int, bits binary").groupBy("slice").applyInArrow(_or_slices, "slice int, bits binary").collect():
+            wanted[r.slice * part : (r.slice + 1) * part] = r.bits
+        sets = docs.mapInArrow(_sets(width, bytes(wanted)), "id long, s binary")
+        sets = scratch.table(sets.join(ends.distinct(), "id", "left_semi"))
         full = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-        out = scratch.table(full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").distinct())
-        scratch.drop(sets)
-        return out
+        return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").distinct()
 
     def near(a: str, b: str):
         return (F.col(f"{a}.n") * 5 >= F.col(f"{b}.n") * 4) & (F.col(f"{b}.n") * 5 >= F.col(f"{a}.n") * 4)
 
     comp = connect(postings, near, verify, scratch)
-    member = rows.join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "class_id")
+    member = rows.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "class_id")
     return member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

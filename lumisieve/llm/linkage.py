@@ -4,10 +4,11 @@ Two nodes may be linked only if they share a bucket.  A group of m near copies
 shares buckets m wide, and comparing all pairs in it would cost m*m; but once a
 member is known to be connected, comparing it again is idle.  So:
 
-1. each bucket compares its members with one pivot only (m comparisons), links
-   are verified, and connected components are found;
-2. this is repeated with other pivots, among members whose component differs
-   from the pivot's, until a round finds no link;
+1. buckets of at most SMALL members compare all pairs; larger ones compare their
+   members with one pivot (m comparisons); links are verified, and connected
+   components are found;
+2. buckets that still hold several components do this again with other pivots,
+   until a round finds no link;
 3. what is left - pairs in one bucket and in two components - is compared in
    full.
 
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
 Verify = Callable[[DataFrame], DataFrame]
+#: Members of a bucket whose pairs are all compared at once.
+SMALL = 6
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -34,54 +37,64 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     grow with the logarithm of the component's size.  Stars are joined to minima that are
     aggregated before the shuffle, so a hub's rows stay splittable.
     """
-    now = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
+    now, held, mark = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), None, None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = scratch.table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
-        after = scratch.table(small)
-        scratch.drop(now), scratch.drop(large)
-        now = after
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(row) == mark:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b"))))
+        small = large.join(low, "u").select(ends.alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
+        seen = Observation()
+        after = scratch.table(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)).alias("h")))
+        scratch.drop(held)
+        now = held = after
+        was, mark = mark, (seen.get["n"], seen.get["h"])
+        if was == mark:
             break
-        mark = tuple(row)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def connect(postings: DataFrame, near: Callable[[str, str], F.Column], verify: Verify, scratch: Scratch, rounds: int = 6) -> DataFrame:
+def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 6) -> DataFrame:
     """(node, comp) of all nodes that have a verified link.
 
     postings: ``key`` and ``node`` (long), and columns that ``near(a, b)``, a cheap necessary
     condition on two structs, reads.  verify: pairs (u, v) to those that hold.
     """
     rest = [c for c in postings.columns if c != "key"]
-    many = scratch.table(postings.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1").select("key", F.struct(*rest).alias("x"), F.col("x.node").alias("node")))
-    label: DataFrame | None = None
+    wide = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    many = scratch.table(postings.withColumn("m", wide).where("m > 1").select("key", "m", F.struct(*rest).alias("x"), F.col("node").alias("comp")))
     edges: DataFrame | None = None
-    left = many.select("key", "x", F.col("node").alias("comp"))
-    for turn in range(rounds):
-        pivot = left.groupBy("key").agg(F.min_by(F.struct("x", "comp"), F.xxhash64(F.col("comp"), F.lit(turn)) if turn else F.col("comp")).alias("p"))
-        pairs = left.join(pivot, "key").where("comp <> p.comp").where(near("x", "p.x")).select(F.least("x.node", "p.x.node").alias("u"), F.greatest("x.node", "p.x.node").alias("v")).distinct()
-        found = scratch.table(verify(pairs))
+    label: DataFrame | None = None
+    left, turn, fresh = many, 0, True
+    pair = lambda a, b: [F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")]
+    crossed = lambda t: t.alias("s").join(t.select("key", F.col("x").alias("y"), F.col("comp").alias("other")), "key").where("comp < other").where(near("x", "y")).select(*pair("x", "y"))
+    while not left.isEmpty():
+        last = turn > 0 and not fresh or turn >= rounds
+        if last:
+            pairs = crossed(left)
+        else:
+            by = F.xxhash64(F.col("x.node"), F.lit(turn))
+            pivot = left.where(F.col("m") > SMALL).groupBy("key").agg(F.min_by(F.struct("x", "comp"), by).alias("p"))
+            pairs = left.join(pivot, "key").where("comp <> p.comp").where(near("x", "p.x")).select(*pair("x", "p.x"))
+            if not turn:
+                pairs = pairs.union(crossed(left.where(F.col("m") <= SMALL)))
+        found = scratch.table(verify(pairs.distinct()))
         fresh = not found.isEmpty()
         if fresh:
             edges = found if edges is None else edges.union(found)
             scratch.drop(label)
             label = scratch.table(components(edges, scratch))
-            left = scratch.table(many.join(label, "node", "left").select("key", "x", F.coalesce("comp", "node").alias("comp")))
-        if not fresh:
+        if last:
             break
-    a, b = left.select("key", F.col("x").alias("xa"), F.col("comp").alias("ca")), left.select("key", F.col("x").alias("xb"), F.col("comp").alias("cb"))
-    open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    pairs = a.join(open_keys, "key", "left_semi").join(b, "key").where("ca < cb").where(near("xa", "xb")).select(F.least("xa.node", "xb.node").alias("u"), F.greatest("xa.node", "xb.node").alias("v")).distinct()
-    found = scratch.table(verify(pairs))
-    if not found.isEmpty():
-        edges = found if edges is None else edges.union(found)
-        label = scratch.table(components(edges, scratch))
+        # small buckets are settled by the first turn
+        big = many.where(F.col("m") > SMALL)
+        named = big.drop("comp").withColumn("node", F.col("x.node")).join(label, "node", "left").select("key", "m", "x", F.coalesce("comp", "node").alias("comp")) if label is not None else big
+        several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        after = scratch.table(named.join(several, "key", "left_semi"))
+        if turn:
+            scratch.drop(left)
+        left, turn = after, turn + 1
     if label is None:
-        label = scratch.table(left.select(F.col("x.node").alias("node"), F.col("comp")).where("false"))
+        label = many.select(F.col("comp").alias("node"), "comp").where("false")
     return label

@@ -9,11 +9,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; documents can be long, and a batch is held whole by a worker.
 BATCH_ROWS = 1000
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumisieve-code-")) / "lumisieve.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small; a smaller setting of the session stays."""
+    """Makes workers ready: ships the package, and keeps Arrow batches of whole texts small (a smaller setting stays)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     have = int(spark.conf.get(key, "10000"))
     if have <= 0 or have > BATCH_ROWS:

@@ -187,3 +187,10 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.result_type(values.dtype, np.int64) if values.dtype.kind in "bi" else values.dtype)
     np.cumsum(values, axis=0, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def order_by_owner(owner: np.ndarray, key: np.ndarray, stable: bool = False) -> np.ndarray:
+    """Order by owner, then key; a radix sort puts owners together last."""
+    first = np.argsort(key, kind="stable" if stable else None)
+    small = owner.astype(np.uint16) if not len(owner) or owner.max() < 1 << 16 else owner
+    return first[np.argsort(small[first], kind="stable")]
