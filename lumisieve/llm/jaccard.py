@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as T
+from .idfilter import bitmap, maybe
 from .linkage import connect
 from .scratch import Scratch, bounded_batches
 
@@ -36,8 +37,6 @@ SKETCH_BITS = 18
 SLICES = 64
 #: Sizes above this share one histogram bin; the boundary is always below.
 TOP_SIZE = 512
-#: Cells of the filter of documents to verify; a wrong hit costs time only, as an exact join follows.
-FILTER_BITS = 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -176,33 +175,12 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[at[0] : at[-1]]), at - at[0]
 
 
-def cell(ids: np.ndarray) -> np.ndarray:
-    return T.mix(ids.astype(np.int64).view(T.U)) & T.U((1 << FILTER_BITS) - 1)
-
-
-def _cells(batches):
-    """The cells of a filter that ids fall into, as slices of a bit map."""
-    have = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        have[cell(np.asarray(batch.column(0)))] = True
-    parts = np.split(np.packbits(have, bitorder="little"), SLICES)
-    some = [i for i, x in enumerate(parts) if x.any()]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["slice", "bits"])
-
-
-def _or_slices(table: pa.Table) -> pa.Table:
-    every = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
-    return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([every.tobytes()], pa.binary())})
-
-
 def _sets(width: int, wanted: bytes):
     """Sets of the documents whose cell is wanted."""
 
     def run(batches):
-        bits = np.frombuffer(wanted, np.uint8)
         for batch in batches:
-            c = cell(np.asarray(batch.column(0)))
-            batch = batch.filter(pa.array((bits[c >> T.U(3)] >> (c & T.U(7)).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(maybe(wanted, np.asarray(batch.column(0)))))
             for lo, hi, data, offs in T.pieces(batch.column(1)):
                 h, b = shingle_sets(data, offs, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _binary(h, b)], ["id", "s"])
@@ -229,7 +207,7 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     slices = docs.select("text").mapInArrow(_sketches(width, sketch_bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     counts = b"".join(bytes(r.counts) for r in sorted(slices, key=lambda r: r.slice)) or bytes(8 << sketch_bits)
     rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary"))
@@ -243,11 +221,7 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.table(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-        wanted = bytearray(1 << FILTER_BITS - 3)
-        part = len(wanted) // SLICES
-        for r in ends.mapInArrow(_cells, "slice int, bits binary").groupBy("slice").applyInArrow(_or_slices, "slice int, bits binary").collect():
-            wanted[r.slice * part : (r.slice + 1) * part] = r.bits
-        sets = docs.mapInArrow(_sets(width, bytes(wanted)), "id long, s binary")
+        sets = docs.mapInArrow(_sets(width, bitmap(ends)), "id long, s binary")
         sets = scratch.table(sets.join(ends.distinct(), "id", "left_semi"))
         full = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
         return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").distinct()

@@ -55,7 +55,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 6) -> DataFrame:
+def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 4) -> DataFrame:
     """(node, comp) of all nodes that have a verified link.
 
     postings: ``key`` and ``node`` (long), and columns that ``near(a, b)``, a cheap necessary
