@@ -158,26 +158,29 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> dict[int, tuple[np.ndarray, np.n
         {g: (np.array([r[f"d{i}"] for i in range(P)]), _floored(np.diag([(1.4826 * spread[g][f"s{i}"]) ** 2 for i in range(P)]))) for g, r in middle.items()},
         {g: (m, _floored(c)) for g, (n, m, c) in moments.items()},
     ]
+    # both starts take their steps in the same two aggregations; a start has groups of its own
+    name = {(r.g, s): r[f"k{s}"] for r in spark.createDataFrame([[int(g)] for g in moments], "g long").select("g", *(F.xxhash64("g", F.lit(s)).alias(f"k{s}") for s in range(2))).collect() for s in range(2)} if moments else {}
+    group = {k: g for (g, _), k in name.items()}
+    both = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("g", F.xxhash64("g", "s")).drop("s")
+    live = {name[g, s]: fit for s, fits in enumerate(starts) for g, fit in fits.items()}
     best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
-    for fits in starts:
-        live, last = dict(fits), {}
-        for _ in range(steps):
-            if not live:
-                break
-            near = rows.join(_frame(spark, live), "g").withColumn("d", _distance())
-            cut = {r.g: r.h for r in near.groupBy("g").agg(half("d", 0.5, 10000).alias("h")).collect()}
-            limit = spark.createDataFrame([[int(g), float(h)] for g, h in cut.items()], "g long, h double")
-            after = _moments(near.join(limit, "g").where("d <= h"))
-            for g, (_, mean, cov) in after.items():
-                cov = _floored(cov)
-                det = float(np.linalg.slogdet(cov)[1])
-                settled = g in last and last[g] - det < 1e-6
-                last[g] = min(det, last.get(g, det))
-                if g not in best or det < best[g][0]:
-                    best[g] = (det, mean, cov)
-                live[g] = (mean, cov)
-                if settled:
-                    del live[g]
+    last: dict[int, float] = {}
+    for _ in range(steps):
+        if not live:
+            break
+        near = both.join(_frame(spark, live), "g").withColumn("d", _distance())
+        cut = {r.g: r.h for r in near.groupBy("g").agg(half("d", 0.5, 10000).alias("h")).collect()}
+        limit = spark.createDataFrame([[int(g), float(h)] for g, h in cut.items()], "g long, h double")
+        for k, (_, mean, cov) in _moments(near.join(limit, "g").where("d <= h")).items():
+            cov = _floored(cov)
+            det = float(np.linalg.slogdet(cov)[1])
+            settled = k in last and last[k] - det < 1e-3
+            last[k] = min(det, last.get(k, det))
+            if group[k] not in best or det < best[group[k]][0]:
+                best[group[k]] = (det, mean, cov)
+            live[k] = (mean, cov)
+            if settled:
+                del live[k]
     # the half's scatter is scaled so that its median distance is the model's
     out = {}
     near = rows.join(_frame(spark, {g: (m, c) for g, (_, m, c) in best.items()}), "g").withColumn("d", _distance())

@@ -7,6 +7,7 @@ a re-read, never a re-computation of all that came before.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -66,6 +67,8 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.where[id(back)] = path
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
         return back
 
     def drop(self, df: DataFrame | None) -> None:
