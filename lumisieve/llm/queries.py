@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, langid, linededup, lmscore, packing, quality, toxicity
+from . import chat, decontaminate, jaccard, langid, linededup, lmscore, packing, quality, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_nb_char_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_fpgrowth_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op10_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
