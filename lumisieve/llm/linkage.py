@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
@@ -28,15 +29,38 @@ from .scratch import Scratch
 Verify = Callable[[DataFrame], DataFrame]
 #: Members of a bucket whose pairs are all compared at once.
 SMALL = 6
+#: Edges that one task groups in memory (16 bytes each); more are grouped by joins.
+EDGES_IN_TASK = 400_000
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the least node of each connected component, for nodes of edges (u, v).
+def _union_find(table: pa.Table) -> pa.Table:
+    above: dict[int, int] = {}
 
+    def top(x: int) -> int:
+        root = x
+        while above.setdefault(root, root) != root:
+            root = above[root]
+        while above[x] != root:
+            above[x], x = root, above[x]
+        return root
+
+    for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist()):
+        a, b = top(u), top(v)
+        above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "comp": pa.array([top(x) for x in nodes], pa.int64())})
+
+
+def components(edges: DataFrame, scratch: Scratch, count: int) -> DataFrame:
+    """(node, comp): the least node of each connected component, for nodes of ``count`` edges (u, v).
+
+    Up to EDGES_IN_TASK edges one task is enough.  Beyond:
     Alternating large-star and small-star (Kiveris et al. 2014) over written tables; rounds
     grow with the logarithm of the component's size.  Stars are joined to minima that are
     aggregated before the shuffle, so a hub's rows stay splittable.
     """
+    if count <= EDGES_IN_TASK:
+        return edges.select("u", "v", F.lit(0).alias("k")).groupBy("k").applyInArrow(_union_find, "node long, comp long")
     now, held, mark = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), None, None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -63,13 +87,13 @@ def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Ver
     """
     rest = [c for c in postings.columns if c != "key"]
     wide = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    many = scratch.table(postings.withColumn("m", wide).where("m > 1").select("key", "m", F.struct(*rest).alias("x"), F.col("node").alias("comp")))
+    many, size = scratch.counted(postings.withColumn("m", wide).where("m > 1").select("key", "m", F.struct(*rest).alias("x"), F.col("node").alias("comp")))
     edges: DataFrame | None = None
     label: DataFrame | None = None
-    left, turn, fresh = many, 0, True
+    left, turn, links, fresh = many, 0, 0, 1
     pair = lambda a, b: [F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")]
     crossed = lambda t: t.alias("s").join(t.select("key", F.col("x").alias("y"), F.col("comp").alias("other")), "key").where("comp < other").where(near("x", "y")).select(*pair("x", "y"))
-    while not left.isEmpty():
+    while size:
         last = turn > 0 and not fresh or turn >= rounds
         if last:
             pairs = crossed(left)
@@ -79,19 +103,19 @@ def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Ver
             pairs = left.join(pivot, "key").where("comp <> p.comp").where(near("x", "p.x")).select(*pair("x", "p.x"))
             if not turn:
                 pairs = pairs.union(crossed(left.where(F.col("m") <= SMALL)))
-        found = scratch.table(verify(pairs.distinct()))
-        fresh = not found.isEmpty()
+        found, fresh = scratch.counted(verify(pairs.distinct()))
         if fresh:
+            links += fresh
             edges = found if edges is None else edges.union(found)
             scratch.drop(label)
-            label = scratch.table(components(edges, scratch))
+            label = scratch.table(components(edges, scratch, links))
         if last:
             break
         # small buckets are settled by the first turn
         big = many.where(F.col("m") > SMALL)
         named = big.drop("comp").withColumn("node", F.col("x.node")).join(label, "node", "left").select("key", "m", "x", F.coalesce("comp", "node").alias("comp")) if label is not None else big
         several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        after = scratch.table(named.join(several, "key", "left_semi"))
+        after, size = scratch.counted(named.join(several, "key", "left_semi"))
         if turn:
             scratch.drop(left)
         left, turn = after, turn + 1

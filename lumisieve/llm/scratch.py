@@ -10,14 +10,13 @@ import atexit
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from ..functions.runtime import batch_rows, ship
 
 #: Rows in one Arrow batch; documents can be long, and a batch is held whole by a worker.
 BATCH_ROWS = 1000
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,27 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to Python workers, once for each Spark context."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lumisieve-code-")) / "lumisieve.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for p in sorted(top.rglob("*.py")):
-            out.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Makes workers ready: ships the package, and keeps Arrow batches of whole texts small (a smaller setting stays)."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    have = int(spark.conf.get(key, "10000"))
-    if have <= 0 or have > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    batch_rows(spark, BATCH_ROWS)
 
 
 class Scratch:
@@ -71,6 +53,12 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
         return back
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The table, and its number of rows, counted while it is written."""
+        seen = Observation()
+        back = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return back, seen.get["n"]
+
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table that nothing needs any more."""
         path = self.where.pop(id(df), None)
