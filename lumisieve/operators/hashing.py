@@ -117,3 +117,21 @@ def describe(mode: str = "variant") -> str:
     """A name for the algorithm, kept with every hash."""
     C.sampler(mode)
     return f"lumisieve-{mode}-f64"
+
+
+def _plane_stats(mode: str):
+    def run(batches):
+        s = C.sampler(mode)
+        for batch in batches:
+            if len(batch):
+                x = (s @ planes(batch.column(1), batch.column(2).to_pylist()) @ s.T).reshape(len(batch), -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.sum(axis=1)), pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], ["image_id", "plane_sum", "plane_min", "plane_max"])
+
+    return run
+
+
+def plane_stats(frames: DataFrame, mode: str = "variant") -> DataFrame:
+    """(image_id, plane_sum, plane_min, plane_max) of the filtered 127 x 127 plane."""
+    C.sampler(mode)
+    ship(frames.sparkSession), batch_rows(frames.sparkSession, FRAMES)
+    return frames.select("image_id", "pixels", "fmt").mapInArrow(_plane_stats(mode), "image_id long, plane_sum double, plane_min double, plane_max double")
