@@ -48,13 +48,46 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A control character stands between words that are encoded together.
+MARK = "\x01"
+#: Words encoded in one text.
+TOGETHER = 4096
+
+
+def word_ids(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after the other, and how many each has.
+
+    Words are encoded many at a time, with a mark of one known id between them; a word that
+    holds the mark, or may hold a special token, is encoded by itself.
+    """
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    whole = words.to_pylist()
+    odd = np.flatnonzero(np.asarray(pa.compute.match_substring_regex(words, r"\x01|<\|"))).tolist() if len(mark) == 1 else list(range(len(whole)))
+    alone = {i: np.array(x.ids, np.uint32) for i, x in zip(odd, tokenizer.encode_batch_fast([whole[i] for i in odd], add_special_tokens=False))}
+    for i in alone:
+        whole[i] = ""
+    gap = f" {MARK} "
+    texts = [gap.join(whole[i : i + TOGETHER]) + gap for i in range(0, len(whole), TOGETHER)] if len(mark) == 1 else []
+    flat = np.concatenate([np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts] or [np.zeros(0, np.uint32)])
+    ends = np.flatnonzero(flat == mark[0]) if len(mark) == 1 else np.zeros(len(whole), np.int64)
+    size = np.diff(np.append(-1, ends)) - 1 if len(mark) == 1 else np.zeros(len(whole), np.int64)
+    flat = flat[flat != mark[0]] if len(mark) == 1 else flat
+    if alone:
+        place = np.repeat((np.cumsum(size) - size)[odd], [len(alone[i]) for i in odd])
+        flat = np.insert(flat, place, np.concatenate([alone[i] for i in odd]))
+        size[odd] = [len(alone[i]) for i in odd]
+    return flat, size
+
+
 class WordIds:
-    """Token ids by word, kept from batch to batch up to a number of words."""
+    """Token ids by word, kept from batch to batch; beyond KEEP words it starts anew."""
 
-    KEEP = 200_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         self.path = path
+        # a tokenizer that lower-cases meets fewer distinct words if A-Z are lower-cased first (special tokens have none)
+        self.lower = _tokenizer(path).normalizer is not None and _tokenizer(path).normalizer.normalize_str("AZ") == "az"
         self.clear()
 
     def clear(self) -> None:
@@ -62,6 +95,8 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after the other, and their offsets."""
+        if self.lower and b"<|" not in data.tobytes():
+            data = T.LOWER[data]
         starts, ends, bounds = T.spans(data, offs, T.NOT_SPACE)
         hashes = T.span_hashes(data, starts, ends)
         keys, first, code = np.unique(hashes, return_index=True, return_inverse=True)
@@ -70,10 +105,7 @@ class WordIds:
         _, known = T.lookup(self.keys, keys)
         new = first[~known]
         if len(new):
-            made = _tokenizer(self.path).encode_batch_fast(T.strings(data, starts[new], ends[new]).to_pylist(), add_special_tokens=False)
-            lists = [x.ids for x in made]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
+            flat, size = word_ids(_tokenizer(self.path), T.strings(data, starts[new], ends[new]))
             at = np.cumsum(size) - size + len(self.ids)
             every = np.concatenate([self.keys, keys[~known]])
             order = np.argsort(every, kind="stable")
@@ -86,9 +118,15 @@ class WordIds:
         return self.ids[np.arange(before[-1]) + np.repeat(at - before[:-1], size)], before[bounds]
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> WordIds:
+    """Kept by a worker from task to task."""
+    return WordIds(path)
+
+
 def _cut(path: str, capacity: int):
     def run(batches):
-        words, copy = WordIds(path), 0
+        words, copy = _words(path), 0
         for batch in batches:
             for lo, hi, data, offs in T.pieces(batch.column(1)):
                 ids, bounds = words.encode(data, offs)
