@@ -64,7 +64,9 @@ def best_paths(nodes: DataFrame, scratch: Scratch, paths: int = 1) -> DataFrame:
     limit = state.count().bit_length() + 1  # a chain of all rows; what is open after it lies on a cycle
     while len(levels) <= limit and not state.where("up is not null").isEmpty():
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("links").alias("far"))
-        state = scratch.table(state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("links") + F.coalesce("far", F.lit(0))).alias("links"), "inner"))
+        # nodes that have reached their root are done; only the others are joined
+        moved = state.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("links") + F.col("far")).alias("links"), "inner")
+        state = scratch.table(moved.union(state.where("up is null")))
         levels.append(state)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("links").desc(), "node"))
     leaves = state.where("not inner and up is null").select("tree", "node", "total", "links").withColumn("rank", rank).where(F.col("rank") <= paths)
