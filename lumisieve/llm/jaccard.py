@@ -247,7 +247,14 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     def near(a: str, b: str):
         return (F.col(f"{a}.n") * 5 >= F.col(f"{b}.n") * 4) & (F.col(f"{b}.n") * 5 >= F.col(f"{a}.n") * 4)
 
-    comp = connect(postings, near, verify, scratch)
+    def enough(shared, a: str, b: str, large):
+        # of a link's 4/9 (|x| + |y|) common shingles, all but those past the shorter-reaching prefix lie in both prefixes
+        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+        past = lambda n: F.floor((4 * n + 4) / 5) - 1
+        needed = F.floor((4 * (x + y) + 8) / 9) - F.greatest(past(x), past(y)) - large
+        return (F.least(x, y) < edge) | (shared >= needed)
+
+    comp = connect(postings, near, verify, scratch, enough=enough)
     member = rows.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "class_id")
     return member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -4,9 +4,9 @@ Two nodes may be linked only if they share a bucket.  A group of m near copies
 shares buckets m wide, and comparing all pairs in it would cost m*m; but once a
 member is known to be connected, comparing it again is idle.  So:
 
-1. buckets of at most SMALL members compare all pairs; larger ones compare their
-   members with one pivot (m comparisons); links are verified, and connected
-   components are found;
+1. buckets of at most SMALL members compare all pairs; of its larger buckets, each
+   node is compared with PIVOTS members only, the least of all its buckets under so
+   many orders; links are verified, and connected components are found;
 2. buckets that still hold several components do this again with other pivots,
    until a round finds no link;
 3. what is left - pairs in one bucket and in two components - is compared in
@@ -29,6 +29,8 @@ from .scratch import Scratch
 Verify = Callable[[DataFrame], DataFrame]
 #: Members of a bucket whose pairs are all compared at once.
 SMALL = 6
+#: Nodes that each node is compared with in a turn.
+PIVOTS = 6
 #: Edges that one task groups in memory (16 bytes each); more are grouped by joins.
 EDGES_IN_TASK = 400_000
 
@@ -79,11 +81,25 @@ def components(edges: DataFrame, scratch: Scratch, count: int) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 4) -> DataFrame:
+def _shared(many: DataFrame, near: Callable[[str, str], Column], enough: Callable[..., Column] | None) -> DataFrame:
+    """Pairs of nodes in small buckets, with enough of them in common."""
+    small = many.where(F.col("m") <= SMALL).select("key", "x")
+    met = small.join(small.select("key", F.col("x").alias("y")), "key").where("x.node < y.node").where(near("x", "y"))
+    if enough is None:
+        return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    each = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first("x").alias("x"), F.first("y").alias("y"))
+    wide = lambda c: many.where(F.col("m") > SMALL).groupBy(F.col("x.node").alias(c)).agg(F.count(F.lit(1)).alias(f"{c}_large"))
+    each = each.join(wide("u"), "u", "left").join(wide("v"), "v", "left")
+    return each.where(enough(F.col("shared"), "x", "y", F.least(F.coalesce("u_large", F.lit(0)), F.coalesce("v_large", F.lit(0))))).select("u", "v")
+
+
+def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 4, enough: Callable[..., Column] | None = None) -> DataFrame:
     """(node, comp) of all nodes that have a verified link.
 
     postings: ``key`` and ``node`` (long), and columns that ``near(a, b)``, a cheap necessary
     condition on two structs, reads.  verify: pairs (u, v) to those that hold.
+    enough(shared, a, b, large): whether so many shared small buckets can be enough for a
+    link of two structs, of which both may share up to ``large`` larger ones as well.
     """
     rest = [c for c in postings.columns if c != "key"]
     wide = F.count(F.lit(1)).over(Window.partitionBy("key"))
@@ -98,11 +114,15 @@ def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Ver
         if last:
             pairs = crossed(left)
         else:
-            by = F.xxhash64(F.col("x.node"), F.lit(turn))
-            pivot = left.where(F.col("m") > SMALL).groupBy("key").agg(F.min_by(F.struct("x", "comp"), by).alias("p"))
-            pairs = left.join(pivot, "key").where("comp <> p.comp").where(near("x", "p.x")).select(*pair("x", "p.x"))
+            by = lambda c, k: F.xxhash64(F.col(c), F.lit(turn * PIVOTS + k))  # noqa: B023, E731
+            large = left.where(F.col("m") > SMALL)
+            pivot = large.groupBy("key").agg(*(F.min_by(F.struct("x", "comp"), by("x.node", k)).alias(f"p{k}") for k in range(PIVOTS)))
+            ok = [(F.col("comp") != F.col(f"p{k}.comp")) & near("x", f"p{k}.x") for k in range(PIVOTS)]
+            best = [F.min_by(F.when(ok[k], F.col(f"p{k}.x.node")), F.when(ok[k], by(f"p{k}.x.node", k))).alias(f"b{k}") for k in range(PIVOTS)]
+            chosen = large.join(pivot, "key").groupBy(F.col("x.node").alias("node")).agg(*best)
+            pairs = chosen.select("node", F.explode(F.array_distinct(F.array(*(f"b{k}" for k in range(PIVOTS))))).alias("b")).where("b is not null").select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))
             if not turn:
-                pairs = pairs.union(crossed(left.where(F.col("m") <= SMALL)))
+                pairs = pairs.union(_shared(left, near, enough))
         found, fresh = scratch.counted(verify(pairs.distinct()))
         if fresh:
             links += fresh
