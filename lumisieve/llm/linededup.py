@@ -149,10 +149,12 @@ def removals(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFra
         text = scratch.table(text.join(ends.distinct(), "node", "left_semi"))
         full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
         most = "cast(greatest(length(a), length(b)) div 5 as int)"
-        near_text = f"abs(length(a) - length(b)) <= {most} and case when levenshtein(a, b, least({most}, 48)) >= 0 then true when {most} <= 48 then false else levenshtein(a, b, {most}) >= 0 end"
+        # a band of width t costs t times the length, and most links are a few edits: bands widen only while undecided
+        steps = "".join(f"when levenshtein(a, b, least({most}, {t})) >= 0 then true when {most} <= {t} then false " for t in (6, 24, 96))
+        near_text = f"abs(length(a) - length(b)) <= {most} and case {steps} else levenshtein(a, b, {most}) >= 0 end"
         return full.where(near_text).select("u", "v")
 
-    comp = connect(postings, near, verify, scratch)
+    comp = connect(postings, near, verify, scratch, rounds=1)  # each turn reads the texts again
     named = nodes.join(comp, "node", "left")
     kept = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("keep"))
     many = named.join(kept, "comp", "left").select("node", F.coalesce("keep", "first").alias("keep"), "first", "last").where("keep <> first or first <> last").select("node", "keep")

@@ -93,7 +93,7 @@ def _shared(many: DataFrame, near: Callable[[str, str], Column], enough: Callabl
     return each.where(enough(F.col("shared"), "x", "y", F.least(F.coalesce("u_large", F.lit(0)), F.coalesce("v_large", F.lit(0))))).select("u", "v")
 
 
-def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 4, enough: Callable[..., Column] | None = None) -> DataFrame:
+def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 2, enough: Callable[..., Column] | None = None) -> DataFrame:
     """(node, comp) of all nodes that have a verified link.
 
     postings: ``key`` and ``node`` (long), and columns that ``near(a, b)``, a cheap necessary
