@@ -36,8 +36,8 @@ SYMBOLS = T.byte_class(list(b"#*$%&|<>"))
 VECTOR = ("word_length", "symbols", "dup_lines", "repeat_words", "upper", "digits")
 MIN_GROUP = 200
 MAX_GROUPS = 50_000
-#: Least spread of each coordinate (after the transforms).
-FLOOR = 0.05
+#: Least spread of each coordinate (after the transforms): one repeated line, or a number in a short text, is no outlier.
+FLOOR = (0.1, 0.05, 0.15, 0.12, 0.05, 0.1)
 #: Tail probability of the cut-off under the normal model.
 TAIL = 1e-6
 STEPS = 8
@@ -143,7 +143,7 @@ def _moments(df: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _floored(cov: np.ndarray) -> np.ndarray:
-    return cov + np.eye(P) * FLOOR**2
+    return cov + np.diag(np.square(FLOOR))
 
 
 def mcd(rows: DataFrame, steps: int = STEPS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
