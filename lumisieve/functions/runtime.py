@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OURS: dict[str, int] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,8 +27,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Keeps Arrow batches to so many rows; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Keeps Arrow batches to so many rows; a smaller setting that is not from here stays."""
+    key, app = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.sparkContext.applicationId
     have = int(spark.conf.get(key, "10000"))
-    if have <= 0 or have > rows:
+    if have == _OURS.get(app) or have <= 0 or have > rows:
         spark.conf.set(key, str(rows))
+        _OURS[app] = rows

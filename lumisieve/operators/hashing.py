@@ -20,6 +20,13 @@ FRAMES = 32
 BYTES = {"luma8": 1, "rgb8": 3, "rgba8": 4}
 
 
+def few(batches):
+    """Batches of at most FRAMES rows, whatever the session sends."""
+    for batch in batches:
+        for at in range(0, len(batch), FRAMES):
+            yield batch.slice(at, FRAMES)
+
+
 def planes(column: pa.Array, fmt: list[str]) -> np.ndarray:
     """Luma planes (n, 512, 512) of raw frames."""
     out = np.empty((len(column), C.SIZE, C.SIZE), np.float64)
@@ -47,9 +54,7 @@ def pack_bits(p: np.ndarray, threshold: np.ndarray) -> np.ndarray:
 
 def _pdqf(mode: str):
     def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in few(batches):
             p = coefficients(planes(batch.column(1), batch.column(2).to_pylist()), mode)
             s = np.partition(p, (127, 128), axis=1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * 256), pa.array(p.ravel()))
@@ -70,9 +75,7 @@ def _hashes(mode: str, ords: tuple[int, ...]):
     steps = [C.dihedral_index(o) for o in ords]
 
     def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in few(batches):
             base = coefficients(planes(batch.column(1), batch.column(2).to_pylist()), mode)
             for o, (src, sign) in zip(ords, steps):
                 p = base[:, src] * sign
@@ -122,7 +125,7 @@ def describe(mode: str = "variant") -> str:
 def _plane_stats(mode: str):
     def run(batches):
         s = C.sampler(mode)
-        for batch in batches:
+        for batch in few(batches):
             if len(batch):
                 x = (s @ planes(batch.column(1), batch.column(2).to_pylist()) @ s.T).reshape(len(batch), -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.sum(axis=1)), pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], ["image_id", "plane_sum", "plane_min", "plane_max"])

@@ -16,7 +16,7 @@ from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS, hamming
 
 #: Needles up to here are broadcast: 64 bytes each.
-BROADCAST_NEEDLES = 100_000
+BROADCAST_NEEDLES = 250_000
 BANDS, BAND_BITS = 16, 16
 
 

@@ -40,7 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str, fmt: str = "luma8") -> DataFrame:
-    return S.synthetic_frames(table(spark, sf_dir, "part").select("p_partkey", "p_size"), fmt)
+    return S.synthetic_frames(_dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), fmt)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that much work hangs on, dealt to a few tasks for each core (a small file is one task otherwise)."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +466,7 @@ def screen_images(spark, sf_dir):
     every = H.hash_frames(images(spark, sf_dir), dihedrals=True).where(F.col("margin") > SAFE)
     hay = texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS).unionByName(every.where("ord = 3").select((F.col("image_id") + 1_000_000_000).alias("hash_id"), *WORDS))
     need = every.select((F.col("image_id") * 8 + F.col("ord")).alias("needle_id"), *WORDS)
-    return Matcher(need).all(hay).select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
+    return Matcher(need).all(_dealt(hay, "hash_id")).select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
 
 
 @query()
