@@ -2,8 +2,8 @@
 
 P(w | context) mixes the maximum-likelihood estimates of orders 1 to N and the uniform
 one.  The weights depend on the bucket of the context's frequency, and are learned by
-expectation-maximisation on deleted documents: a twentieth of the training documents,
-whose own counts are taken from the estimates while the weights are fitted.  Final
+expectation-maximisation on deleted documents: the training documents of every
+twentieth chunk, whose own counts are taken from the estimates while the weights are fitted.  Final
 estimates use the counts of all training documents.
 
 Counts grow with the corpus and are never broadcast.  Documents are dealt to chunks; each
@@ -30,7 +30,7 @@ from . import textvec as T
 from .scratch import Scratch, bounded_batches
 
 ORDER = 2
-#: One training document in so many is deleted for the weights.
+#: The training documents of one chunk in so many are deleted for the weights; there are so many chunks at least.
 DELETED = 20
 #: Upper edges of the buckets of context counts; one more bucket is open.
 EDGES = (0, 1, 2, 4, 8, 16, 64, 256, 4096)
@@ -115,7 +115,7 @@ def _ask(order: int, parts: int):
                 a, b = edge[p], edge[p + 1]
                 if b > a:
                     rows["part"].append(p), rows["chunk"].append(chunk), rows["n"].append(n)
-                    rows["keys"].append(keys[a:b].astype("<u8").tobytes())
+                    rows["keys"].append(_pack_keys(keys[a:b]))
                     rows["counts"].append(_pack(t[a:b], d[a:b]))
         return pa.table({"part": pa.array(rows["part"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "n": pa.array(rows["n"], pa.int32()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
 
@@ -131,6 +131,21 @@ def _pack(*columns: np.ndarray) -> bytes:
     return kind[2:].encode() + zstandard.compress(raw, 1)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, whose upper bytes are mostly zero."""
+    import zstandard
+
+    steps = np.diff(keys, prepend=np.zeros(1, T.U)).astype("<u8")
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack_keys(block: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=T.U)
+
+
 def _unpack(block: bytes, columns: int) -> list[np.ndarray]:
     import zstandard
 
@@ -145,7 +160,7 @@ def _answer(table: pa.Table) -> pa.Table:
     chunk, n, part = (table.column(x).to_pylist() for x in ("chunk", "n", "part"))
     for order in sorted(set(n)):
         at = [i for i, x in enumerate(n) if x == order]
-        keys = [np.frombuffer(table.column("keys")[i].as_py(), "<u8") for i in at]
+        keys = [_unpack_keys(table.column("keys")[i].as_py()) for i in at]
         own = [_unpack(table.column("counts")[i].as_py(), 2) for i in at]
         every, code = np.unique(np.concatenate(keys), return_inverse=True)
         t = np.bincount(code, np.concatenate([x[0] for x in own]), len(every)).astype(np.int64)
@@ -256,11 +271,12 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER) -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark, "lmscore")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    parts = max(1, chunks // 2)
+    chunks = max(DELETED, -(-size // CHUNK_BYTES))
+    parts = max(1, -(-size // CHUNK_BYTES) // 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    rows = rows.withColumn("deleted", F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(DELETED)), F.lit(DELETED)) == 0))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    gone = F.pmod(F.col("chunk"), F.lit(DELETED)) == 0
+    rows = rows.withColumn("deleted", F.col("train") & gone)
     asked = rows.groupBy("chunk").applyInArrow(_ask(order, parts), "part int, chunk long, n int, keys binary, counts binary")
     answers = scratch.table(asked.groupBy("part").applyInArrow(_answer, "chunk long, n int, part int, counts binary"))
     total = kinds = held_total = held_kinds = 0
@@ -268,8 +284,8 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER) -> DataFrame:
         a = np.frombuffer(bytes(r.counts), "<i8").tolist()
         total, kinds, held_total, held_kinds = total + a[0], kinds + a[1], held_total + a[2], held_kinds + a[3]
     mine = answers.where("chunk >= 0")
-    full = rows.groupBy("chunk").cogroup(mine.groupBy("chunk"))
-    held = scratch.table(full.applyInArrow(_held(order, total - held_total, held_kinds), "b int, " + ", ".join(f"p{k} double" for k in range(order + 1)) + ", w long"))
+    some = rows.where(gone).groupBy("chunk").cogroup(mine.where(gone).groupBy("chunk"))
+    held = scratch.table(some.applyInArrow(_held(order, total - held_total, held_kinds), "b int, " + ", ".join(f"p{k} double" for k in range(order + 1)) + ", w long"))
     weights = expectation_maximisation(held, order)
-    scored = full.applyInArrow(_score(order, total, kinds, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = rows.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(order, total, kinds, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
