@@ -25,6 +25,11 @@ SQL: dict[str, str] = {}
 SAFE = 1e-6
 
 
+def _r(x: str, digits: int) -> str:
+    """SQL that rounds and has one zero (a negative zero compares equal but prints otherwise)."""
+    return f"CASE WHEN round({x}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({x}, {digits}) END"
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -138,7 +143,7 @@ def _cells(spark: SparkSession, m, row: str, col: str) -> DataFrame:
     return spark.createDataFrame(cells, f"{row} long, {col} long, v double").select(row, col, F.round("v", 6).alias("v"))
 
 
-@query(f"WITH {_DCT} SELECT k, j, round(v, 6) AS v FROM dct")
+@query(f"WITH {_DCT} SELECT k, j, {_r('v', 6)} AS v FROM dct")
 def dct_matrix(spark, sf_dir):
     return _cells(spark, C.dct_matrix(), "k", "j")
 
@@ -153,7 +158,7 @@ def sample_grid(spark, sf_dir):
     return spark.range(C.COARSE).select(F.col("id").alias("i"), (4 * (F.col("id") + 1)).alias("variant"), F.floor((2 * F.col("id") + 1) * 512 / 254).alias("precise"))
 
 
-@query(f"WITH {_DCT}, {_TENT}, {_projection('tent')} SELECT k, p, round(v, 6) AS v FROM amat")
+@query(f"WITH {_DCT}, {_TENT}, {_projection('tent')} SELECT k, p, {_r('v', 6)} AS v FROM amat")
 def a_matrix(spark, sf_dir):
     return _cells(spark, C.projection(), "k", "p")
 
@@ -206,12 +211,12 @@ def jarosz_precise(spark, sf_dir):
     return _stats(H.plane_stats(images(spark, sf_dir), "precise"))
 
 
-@query(_image() + "SELECT id AS image_id, i, round(v, 4) AS v FROM m")
+@query(_image() + f"SELECT id AS image_id, i, {_r('v', 4)} AS v FROM m")
 def pdqf_image(spark, sf_dir):
     return H.pdqf(images(spark, sf_dir)).select("image_id", F.posexplode("pdqf").alias("i", "v")).select("image_id", "i", F.round("v", 4).alias("v"))
 
 
-@query(_image() + ", r AS (SELECT id, i//16 AS k, sum(v) AS s FROM m GROUP BY ALL) SELECT id AS image_id, k, round(s, 4) AS row_sum FROM r")
+@query(_image() + ", r AS (SELECT id, i//16 AS k, sum(v) AS s FROM m GROUP BY ALL) SELECT id AS image_id, k, " + _r("s", 4) + " AS row_sum FROM r")
 def dct2d(spark, sf_dir):
     rows = H.pdqf(images(spark, sf_dir)).select("image_id", F.posexplode("pdqf").alias("i", "v"))
     return rows.groupBy("image_id", F.floor(F.col("i") / 16).cast("int").alias("k")).agg(F.round(F.sum("v"), 4).alias("row_sum"))
