@@ -7,9 +7,12 @@
    two hashes within 3 bits agree on j; each choice of j blocks is a bucket.  j grows
    with the logarithm of the number of nodes, so buckets stay short; the candidates
    are the same for every j.
-4. Candidates within 3 bits are verified: edit distance of the normalised lines at
-   most a fifth of the longer one.  Connected groups come from :mod:`linkage`.
-5. In each group the first occurrence (least doc_id, then line number) stays; all
+4. An edit of one word can move the SimHash of a line of ordinary length by more than 3
+   bits, so nodes also meet where they agree in one of ``count`` min-hashes over the 8-grams
+   of their bytes; each band joins as many minima as :func:`minima` says.
+5. Candidates whose lengths allow it are verified: edit distance of the normalised lines
+   at most a fifth of the longer one.  Connected groups come from :mod:`linkage`.
+6. In each group the first occurrence (least doc_id, then line number) stays; all
    others go from their documents.
 
 Edge cases: lines without words are never removed and never compared; null text stays
@@ -26,6 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as ST
+from pyspark.sql.window import Window
 
 from . import textvec as T
 from .idfilter import bitmap, maybe
@@ -33,6 +37,10 @@ from .linkage import connect
 from .scratch import Scratch, bounded_batches
 
 RADIUS = 3
+#: Min-hashes over byte n-grams of GRAM bytes, beside SimHash; so many are grouped at once.
+BANDS = 32
+GRAM = 8
+BANDS_AT_ONCE = 8
 _LANES = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.uint8).view("<u8").ravel()
 
 
@@ -91,11 +99,58 @@ def simhash(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _occurrences(batches):
-    for batch in batches:
-        for lo, hi, data, offs in T.pieces(batch.column(1)):
-            own, number, node, sim, *_ = lines(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(number), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64))], ["doc_id", "line", "node", "sim"])
+def minima(text_bytes: int) -> int:
+    """Minima in a band: unlike lines that meet grow with the square of the lines, and fall with each minimum."""
+    return 2 if text_bytes <= 64 << 20 else 3 if text_bytes <= 4 << 30 else 4
+
+
+def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, count: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each normalised line, and a row of ``count`` band keys (32 bits) for it."""
+    n, pad = len(bounds) - 1, GRAM - 1
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    words = np.diff(bounds)
+    line = np.repeat(np.arange(n), words)
+    # blanks in front, one after each word, and the rest of the blanks behind
+    width = np.add.reduceat(sizes, bounds[:-1]) + words + 2 * pad - 1
+    first = np.cumsum(width) - width
+    at = before + np.arange(len(sizes)) + line * (2 * pad - 1) + pad
+    index = np.arange(sizes.sum())
+    flat = np.full(int(width.sum()), 32, np.uint8)
+    flat[index + np.repeat(at - before, sizes)] = data[index + np.repeat(starts - before, sizes)]
+    chars = np.add.reduceat(((flat & 0xC0) != 0x80).astype(np.int64), first) - 2 * pad
+    table, h = T.mix(np.arange(1, 257, dtype=T.U)).astype(np.uint32), np.zeros(len(flat) - pad, np.uint32)
+    for j in range(GRAM):
+        h = h * np.uint32(0x9E3779B1) + table[flat[j : j + len(h)]]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    inside = np.ones(len(flat), bool)
+    for j in range(1, GRAM):
+        inside[first + width - j] = False
+    h, head = (h ^ (h >> np.uint32(13)))[inside[: len(h)]], first - pad * np.arange(n)
+    turn = T.mix(np.arange(1, count * each + 1, dtype=T.U) * T.U(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+    keys = np.empty((n, count), np.uint32)
+    for b in range(count):
+        key = np.zeros(n, T.U)
+        for k in range(each):
+            x = h * turn[b * each + k]
+            x ^= x >> np.uint32(16)
+            key = T.mix(key * T.U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, head).astype(T.U))
+        keys[:, b] = key.astype(np.uint32)
+    return chars, keys
+
+
+def _occurrences(count: int, each: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in T.pieces(batch.column(1)):
+                own, number, node, sim, starts, ends, bounds, data = lines(data, offs)
+                if not len(own):
+                    continue
+                chars, keys = bands(data, starts, ends, bounds, count, each)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * count), pa.array(keys.ravel().view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(number), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int32)), lists], ["doc_id", "line", "node", "sim", "chars", "bands"])
+
+    return run
 
 
 def _texts(wanted: bytes):
@@ -130,17 +185,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def removals(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+def removals(docs: DataFrame, scratch: Scratch, radius: int = RADIUS, count: int = 0) -> DataFrame:
     """(doc_id, lines): numbers of the lines that go from each document that loses some."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    seen = scratch.table(docs.mapInArrow(_occurrences, "doc_id long, line long, node long, sim long"))
-    nodes = scratch.table(seen.groupBy("node", "sim").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")))
+    each = minima(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    seen = scratch.table(docs.mapInArrow(_occurrences(count, each), "doc_id long, line long, node long, sim long, chars int, bands array<int>"))
+    nodes = scratch.table(seen.groupBy("node", "sim", "chars").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"), F.first("bands").alias("bands")))
     masks = layout(nodes.count(), radius)
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks))))
-    postings = nodes.select(keys.alias("key"), "node", "sim")
+    rest = ["node", "sim", "chars"]
+    postings = nodes.select(keys.alias("key"), *rest)
+    # a few bands at a time, and only keys of several nodes are kept: the shuffle's disk is that of one turn
+    shared = Window.partitionBy("key")
+    for lo in range(0, count, BANDS_AT_ONCE):
+        turn = nodes.select(F.posexplode(F.slice("bands", lo + 1, BANDS_AT_ONCE)).alias("at", "band"), *rest)
+        turn = turn.select(F.xxhash64(F.lit("band"), F.col("at") + lo, "band").alias("key"), *rest)
+        postings = postings.union(scratch.table(turn.withColumn("m", F.count(F.lit(1)).over(shared)).where("m > 1").drop("m")))
 
     def near(a: str, b: str):
-        return F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= radius
+        close = F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= radius
+        if count:
+            close = F.lit(True)
+        return close & (5 * F.abs(F.col(f"{a}.chars") - F.col(f"{b}.chars")) <= F.greatest(f"{a}.chars", f"{b}.chars"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.table(pairs)
@@ -183,11 +249,14 @@ def _without(at: int, gone: int, names: list[str]):
     return run
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with lines removed from text, and n_lines (before) and n_removed (long)."""
+def dedup(docs: DataFrame, radius: int = RADIUS, count: int = 0) -> DataFrame:
+    """docs with lines removed from text, and n_lines (before) and n_removed (long).
+
+    count: min-hash bands beside SimHash (BANDS in the query and the pipeline; 0 finds pairs by SimHash alone).
+    """
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "linededup")
-    gone = scratch.table(removals(docs, scratch, radius).withColumnRenamed("doc_id", "_id").withColumnRenamed("lines", "_gone"))
+    gone = scratch.table(removals(docs, scratch, radius, count).withColumnRenamed("doc_id", "_id").withColumnRenamed("lines", "_gone"))
     both = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
     names = docs.columns
     schema = ST.StructType([*docs.schema.fields, ST.StructField("n_lines", ST.LongType()), ST.StructField("n_removed", ST.LongType())])

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count=linededup.BANDS)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,23 @@ def test_line_dedup(case, request, table):
     assert all((n > 0) == (texts[d] != t) for d, (t, n) in got.items())
 
 
+def test_line_dedup_finds_edits_that_move_simhash(small, table):
+    """One character is added to a word, or a tenth of the characters change: nearly all such copies go."""
+    rng = np.random.default_rng(5)
+    lines = sorted({x for t in small.values() for x in (t or "").split("\n") if 20 <= len(x) <= 400})[::12]
+    for share, least in ((0.0, 0.99), (0.1, 0.9)):
+        texts = dict(enumerate(lines))
+        for i, x in enumerate(lines):
+            chars = list(x)
+            for at in rng.choice(len(x), max(1, int(share * len(x))), replace=False) if share else ():
+                chars[at] = "q"
+            texts[10_000 + i] = "".join(chars) if share else x.replace(" ", "q ", 1)
+        got = records(linededup.dedup(table(texts), count=linededup.BANDS), "doc_id", "n_removed")
+        alone = [i for i in range(len(lines)) if not got[i][0]]
+        assert len(alone) > 0.7 * len(lines)
+        assert sum(got[10_000 + i][0] for i in alone) >= least * len(alone)
+
+
 def test_block_layouts_lose_no_pair():
     rng = np.random.default_rng(1)
     for nodes in (10, 10**4, 10**7, 10**9):
