@@ -2,13 +2,16 @@
 
 Model: for each language, log frequencies of words (lower-cased runs of letters), and of
 character n-grams of words (with a boundary mark at both ends), n = 5 to 1.  All training
-documents are counted; the tables keep every entry above a count that is read off the
-histogram of counts, so that they fit a stated number of entries.
+documents are counted, and every count stays: the tables are written, never collected.
 
 A known word scores by its log frequency in each language.  An unseen word backs off to
 its 5-grams; if none of them is known to its 4-grams, and so on.  A document's score is
 the posterior of the best language, from mean log scores of its words.
 
+Words are looked up by joins.  A batch of documents asks once for each of its distinct
+words, so a frequent word costs a batch one row; distinct words that no table knows are
+backed off by joins of their n-grams; answers meet again by batch.
+
 Edge cases: null or empty texts and texts without a letter are ``und`` with score 0;
 letters that no table knows leave all languages equal, and the first in order is taken;
 ties go to the first language in alphabetical order; training rows with null lang are
@@ -17,6 +20,8 @@ left out; with no training rows every text is ``und``; other columns are ignored
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,8 +30,6 @@ from . import textvec as T
 from .scratch import Scratch, bounded_batches
 
 ORDERS = (5, 4, 3, 2, 1)
-#: Most entries (word or n-gram, language) of each table.
-TABLE_ENTRIES = 200_000
 SMOOTH = 0.5
 #: Words that count as independent evidence in a document's posterior.
 EVIDENCE = 20
@@ -89,98 +92,118 @@ def _count_grams(batches):
 
 
 class Model:
-    """Tables of log frequencies: for each level, sorted keys and a row of languages for each."""
-
-    def __init__(self, langs: list[str], entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], totals: dict[int, np.ndarray], kinds: dict[int, int]):
-        self.langs, self.tables = langs, {}
-        for level, (key, lang, n) in entries.items():
-            keys, at = np.unique(key, return_inverse=True)
-            counts = np.zeros((len(keys), len(langs)))
-            np.add.at(counts, (at, lang), n)
-            whole = totals[level] + SMOOTH * kinds[level]
-            self.tables[level] = (keys, np.log((counts + SMOOTH) / whole).astype(np.float32))
-
-    def word_scores(self, hashes: np.ndarray, words) -> np.ndarray:
-        """Log scores of distinct words; words(index) gives those not known as strings."""
-        out = np.zeros((len(hashes), len(self.langs)), np.float32)
-        keys, logs = self.tables[0]
-        at, known = T.lookup(keys, hashes)
-        out[known] = logs[at[known]]
-        open_at = np.flatnonzero(~known)
-        for k in ORDERS:
-            if not len(open_at):
-                break
-            keys, logs = self.tables[k]
-            own, key = word_grams(words(open_at), k)
-            at, found = T.lookup(keys, key)
-            own, at = own[found], at[found]
-            total = np.zeros((len(open_at), len(self.langs)))
-            np.add.at(total, own, logs[at])
-            n = np.bincount(own, minlength=len(open_at))
-            hit = n > 0
-            out[open_at[hit]] = total[hit] / n[hit, None]
-            open_at = open_at[~hit]
-        return out
-
-
-def train(docs: DataFrame, scratch: Scratch, entries: int = TABLE_ENTRIES) -> Model:
+    """Log frequencies: for each level, a table (key, logs) with one value for each language."""
+
+    def __init__(self, langs: list[str], tables: dict[int, DataFrame]):
+        self.langs, self.tables = langs, tables
+
+
+def train(docs: DataFrame, scratch: Scratch) -> Model:
     """A model of docs (text, lang); counts cover all rows."""
     counted = docs.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_count_words, "lang string, word string, n long")
     words = scratch.table(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = scratch.table(words.mapInArrow(_count_grams, "level int, lang string, key long, n long").groupBy("level", "lang", "key").agg(F.sum("n").alias("n")))
     totals = grams.groupBy("level", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     langs = sorted({r.lang for r in totals})
-    # counts above 2**20 share a bin; the least count whose entries fit is the cut
-    cuts = {}
-    for r in sorted(grams.groupBy("level", F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.n):
-        used, _ = cuts.get(r.level, (0, 0))
-        if used >= 0:
-            cuts[r.level] = (used + r.c, r.n) if used + r.c <= entries else (-1, cuts.get(r.level, (0, r.n + 1))[1])
-    keep = F.lit(False)
-    for level, (_, least) in cuts.items():
-        keep = keep | ((F.col("level") == level) & (F.col("n") >= least))
-    table = grams.where(keep).toArrow()
-    level, key, n = (table.column(x).to_numpy() for x in ("level", "key", "n"))
-    lang = np.searchsorted(langs, table.column("lang").to_numpy().astype(str)) if len(table) else np.zeros(0, np.int64)
-    every = (0, *ORDERS)
-    parts = {k: (key[level == k].view(T.U), lang[level == k], n[level == k]) for k in every}
-    total = {k: np.array([sum(r.n for r in totals if r.level == k and r.lang == x) for x in langs], float) for k in every}
-    kinds = {k: max(1, sum(r.kinds for r in totals if r.level == k)) for k in every}
-    return Model(langs, parts, total, kinds)
-
-
-def _predict(shared):
+    tables = {}
+    for level in (0, *ORDERS) if langs else ():
+        total = {r.lang: r.n for r in totals if r.level == level}
+        kinds = max(1, sum(r.kinds for r in totals if r.level == level))
+        logs = [F.log((F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) + SMOOTH) / (total.get(x, 0) + SMOOTH * kinds)).cast("float") for x in langs]
+        tables[level] = scratch.table(grams.where(F.col("level") == level).groupBy("key").agg(F.array(*logs).alias("logs")))
+    return Model(langs, tables)
+
+
+def _ask(batches):
+    """(batch, key, word, docs, ids): each distinct word of a batch with its documents and counts; a row without a word has the documents."""
+    names = ["batch", "key", "word", "docs", "ids"]
+    for batch in batches:
+        for lo, hi, data, offs in T.pieces(batch.column(1)):
+            data, starts, ends, bounds, hashes = _words(data, offs)
+            own = T.owners(bounds)
+            order = T.order_by_owner(own, hashes)
+            h, o = hashes[order], own[order]
+            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.zeros(0, np.int64)
+            first, n = order[head], np.diff(np.append(head, len(h)))
+            by = np.argsort(hashes[first], kind="stable")
+            first, n = first[by], n[by]
+            key = hashes[first]
+            word = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            pairs = np.column_stack([own[first], n]).astype("<i4").tobytes()
+            edge = np.append(word, len(key)) * 8
+            docs = [pairs[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            letters = np.zeros(hi - lo, np.int8)
+            for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
+                # a run of non-ASCII bytes need not hold a letter
+                ascii_letter = bool((data[starts[bounds[i] : bounds[i + 1]]] < 128).any())
+                letters[i] = ascii_letter or has_letter(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
+            name = uuid.uuid4().hex
+            texts = T.strings(data, starts[first[word]], ends[first[word]]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.string()), pa.array(key[word].view(np.int64)), texts, pa.array(docs, pa.binary()), pa.nulls(len(word), pa.list_(pa.int64()))], names)
+            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([letters.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names)
+
+
+def _open_grams(k: int):
     def run(batches):
-        model = shared.value
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(1)):
-                data, starts, ends, bounds, hashes = _words(data, offs)
-                keys, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-                rest = lambda at: T.strings(data, starts[first[at]], ends[first[at]])  # noqa: B023, E731
-                pred, score = [UND] * (hi - lo), np.zeros(hi - lo)
-                if len(model.langs) and len(keys):
-                    scores = model.word_scores(keys, rest)
-                    total = T.sums(scores[code].astype(np.float64), bounds)
-                    n = np.maximum(1, np.diff(bounds))[:, None]
-                    mean = total / n * np.minimum(n, EVIDENCE)
-                    best = mean.argmax(axis=1)
-                    post = np.exp(mean - mean.max(axis=1, keepdims=True))
-                    post = post.max(axis=1) / post.sum(axis=1)
-                    for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
-                        # a run of non-ASCII bytes need not hold a letter
-                        a, b = offs[i], offs[i + 1]
-                        ascii_letter = bool((data[starts[bounds[i] : bounds[i + 1]]] < 128).any())
-                        if ascii_letter or has_letter(data[a:b].tobytes().decode("utf-8", "replace")):
-                            pred[i], score[i] = model.langs[best[i]], post[i]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            own, key = word_grams(batch.column(1), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(key.view(np.int64))], ["word_key", "key"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def word_scores(words: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(key, logs) for distinct words (key, word); words of which nothing is known are left out."""
+    known = words.join(model.tables[0], "key", "left")
+    known = scratch.table(known)
+    out, left = known.where("logs is not null").select("key", "logs"), known.where("logs is null").select("key", "word")
+    for k in ORDERS:
+        each = left.mapInArrow(_open_grams(k), "word_key long, key long").join(model.tables[k], "key")
+        mean = F.array(*(F.avg(F.col("logs")[i]).cast("float") for i in range(len(model.langs))))
+        found = each.groupBy(F.col("word_key").alias("key")).agg(mean.alias("logs"))
+        both = scratch.table(left.join(found, "key", "left"))
+        out, left = out.union(both.where("logs is not null").select("key", "logs")), both.where("logs is null").select("key", "word")
+    return out
+
+
+def _judge(langs: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        key, docs, logs = table.column("key"), table.column("docs").to_pylist(), table.column("logs").to_pylist()
+        meta = int(np.flatnonzero(np.asarray(key.is_null()))[0])
+        ids, letters = table.column("ids")[meta].as_py(), np.frombuffer(docs[meta], np.int8)
+        total, n = np.zeros((len(ids), len(langs))), np.zeros(len(ids), np.int64)
+        rows = sorted((i for i in range(len(docs)) if i != meta), key=key.to_pylist().__getitem__)  # sums in one order always
+        if rows:
+            size = np.array([len(docs[i]) // 8 for i in rows])
+            pairs = np.frombuffer(b"".join(docs[i] for i in rows), "<i4").reshape(-1, 2).astype(np.int64)
+            np.add.at(n, pairs[:, 0], pairs[:, 1])
+            if langs:
+                scores = np.array([logs[i] if logs[i] is not None else [0.0] * len(langs) for i in rows])
+                np.add.at(total, pairs[:, 0], np.repeat(scores, size, axis=0) * pairs[:, 1:])
+        pred, score = [UND] * len(ids), np.zeros(len(ids))
+        if langs:
+            least = np.maximum(1, n)[:, None]
+            mean = total / least * np.minimum(least, EVIDENCE)
+            best = mean.argmax(axis=1)
+            post = np.exp(mean - mean.max(axis=1, keepdims=True))
+            post = post.max(axis=1) / post.sum(axis=1)
+            for i in np.flatnonzero(letters).tolist():
+                pred[i], score[i] = langs[best[i]], post[i]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
+
+    return run
+
+
+def predict(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """doc_id, lang_pred, score for docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    asked = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask, "batch string, key long, word string, docs binary, ids array<long>"))
+    if model.langs:
+        scores = word_scores(asked.where("key is not null").groupBy("key").agg(F.first("word").alias("word")), model, scratch)
+    else:
+        scores = docs.sparkSession.createDataFrame([], "key long, logs array<float>")
+    both = asked.drop("word").join(scores, "key", "left")
+    return both.groupBy("batch").applyInArrow(_judge(model.langs), "doc_id long, lang_pred string, score double")
 
 
 def fold(folds: int) -> Column:
@@ -191,30 +214,22 @@ def fold(folds: int) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from documents of folds 0, 1 and 3 of 4."""
     bounded_batches(docs.sparkSession)
-    model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(False))), Scratch(docs.sparkSession, "langid"))
-    return predict(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    scratch = Scratch(docs.sparkSession, "langid")
+    model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(False))), scratch)
+    return predict(docs, model, scratch).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 #: Documents whose best language has less than this posterior go from the pipeline.
 LEAST_SCORE = 0.5
 
 
-def _keep(shared, at: int):
-    inner = _predict(shared)
-
-    def run(batches):
-        for batch in batches:
-            ids = pa.array(np.arange(len(batch)))
-            got = pa.Table.from_batches(list(inner([pa.RecordBatch.from_arrays([ids, batch.column(at)], ["doc_id", "text"])])))
-            ok = pa.compute.and_(pa.compute.not_equal(got.column("lang_pred"), UND), pa.compute.greater_equal(got.column("score"), LEAST_SCORE))
-            yield batch.filter(ok.combine_chunks())
-
-    return run
-
-
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs whose text has a language: neither ``und`` nor below LEAST_SCORE."""
     bounded_batches(docs.sparkSession)
-    model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(False))), Scratch(docs.sparkSession, "langid"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+    scratch = Scratch(docs.sparkSession, "langid")
+    model = train(docs.where(F.coalesce(fold(4) != 2, F.lit(False))), scratch)
+    # a prediction depends on the text alone
+    mark = F.xxhash64("text")
+    found = predict(docs.select(mark.alias("doc_id"), "text"), model, scratch)
+    good = found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_mark")).distinct()
+    return docs.join(scratch.table(good), mark == F.col("_mark"), "left_semi")

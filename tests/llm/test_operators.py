@@ -177,6 +177,18 @@ def test_language_edge_cases(table, edges):
     assert {r.doc_id for r in langid.keep_known(table(edges)).collect()} == set(edges) - {1, 2, 3, 4}
 
 
+def test_language_tables_keep_every_count(spark, table):
+    """More words than any bound of old, each seen once: the last of them is known, in its own language."""
+    from lumisieve.llm.scratch import Scratch
+
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(" ".join(name(i) for i in range(lo, lo + 1000)), "aa") for lo in range(0, 210_000, 1000)] + [("zzzz " * 3, "bb")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), Scratch(spark, "langid"))
+    assert model.langs == ["aa", "bb"] and model.tables[0].count() == 210_001
+    got = records(langid.predict(table({1: name(5), 2: name(209_999), 3: "zzzz", 4: None}), model, Scratch(spark, "langid")), "doc_id", "lang_pred")
+    assert got == {1: ("aa",), 2: ("aa",), 3: ("bb",), 4: ("und",)}
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(order, table, small, edges, monkeypatch):
     monkeypatch.setattr(lmscore, "CHUNK_BYTES", 60_000)
