@@ -12,7 +12,7 @@ a backslash is put after ``<`` where ``|`` or a backslash follows, which no cont
 string survives and which :func:`read_back` undoes; in roles, line breaks and percent
 signs are percent-coded.  The loss mask covers the texts of assistant turns.
 
-Edge cases: null texts and roles are empty; nodes whose parent is null or missing are
+Edge cases: null texts and roles are empty; a null tree is a tree like any other; nodes whose parent is null or missing are
 roots; of rows with one (tree, node) the least (role, text) stays; rows that lie on a
 cycle have no root and give nothing; an empty table gives no rows; other columns are
 ignored.
@@ -80,12 +80,14 @@ def best_paths(nodes: DataFrame, scratch: Scratch, paths: int = 1) -> DataFrame:
 def format_trees(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """(tree, leaf, formatted): one row for each chosen path."""
     scratch = Scratch(nodes.sparkSession, "chat")
+    # joins never match null: it goes in as a struct of its own
+    nodes = nodes.withColumn("tree", F.struct(F.col("tree").alias("id")))
     chosen = best_paths(nodes, scratch, paths)
     texts = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
     turn = F.concat(F.lit(START), escape_role(F.col("x.role")), F.lit("\n"), escape(F.col("x.text")), F.lit(END + "\n"))
     rows = chosen.join(texts, ["tree", "node"]).select("tree", "leaf", "place", turn.alias("said"))
     every = F.sort_array(F.collect_list(F.struct((-F.col("place")).alias("o"), "said")))
-    return rows.groupBy("tree", "leaf").agg(F.array_join(F.transform(every, lambda x: x["said"]), "").alias("formatted"))
+    return rows.groupBy("tree", "leaf").agg(F.array_join(F.transform(every, lambda x: x["said"]), "").alias("formatted")).select(F.col("tree.id").alias("tree"), "leaf", "formatted")
 
 
 def read_back(formatted: Column) -> Column:

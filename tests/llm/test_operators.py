@@ -275,6 +275,12 @@ def test_chat_trees_and_hard_texts(spark):
     assert chat.format_trees(frame.where("false")).count() == 0
 
 
+def test_chat_of_a_null_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "bc"), (7, 0, "user", "d"), (7, 1, "assistant", "e")]
+    got = records(chat.digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id", "n_turns", "loss_chars")
+    assert got == {None: (2, 2), 7: (2, 1)}
+
+
 def test_toxicity_of_held_out_texts(spark):
     got = queries.op8_nb_char_toxicity(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(got, on="doc_id")
