@@ -237,9 +237,9 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}")).dropDuplicates([x])
         pairs = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "cu", "cv", (F.col("nu") + F.col("nv")).alias("n"))
-        pairs = scratch.table(pairs.mapInArrow(_alike, "u long, v long"))
+        pairs, count = scratch.counted(pairs.mapInArrow(_alike, "u long, v long"))
         ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-        sets = docs.mapInArrow(_sets(width, bitmap(ends)), "id long, s binary")
+        sets = docs.mapInArrow(_sets(width, bitmap(ends, 2 * count)), "id long, s binary")
         sets = scratch.table(sets.join(ends.distinct(), "id", "left_semi"))
         full = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
         return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long").distinct()

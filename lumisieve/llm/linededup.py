@@ -1,46 +1,56 @@
 """Fuzzy line dedup: one occurrence of each group of near-identical lines stays.
 
 1. Lines are normalised to their words (digits, letters, non-ASCII bytes; A-Z
-   lower-cased) with one space between, and get a 64-bit SimHash of their words.
-2. Equal normalised lines are one node, pre-aggregated before the shuffle.
-3. Nodes meet in pigeonhole buckets: the hash is cut into 3 + j blocks, of which any
-   two hashes within 3 bits agree on j; each choice of j blocks is a bucket.  j grows
-   with the logarithm of the number of nodes, so buckets stay short; the candidates
-   are the same for every j.
-4. An edit of one word can move the SimHash of a line of ordinary length by more than 3
-   bits, so nodes also meet where they agree in one of ``count`` min-hashes over the 8-grams
-   of their bytes; each band joins as many minima as :func:`minima` says.
-5. Candidates whose lengths allow it are verified: edit distance of the normalised lines
-   at most a fifth of the longer one.  Connected groups come from :mod:`linkage`.
-6. In each group the first occurrence (least doc_id, then line number) stays; all
-   others go from their documents.
+   lower-cased) with one space between.  Equal normalised lines are one node.
+2. A line's SimHash is made in blocks: each block takes the majority bits of three grams
+   of GRAM bytes that overlap, so an edit reaches the few blocks it stands in and no
+   others.  About BLOCKS of them are kept, those of least hash, whatever the line's length;
+   shorter lines have narrower blocks (WIDTHS), and lengths about an edge have both.  The
+   shortest lines have the hashes of their text less one byte instead.
+3. Pigeonhole: lines meet where one block agrees.  Blocks of one line are dropped before
+   anything else.  In buckets of up to a few lines all pairs meet; in larger ones each
+   line meets some members, and lines that are still apart meet again under other blocks
+   (:func:`linkage.gather`), so no bucket lists its pairs.
+4. Lines that meet are verified: edit distance of the normalised lines at most a fifth of
+   the longer one.
+5. In each connected group the first occurrence (least doc_id, then line number) stays;
+   all others go from their documents.
+
+With a radius given, lines meet by the SimHash of the whole line instead: the pigeonhole
+principle on its 64 bits finds each pair within the radius.
 
 Edge cases: lines without words are never removed and never compared; null text stays
 null, empty text empty; a document whose lines all go gets the empty text; rows with
+a null doc_id are neither compared nor changed; rows with
 the same doc_id count as one document (their lines are numbered alike, and equal lines
 at one number are one occurrence); other columns are ignored by :func:`removals` and
-kept by :func:`dedup`.
+kept by :func:`dedup`, where n_lines and n_removed replace columns of those names.
 """
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as ST
-from pyspark.sql.window import Window
 
 from . import textvec as T
 from .idfilter import bitmap, maybe
-from .linkage import connect
+from .linkage import connect, gather
 from .scratch import Scratch, bounded_batches
 
 RADIUS = 3
-#: Min-hashes over byte n-grams of GRAM bytes, beside SimHash; so many are grouped at once.
-BANDS = 32
+#: Blocks of a line that are kept, about.
+BLOCKS = 16
 GRAM = 8
-BANDS_AT_ONCE = 8
+#: Blanks around a line, so that its ends stand in blocks as well.
+PAD = 4
+#: Bytes between the three grams of a block, and the lengths (least, most) of the lines that have such blocks.
+WIDTHS = ((0, 14, 44), (2, 36, 100), (4, 84, 1 << 62))
+#: Shorter lines are hashed less each byte.
+SHORT = 18
 _LANES = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.uint8).view("<u8").ravel()
 
 
@@ -59,7 +69,7 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def lines(data: np.ndarray, offs: np.ndarray):
-    """For each line with words: document, number, node hash, SimHash; and its words (starts, ends, counts before lines)."""
+    """For each line with words: document, number and node hash; and all words (hashes, starts, ends, counts before lines, lower-cased bytes)."""
     data = T.LOWER[data]
     own, number, ls, _ = line_spans(data, offs)
     starts, ends, _ = T.spans(data, np.append(ls, len(data)), T.ALNUM)
@@ -68,7 +78,7 @@ def lines(data: np.ndarray, offs: np.ndarray):
     full = np.diff(bounds) > 0
     own, number = own[full], number[full]
     bounds = np.append(bounds[:-1][full], len(words))
-    return own, number, sequence_hash(words, bounds), simhash(words, bounds), starts, ends, bounds, data
+    return own, number, sequence_hash(words, bounds), words, starts, ends, bounds, data
 
 
 def sequence_hash(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -99,78 +109,156 @@ def simhash(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def minima(text_bytes: int) -> int:
-    """Minima in a band: unlike lines that meet grow with the square of the lines, and fall with each minimum."""
-    return 2 if text_bytes <= 64 << 20 else 3 if text_bytes <= 4 << 30 else 4
+def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = T.order_by_owner(owner, key)
+    owner, key = owner[order], key[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    return owner[keep], key[keep]
 
 
-def bands(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, count: int, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each normalised line, and a row of ``count`` band keys (32 bits) for it."""
-    n, pad = len(bounds) - 1, GRAM - 1
-    sizes = ends - starts
-    before = np.cumsum(sizes) - sizes
-    words = np.diff(bounds)
-    line = np.repeat(np.arange(n), words)
-    # blanks in front, one after each word, and the rest of the blanks behind
-    width = np.add.reduceat(sizes, bounds[:-1]) + words + 2 * pad - 1
-    first = np.cumsum(width) - width
-    at = before + np.arange(len(sizes)) + line * (2 * pad - 1) + pad
-    index = np.arange(sizes.sum())
-    flat = np.full(int(width.sum()), 32, np.uint8)
-    flat[index + np.repeat(at - before, sizes)] = data[index + np.repeat(starts - before, sizes)]
-    chars = np.add.reduceat(((flat & 0xC0) != 0x80).astype(np.int64), first) - 2 * pad
-    table, h = T.mix(np.arange(1, 257, dtype=T.U)).astype(np.uint32), np.zeros(len(flat) - pad, np.uint32)
+def blocks(flat: np.ndarray, offs: np.ndarray, keep: int = BLOCKS, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the kept SimHash blocks of normalised lines; another turn keeps others."""
+    size, n = np.diff(offs), len(offs) - 1
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, T.U)
+    first = offs[:-1] + 2 * PAD * np.arange(n)  # where a line's leading blanks begin
+    wide = np.full(int(offs[-1]) + 2 * PAD * n, 32, np.uint8)
+    wide[np.arange(len(flat)) + np.repeat(2 * PAD * np.arange(n) + PAD, size)] = flat
+    gram = np.zeros(max(0, len(wide) - GRAM + 1), np.uint64)
     for j in range(GRAM):
-        h = h * np.uint32(0x9E3779B1) + table[flat[j : j + len(h)]]
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    inside = np.ones(len(flat), bool)
-    for j in range(1, GRAM):
-        inside[first + width - j] = False
-    h, head = (h ^ (h >> np.uint32(13)))[inside[: len(h)]], first - pad * np.arange(n)
-    turn = T.mix(np.arange(1, count * each + 1, dtype=T.U) * T.U(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
-    keys = np.empty((n, count), np.uint32)
-    for b in range(count):
-        key = np.zeros(n, T.U)
-        for k in range(each):
-            x = h * turn[b * each + k]
-            x ^= x >> np.uint32(16)
-            key = T.mix(key * T.U(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, head).astype(T.U))
-        keys[:, b] = key.astype(np.uint32)
-    return chars, keys
-
-
-def _occurrences(count: int, each: int):
+        gram |= wide[j : j + len(gram)].astype(T.U) << T.U(8 * j)
+    gram = T.mix(gram)
+    owner, keys = [], []
+    for step, least, most in WIDTHS:
+        pick = np.flatnonzero((size >= least) & (size < most))
+        count = size[pick] + 2 * PAD - GRAM - 2 * step + 1
+        share = (np.minimum(1.0, keep / count) * float(1 << 32)).astype(np.int64)
+        for lo, hi in _runs(pick):
+            # neighbouring lines are taken together; blocks across their ends are left out
+            a, b = first[pick[lo]], first[pick[hi - 1]] + size[pick[hi - 1]] + 2 * PAD
+            g = gram[a : b - GRAM + 1]
+            m = max(0, len(g) - 2 * step)
+            x, y, z = g[:m], g[step : step + m], g[2 * step :][:m]
+            key = T.mix(((x & y) | (x & z) | (y & z)) + T.U(step)) if step else T.mix(x)
+            inside = np.zeros(b - a + 1, np.int64)
+            inside[first[pick[lo:hi]] - a] += share[lo:hi]
+            np.add.at(inside, first[pick[lo:hi]] - a + count[lo:hi], -share[lo:hi])
+            rank = T.mix(key + T.U(2 * turn + 1)) >> T.U(32)
+            at = np.flatnonzero(rank < np.cumsum(inside)[:m].astype(T.U))
+            owner.append(pick[lo + np.searchsorted(first[pick[lo:hi]] - a, at, "right") - 1])
+            keys.append(key[at])
+    return _distinct(np.concatenate(owner), np.concatenate(keys)) if owner else (np.zeros(0, np.int64), np.zeros(0, T.U))
+
+
+def _runs(pick: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of consecutive numbers, as (first, after the last) places; short gaps break them too."""
+    if not len(pick):
+        return []
+    cut = np.flatnonzero(np.diff(pick) > 1) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(pick)]))
+
+
+def less_one(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of short normalised lines, whole and less each one of their bytes."""
+    short = np.flatnonzero(np.diff(offs) < SHORT)
+    if not len(short):
+        return np.zeros(0, np.int64), np.zeros(0, T.U)
+    size = np.diff(offs)[short]
+    at = np.concatenate([[0], np.cumsum(size)])
+    flat = flat[np.arange(at[-1]) + np.repeat(offs[short] - at[:-1], size)]
+    up, down, table = T._powers(len(flat) + 1, False), T._powers(len(flat) + 1, True), T._symbols()
+    total = np.zeros(len(flat) + 1, T.U)
+    np.cumsum(table[flat] * up[: len(flat)], out=total[1:])
+    line, place = T.owners(at), np.arange(len(flat))
+    s, e = at[:-1][line], at[1:][line]
+    less = (total[place] - total[s] + (total[e] - total[place + 1]) * down[1]) * down[s] + (size[line] - 1).astype(T.U)
+    whole = (total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + size.astype(T.U)
+    return _distinct(short[np.concatenate([line, np.arange(len(short))])], T.mix(np.concatenate([less, whole]) ^ T.U(0x5EED11E5)))
+
+
+def flatten(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the picked lines (of one word at least), with one blank between words."""
+    many = np.diff(bounds)[pick]
+    sub = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+    index = np.arange(sub[-1]) + np.repeat(bounds[pick] - sub[:-1], many)
+    starts, sizes = starts[index], ends[index] - starts[index]
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum())
+    at = before + np.arange(len(sizes)) - np.repeat(np.arange(len(pick)), many)
+    flat = np.full(int(sizes.sum() + len(sizes) - len(pick)), 32, np.uint8)
+    flat[place + np.repeat(at - before, sizes)] = data[place + np.repeat(starts - before, sizes)]
+    return flat, np.append(at, len(flat))[sub]
+
+
+def _keys(keep: int, turn: int, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, key = blocks(flat, offs, keep, turn)
+    two, less = less_one(flat, offs) if turn == 0 else (one[:0], key[:0])
+    return np.concatenate([one, two]), np.concatenate([key, less])
+
+
+def _postings(keep: int):
+    """Blocks of each line that a piece has, once."""
+
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(1)):
-                own, number, node, sim, starts, ends, bounds, data = lines(data, offs)
-                if not len(own):
-                    continue
-                chars, keys = bands(data, starts, ends, bounds, count, each)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * count), pa.array(keys.ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(number), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int32)), lists], ["doc_id", "line", "node", "sim", "chars", "bands"])
+            for _, _, data, offs in T.pieces(batch.column(0)):
+                _, _, node, _, starts, ends, bounds, data = lines(data, offs)
+                pick = np.sort(np.unique(node, return_index=True)[1])
+                line, key = _keys(keep, 0, *flatten(data, starts, ends, bounds, pick))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[pick[line]].view(np.int64))], ["key", "node"])
+
+    return run
+
+
+def _other_postings(keep: int, turn: int):
+    """Other blocks of normalised lines."""
+
+    def run(batches):
+        for batch in batches:
+            node = np.asarray(batch.column(0))
+            for lo, _, flat, offs in T.pieces(batch.column(1)):
+                line, key = _keys(keep, turn, flat, offs)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[lo + line])], ["key", "node"])
 
     return run
 
 
 def _texts(wanted: bytes):
-    """Normalised text of lines that may be wanted, each once in a batch."""
+    """Each line with words; and its normalised text, once in a piece, if it may be wanted."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offs in T.pieces(batch.column(0)):
-                _, _, node, _, starts, ends, bounds, data = lines(data, offs)
-                node, first = np.unique(node.view(np.int64), return_index=True)
-                keep = maybe(wanted, node)
-                node, text = node[keep], []
-                for i in first[keep].tolist():
-                    a, b = bounds[i], bounds[i + 1]
-                    text.append(" ".join(T.strings(data, starts[a:b], ends[a:b]).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], ["node", "norm"])
+            for lo, hi, data, offs in T.pieces(batch.column(1)):
+                own, number, node, _, starts, ends, bounds, data = lines(data, offs)
+                if not len(own):
+                    continue
+                first = np.zeros(len(node), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                first &= maybe(wanted, node.view(np.int64))
+                pick = np.flatnonzero(first)
+                flat, at = flatten(data, starts, ends, bounds, pick)
+                some = pa.LargeStringArray.from_buffers(len(pick), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat)).cast(pa.string())
+                place = np.full(len(node), -1)
+                place[pick] = np.arange(len(pick))
+                norm = some.take(pa.array(place, mask=place < 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(number), pa.array(node.view(np.int64)), norm], ["doc_id", "line", "node", "norm"])
 
     return run
 
 
+def _occurrences(batches):
+    """Each line with words, and the SimHash and characters of the whole line."""
+    for batch in batches:
+        for lo, hi, data, offs in T.pieces(batch.column(1)):
+            own, number, node, words, starts, ends, bounds, data = lines(data, offs)
+            if not len(own):
+                continue
+            lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            chars = np.add.reduceat(lead[ends] - lead[starts], bounds[:-1]) + np.diff(bounds) - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(number), pa.array(node.view(np.int64)), pa.array(simhash(words, bounds).view(np.int64)), pa.array(chars.astype(np.int32))], ["doc_id", "line", "node", "sim", "chars"])
+
+
 def layout(nodes: int, radius: int = RADIUS) -> list[int]:
     """Bit masks: each pair within the radius agrees under one of them."""
     j = 1
@@ -185,45 +273,69 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def removals(docs: DataFrame, scratch: Scratch, radius: int = RADIUS, count: int = 0) -> DataFrame:
-    """(doc_id, lines): numbers of the lines that go from each document that loses some."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    each = minima(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    seen = scratch.table(docs.mapInArrow(_occurrences(count, each), "doc_id long, line long, node long, sim long, chars int, bands array<int>"))
-    nodes = scratch.table(seen.groupBy("node", "sim", "chars").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"), F.first("bands").alias("bands")))
-    masks = layout(nodes.count(), radius)
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks))))
-    rest = ["node", "sim", "chars"]
-    postings = nodes.select(keys.alias("key"), *rest)
-    # a few bands at a time, and only keys of several nodes are kept: the shuffle's disk is that of one turn
-    shared = Window.partitionBy("key")
-    for lo in range(0, count, BANDS_AT_ONCE):
-        turn = nodes.select(F.posexplode(F.slice("bands", lo + 1, BANDS_AT_ONCE)).alias("at", "band"), *rest)
-        turn = turn.select(F.xxhash64(F.lit("band"), F.col("at") + lo, "band").alias("key"), *rest)
-        postings = postings.union(scratch.table(turn.withColumn("m", F.count(F.lit(1)).over(shared)).where("m > 1").drop("m")))
+def _alike(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs (u, v) of lines (node, norm) whose edit distance is a fifth of the longer one at most."""
+    full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
+    most = "cast(greatest(length(a), length(b)) div 5 as int)"
+    # a band of width t costs t times the length, and most links are a few edits: bands widen only while undecided
+    steps = "".join(f"when levenshtein(a, b, least({most}, {t})) >= 0 then true when {most} <= {t} then false " for t in (6, 24, 96))
+    return full.where(f"abs(length(a) - length(b)) <= {most} and case {steps} else levenshtein(a, b, {most}) >= 0 end").select("u", "v")
+
+
+def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame, DataFrame | None]:
+    """Lines (doc_id, line, node), and their groups (node, comp) by SimHash blocks."""
+    held: dict[str, DataFrame] = {}
+
+    def verify(nodes: DataFrame):
+        nodes, count = scratch.counted(nodes)
+        every = scratch.table(docs.mapInArrow(_texts(bitmap(nodes, count)), "doc_id long, line long, node long, norm string"))
+        held["seen"] = scratch.table(every.select("doc_id", "line", "node"))
+        held["text"] = text = scratch.table(every.where("norm is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")))
+        scratch.drop(every)
+        scratch.drop(nodes)
+        return lambda pairs: _alike(pairs, text)
+
+    def again(nodes: DataFrame, turn: int) -> DataFrame:
+        return held["text"].join(nodes, "node", "left_semi").mapInArrow(_other_postings(keep, turn), "key long, node long")
+
+    first = docs.select("text").mapInArrow(_postings(keep), "key long, node long")
+    comp = gather(first.repartition(F.col("key")).dropDuplicates(["key", "node"]), again, verify, scratch)
+    scratch.drop(held["text"])
+    return held["seen"], comp
+
+
+def _by_simhash(docs: DataFrame, scratch: Scratch, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Lines (doc_id, line, node), and their groups (node, comp) by the SimHash of whole lines."""
+    seen = scratch.table(docs.mapInArrow(_occurrences, "doc_id long, line long, node long, sim long, chars int"))
+    nodes = scratch.table(seen.select("node", "sim", "chars").distinct())
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(layout(nodes.count(), radius)))))
 
     def near(a: str, b: str):
         close = F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= radius
-        if count:
-            close = F.lit(True)
         return close & (5 * F.abs(F.col(f"{a}.chars") - F.col(f"{b}.chars")) <= F.greatest(f"{a}.chars", f"{b}.chars"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.table(pairs)
+        pairs, count = scratch.counted(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
-        text = docs.select("text").mapInArrow(_texts(bitmap(ends)), "node long, norm string").groupBy("node").agg(F.first("norm").alias("norm"))
-        text = scratch.table(text.join(ends.distinct(), "node", "left_semi"))
-        full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
-        most = "cast(greatest(length(a), length(b)) div 5 as int)"
-        # a band of width t costs t times the length, and most links are a few edits: bands widen only while undecided
-        steps = "".join(f"when levenshtein(a, b, least({most}, {t})) >= 0 then true when {most} <= {t} then false " for t in (6, 24, 96))
-        near_text = f"abs(length(a) - length(b)) <= {most} and case {steps} else levenshtein(a, b, {most}) >= 0 end"
-        return full.where(near_text).select("u", "v")
-
-    comp = connect(postings, near, verify, scratch, rounds=1)  # each turn reads the texts again
-    named = nodes.join(comp, "node", "left")
-    kept = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("keep"))
-    many = named.join(kept, "comp", "left").select("node", F.coalesce("keep", "first").alias("keep"), "first", "last").where("keep <> first or first <> last").select("node", "keep")
+        every = docs.mapInArrow(_texts(bitmap(ends, 2 * count)), "doc_id long, line long, node long, norm string").where("norm is not null")
+        return _alike(pairs, scratch.table(every.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))))
+
+    return seen, connect(nodes.select(keys.alias("key"), "node", "sim", "chars"), near, verify, scratch, rounds=1)
+
+
+def removals(docs: DataFrame, scratch: Scratch, keep: int = BLOCKS, radius: int | None = None) -> DataFrame:
+    """(doc_id, lines): numbers of the lines that go from each document that loses some."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    seen, comp = _by_blocks(docs, scratch, keep) if radius is None else _by_simhash(docs, scratch, radius)
+    # occurrences of a line, then lines of a group, are aggregated before anything is joined
+    place = F.struct("doc_id", "line")
+    nodes = seen.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    if comp is None:
+        many = nodes.where("first <> last").select("node", F.col("first").alias("keep"))
+    else:
+        named = scratch.table(nodes.join(comp, "node", "left").where("comp is not null or first <> last"))
+        kept = named.where("comp is not null").groupBy("comp").agg(F.min("first").alias("keep"))
+        many = named.join(kept, "comp", "left").select("node", F.coalesce("keep", "first").alias("keep"), "first", "last").where("keep <> first or first <> last").select("node", "keep")
     gone = seen.join(many, "node").where("doc_id <> keep.doc_id or line <> keep.line")
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
@@ -243,21 +355,35 @@ def _without(at: int, gone: int, names: list[str]):
                     n_gone[i] = n_lines[i] - len(kept)
                     whole[i] = "\n".join(kept)
                 text = pa.array(whole, pa.string())
-            columns = [text if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_gone)], [*names, "n_lines", "n_removed"])
+            columns = [text if i == at else batch.column(i) for i in range(len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_gone)], names)
 
     return run
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS, count: int = 0) -> DataFrame:
+def _with_counts(docs: DataFrame, scratch: Scratch, keep: int, radius: int | None, counts: list[str]) -> DataFrame:
+    """docs with lines removed from text, and two more columns: lines before, and removed."""
+    mark = uuid.uuid4().hex  # no column of the input has these names
+    gone = scratch.table(removals(docs, scratch, keep, radius).withColumnsRenamed({"doc_id": f"id_{mark}", "lines": f"gone_{mark}"}))
+    both = docs.join(gone, docs["doc_id"] == gone[f"id_{mark}"], "left").drop(f"id_{mark}")
+    names = [*docs.columns, *counts]
+    schema = ST.StructType([*docs.schema.fields, *(ST.StructField(x, ST.LongType()) for x in counts)])
+    return both.mapInArrow(_without(names.index("text"), len(docs.columns), names), schema)
+
+
+def dedup(docs: DataFrame, keep: int = BLOCKS, radius: int | None = None) -> DataFrame:
     """docs with lines removed from text, and n_lines (before) and n_removed (long).
 
-    count: min-hash bands beside SimHash (BANDS in the query and the pipeline; 0 finds pairs by SimHash alone).
+    radius: lines meet by whole SimHashes within so many bits, not by blocks.
     """
     bounded_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "linededup")
-    gone = scratch.table(removals(docs, scratch, radius, count).withColumnRenamed("doc_id", "_id").withColumnRenamed("lines", "_gone"))
-    both = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
-    names = docs.columns
-    schema = ST.StructType([*docs.schema.fields, ST.StructField("n_lines", ST.LongType()), ST.StructField("n_removed", ST.LongType())])
-    return both.mapInArrow(_without(names.index("text"), len(names), names), schema)
+    counts = ["n_lines", "n_removed"]
+    return _with_counts(docs.drop(*counts), Scratch(docs.sparkSession, "linededup"), keep, radius, counts)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with lines removed from text, less the documents that lose all their words; columns as before."""
+    bounded_batches(docs.sparkSession)
+    counts = [f"{x}_{uuid.uuid4().hex}" for x in ("lines", "removed")]
+    out = _with_counts(docs, Scratch(docs.sparkSession, "linededup"), BLOCKS, None, counts)
+    return out.where((F.col(counts[1]) == 0) | (F.trim("text") != "")).drop(*counts)

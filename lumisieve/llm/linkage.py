@@ -142,3 +142,51 @@ def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Ver
     if label is None:
         label = many.select(F.col("comp").alias("node"), "comp").where("false")
     return label
+
+
+def _many(postings: DataFrame) -> DataFrame:
+    """Postings of keys that several nodes have, with the width m of their bucket."""
+    return postings.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
+
+
+def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], Verify], scratch: Scratch, pivots: int = 3, turns: int = 3) -> DataFrame | None:
+    """(node, comp) of nodes that have a verified link, with work in proportion to the postings; None if there is no link.
+
+    In each turn, buckets of at most SMALL members compare all pairs, and in larger ones each
+    node meets ``pivots`` members.  Nodes of large buckets that still hold several components
+    come to other buckets in the next turn: again(nodes, turn) gives their postings.  No pairs
+    of a large bucket are listed.
+
+    first, again: postings (key, node), no pair of which occurs twice.  verify: given the nodes
+    that share a bucket, a function from pairs (u, v) to those that hold.
+    """
+    posts, check, label, edges, links = first, None, None, None, 0
+    for turn in range(turns):
+        many = scratch.table(_many(posts))
+        if check is None:
+            check = verify(many.select("node").distinct())
+        known = many.withColumn("comp", F.col("node")) if label is None else many.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        small, large = (known.where(f"m {op} {SMALL}").select("key", "node", "comp") for op in ("<=", ">"))
+        pairs = small.join(small.select("key", F.col("node").alias("v"), F.col("comp").alias("other")), "key").where("node < v and comp <> other").select(F.col("node").alias("u"), "v")
+        by = lambda k: F.xxhash64("node", F.lit(turn * pivots + k))  # noqa: B023, E731
+        pivot = large.groupBy("key").agg(*(F.min_by("node", by(k)).alias(f"p{k}") for k in range(pivots)))
+        met = large.select("key", "node").join(pivot, "key")
+        # of all its buckets' pivots under one order, a node meets the least
+        best = [F.min_by(f"p{k}", F.when(F.col(f"p{k}") != F.col("node"), F.xxhash64(f"p{k}", F.lit(turn * pivots + k)))).alias(f"b{k}") for k in range(pivots)]
+        chosen = met.groupBy("node").agg(*best).select("node", F.explode(F.array(*(f"b{k}" for k in range(pivots)))).alias("b")).where("b is not null and b <> node")
+        pairs = pairs.union(chosen.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))).distinct()
+        found, fresh = scratch.counted(check(pairs))
+        if fresh:
+            links += fresh
+            edges = found if edges is None else edges.union(found)
+            before, label = label, scratch.table(components(edges, scratch, links))
+            scratch.drop(before)
+        if turn + 1 < turns:
+            wide = many.where(F.col("m") > SMALL).select("key", "node")
+            named = wide.select("key", "node", F.col("node").alias("comp")) if label is None else wide.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+            several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            live, left = scratch.counted(wide.join(several, "key", "left_semi").select("node").distinct())
+            if not left:
+                break
+            posts = again(live, turn + 1)
+    return label

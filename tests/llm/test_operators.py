@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import alnum, contamination, deduped_lines, jaccard_groups, lower, words
+from brute import alnum, contamination, deduped_lines, edit_distance, jaccard_groups, lower, words
 
 from pyspark.sql import functions as F
 
@@ -58,7 +58,7 @@ def test_line_dedup(case, request, table):
     texts = request.getfixturevalue(case)
     if case == "edges":
         texts = {k: v for k, v in texts.items() if k not in (10, 12)}  # plain Python is too slow for these two
-    got = records(linededup.dedup(table(texts)), "doc_id", "text", "n_removed")
+    got = records(linededup.dedup(table(texts), radius=linededup.RADIUS), "doc_id", "text", "n_removed")
     expected = deduped_lines(texts, simhash)
     assert {d: t for d, (t, _) in got.items()} == expected
     assert all((n > 0) == (texts[d] != t) for d, (t, n) in got.items())
@@ -75,12 +75,54 @@ def test_line_dedup_finds_edits_that_move_simhash(small, table):
             for at in rng.choice(len(x), max(1, int(share * len(x))), replace=False) if share else ():
                 chars[at] = "q"
             texts[10_000 + i] = "".join(chars) if share else x.replace(" ", "q ", 1)
-        got = records(linededup.dedup(table(texts), count=linededup.BANDS), "doc_id", "n_removed")
+        got = records(linededup.dedup(table(texts)), "doc_id", "n_removed")
         alone = [i for i in range(len(lines)) if not got[i][0]]
         assert len(alone) > 0.7 * len(lines)
         assert sum(got[10_000 + i][0] for i in alone) >= least * len(alone)
 
 
+def test_line_dedup_against_edit_similarity_alone(small, edges, table):
+    """Every pair of an edit similarity of 0.8, by word or letter edits and line length; no line goes without one."""
+    rng = np.random.default_rng(7)
+    lines = sorted({" ".join(w) for t in small.values() for x in (t or "").split("\n") if (w := alnum(x))})[::9]
+    first = dict(enumerate(lines))
+    made = {}
+    for i, x in enumerate(lines):
+        w = x.split(" ")
+        at = int(rng.integers(len(w)))
+        made[100_000 + i] = (i, " ".join([*w[:at], "zzq"[: 1 + at % 3], *w[at + 1 :]]))
+        letter = int(rng.integers(len(x)))
+        made[200_000 + i] = (i, x[:letter] + "y" + x[letter + 1 - i % 2 :])
+    texts = first | {k: x for k, (_, x) in made.items()}
+    got = records(linededup.dedup(table(texts)), "doc_id", "n_removed")
+    similar = lambda a, b: 5 * edit_distance(" ".join(alnum(a)), " ".join(alnum(b))) <= max(len(" ".join(alnum(a))), len(" ".join(alnum(b))))
+    groups = defaultdict(lambda: [0, 0])
+    for k, (i, x) in made.items():
+        if similar(x, lines[i]):
+            cell = groups[k // 100_000, min(4, len(x.split(" ")) // 10)]
+            cell[0] += 1
+            cell[1] += got[k][0]
+    assert sum(n for n, _ in groups.values()) > len(lines)
+    assert all(hit >= 0.9 * n for n, hit in groups.values()), dict(groups)
+    gone = [i for i in first if got[i][0]]
+    assert all(any(similar(lines[i], x) for k, x in texts.items() if k < i) or any(similar(lines[i], y) for y in texts.values() if y != lines[i]) for i in gone[:20])
+
+
+def test_grouping_in_turns_finds_what_union_find_finds(spark, table):
+    """Large buckets of several groups: every line has its near copies, and no other."""
+    rng = np.random.default_rng(8)
+    phrase = "a passage that very many lines of all groups have in common as it is"
+    texts, group = {}, {}
+    for g in range(40):
+        own = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(14)]
+        for k in range(5):
+            w = list(own)
+            w[k] = f"other{k}"
+            texts[g * 10 + k], group[g * 10 + k] = " ".join([*w[:7], phrase, *w[7:]]), g
+    got = records(linededup.dedup(table(texts)), "doc_id", "n_removed")
+    assert {i for i in texts if not got[i][0]} == {g * 10 for g in range(40)}
+
+
 def test_block_layouts_lose_no_pair():
     rng = np.random.default_rng(1)
     for nodes in (10, 10**4, 10**7, 10**9):
