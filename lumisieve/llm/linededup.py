@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as ST
 
-from . import textvec as T
+from . import edits, textvec as T
 from .idfilter import bitmap, maybe
 from .linkage import connect, gather
 from .scratch import Scratch, bounded_batches
@@ -49,6 +49,8 @@ GRAM = 8
 PAD = 4
 #: Bytes between the three grams of a block, and the lengths (least, most) of the lines that have such blocks.
 WIDTHS = ((0, 14, 44), (2, 36, 100), (4, 84, 1 << 62))
+#: Bytes of text that kernels take at once: their arrays stay in a core's cache.
+PIECE = 1 << 18
 #: Shorter lines are hashed less each byte.
 SHORT = 18
 _LANES = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.uint8).view("<u8").ravel()
@@ -118,16 +120,16 @@ def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def blocks(flat: np.ndarray, offs: np.ndarray, keep: int = BLOCKS, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the kept SimHash blocks of normalised lines; another turn keeps others."""
+    """(line, key) of the kept SimHash blocks of normalised lines, best ordered by length; another turn keeps others."""
     size, n = np.diff(offs), len(offs) - 1
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, T.U)
     first = offs[:-1] + 2 * PAD * np.arange(n)  # where a line's leading blanks begin
     wide = np.full(int(offs[-1]) + 2 * PAD * n, 32, np.uint8)
     wide[np.arange(len(flat)) + np.repeat(2 * PAD * np.arange(n) + PAD, size)] = flat
-    gram = np.zeros(max(0, len(wide) - GRAM + 1), np.uint64)
-    for j in range(GRAM):
-        gram |= wide[j : j + len(gram)].astype(T.U) << T.U(8 * j)
+    gram = wide.astype(T.U)
+    for j in (1, 2, 4):  # two bytes, four, eight
+        gram = gram[:-j] | (gram[j:] << T.U(8 * j))
     gram = T.mix(gram)
     owner, keys = [], []
     for step, least, most in WIDTHS:
@@ -140,14 +142,14 @@ def blocks(flat: np.ndarray, offs: np.ndarray, keep: int = BLOCKS, turn: int = 0
             g = gram[a : b - GRAM + 1]
             m = max(0, len(g) - 2 * step)
             x, y, z = g[:m], g[step : step + m], g[2 * step :][:m]
-            key = T.mix(((x & y) | (x & z) | (y & z)) + T.U(step)) if step else T.mix(x)
+            sim = x if not step else (x & y) | ((x | y) & z)
             inside = np.zeros(b - a + 1, np.int64)
             inside[first[pick[lo:hi]] - a] += share[lo:hi]
             np.add.at(inside, first[pick[lo:hi]] - a + count[lo:hi], -share[lo:hi])
-            rank = T.mix(key + T.U(2 * turn + 1)) >> T.U(32)
-            at = np.flatnonzero(rank < np.cumsum(inside)[:m].astype(T.U))
+            rank = (sim * T.U(0xD6E8FEB86659FD93 + 2 * turn)) >> T.U(32)
+            at = np.flatnonzero(rank < np.cumsum(inside)[:m].view(T.U))
             owner.append(pick[lo + np.searchsorted(first[pick[lo:hi]] - a, at, "right") - 1])
-            keys.append(key[at])
+            keys.append(T.mix(sim[at] + T.U(step)))
     return _distinct(np.concatenate(owner), np.concatenate(keys)) if owner else (np.zeros(0, np.int64), np.zeros(0, T.U))
 
 
@@ -202,9 +204,11 @@ def _postings(keep: int):
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offs in T.pieces(batch.column(0)):
+            for _, _, data, offs in T.pieces(batch.column(0), PIECE):
                 _, _, node, _, starts, ends, bounds, data = lines(data, offs)
-                pick = np.sort(np.unique(node, return_index=True)[1])
+                pick = np.unique(node, return_index=True)[1]
+                size = np.add.reduceat(ends - starts, bounds[:-1]) + np.diff(bounds) if len(node) else pick
+                pick = pick[np.argsort(size[pick])]  # lines of like length together
                 line, key = _keys(keep, 0, *flatten(data, starts, ends, bounds, pick))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[pick[line]].view(np.int64))], ["key", "node"])
 
@@ -216,8 +220,9 @@ def _other_postings(keep: int, turn: int):
 
     def run(batches):
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(np.asarray(pa.compute.binary_length(batch.column(1))))))
             node = np.asarray(batch.column(0))
-            for lo, _, flat, offs in T.pieces(batch.column(1)):
+            for lo, _, flat, offs in T.pieces(batch.column(1), PIECE):
                 line, key = _keys(keep, turn, flat, offs)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[lo + line])], ["key", "node"])
 
@@ -229,7 +234,7 @@ def _texts(wanted: bytes):
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(1)):
+            for lo, hi, data, offs in T.pieces(batch.column(1), PIECE):
                 own, number, node, _, starts, ends, bounds, data = lines(data, offs)
                 if not len(own):
                     continue
@@ -273,13 +278,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _verify(batches):
+    for batch in batches:
+        yield batch.select(["u", "v"]).filter(pa.array(edits.alike(batch.column(2), batch.column(3))))
+
+
 def _alike(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (u, v) of lines (node, norm) whose edit distance is a fifth of the longer one at most."""
     full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
-    most = "cast(greatest(length(a), length(b)) div 5 as int)"
-    # a band of width t costs t times the length, and most links are a few edits: bands widen only while undecided
-    steps = "".join(f"when levenshtein(a, b, least({most}, {t})) >= 0 then true when {most} <= {t} then false " for t in (6, 24, 96))
-    return full.where(f"abs(length(a) - length(b)) <= {most} and case {steps} else levenshtein(a, b, {most}) >= 0 end").select("u", "v")
+    return full.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
 
 
 def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame, DataFrame | None]:
@@ -290,16 +297,19 @@ def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame,
         nodes, count = scratch.counted(nodes)
         every = scratch.table(docs.mapInArrow(_texts(bitmap(nodes, count)), "doc_id long, line long, node long, norm string"))
         held["seen"] = scratch.table(every.select("doc_id", "line", "node"))
-        held["text"] = text = scratch.table(every.where("norm is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")))
+        held["text"] = text = scratch.table(every.where("norm is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")).withColumn("size", F.length("norm")))
         scratch.drop(every)
         scratch.drop(nodes)
-        return lambda pairs: _alike(pairs, text)
+        return text.select("node", "size"), lambda pairs: _alike(pairs, text)
+
+    def near(a, b):
+        return 5 * F.abs(a - b) <= F.greatest(a, b)
 
     def again(nodes: DataFrame, turn: int) -> DataFrame:
-        return held["text"].join(nodes, "node", "left_semi").mapInArrow(_other_postings(keep, turn), "key long, node long")
+        return held["text"].join(nodes, "node", "left_semi").select("node", "norm").mapInArrow(_other_postings(keep, turn), "key long, node long")
 
     first = docs.select("text").mapInArrow(_postings(keep), "key long, node long")
-    comp = gather(first.repartition(F.col("key")).dropDuplicates(["key", "node"]), again, verify, scratch)
+    comp = gather(first.repartition(F.col("key")).dropDuplicates(["key", "node"]), again, verify, near, scratch)
     scratch.drop(held["text"])
     return held["seen"], comp
 

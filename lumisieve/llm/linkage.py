@@ -149,7 +149,7 @@ def _many(postings: DataFrame) -> DataFrame:
     return postings.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
 
 
-def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], Verify], scratch: Scratch, pivots: int = 3, turns: int = 3) -> DataFrame | None:
+def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], tuple[DataFrame, Verify]], near: Callable[[Column, Column], Column], scratch: Scratch, pivots: int = 2, turns: int = 2) -> DataFrame | None:
     """(node, comp) of nodes that have a verified link, with work in proportion to the postings; None if there is no link.
 
     In each turn, buckets of at most SMALL members compare all pairs, and in larger ones each
@@ -158,24 +158,30 @@ def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verif
     of a large bucket are listed.
 
     first, again: postings (key, node), no pair of which occurs twice.  verify: given the nodes
-    that share a bucket, a function from pairs (u, v) to those that hold.
+    that share a bucket, their sizes (node, size), and a function from pairs (u, v) to those
+    that hold.  near(a, b): a necessary condition on two sizes.
     """
-    posts, check, label, edges, links = first, None, None, None, 0
+    posts, sizes, check, label, edges, links = first, None, None, None, None, 0
     for turn in range(turns):
         many = scratch.table(_many(posts))
         if check is None:
-            check = verify(many.select("node").distinct())
-        known = many.withColumn("comp", F.col("node")) if label is None else many.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        small, large = (known.where(f"m {op} {SMALL}").select("key", "node", "comp") for op in ("<=", ">"))
-        pairs = small.join(small.select("key", F.col("node").alias("v"), F.col("comp").alias("other")), "key").where("node < v and comp <> other").select(F.col("node").alias("u"), "v")
-        by = lambda k: F.xxhash64("node", F.lit(turn * pivots + k))  # noqa: B023, E731
-        pivot = large.groupBy("key").agg(*(F.min_by("node", by(k)).alias(f"p{k}") for k in range(pivots)))
-        met = large.select("key", "node").join(pivot, "key")
-        # of all its buckets' pivots under one order, a node meets the least
-        best = [F.min_by(f"p{k}", F.when(F.col(f"p{k}") != F.col("node"), F.xxhash64(f"p{k}", F.lit(turn * pivots + k)))).alias(f"b{k}") for k in range(pivots)]
-        chosen = met.groupBy("node").agg(*best).select("node", F.explode(F.array(*(f"b{k}" for k in range(pivots)))).alias("b")).where("b is not null and b <> node")
+            sizes, check = verify(many.select("node").distinct())
+        known = many.join(sizes, "node")
+        known = known.withColumn("comp", F.col("node")) if label is None else known.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        known = scratch.table(known)
+        small, large = (known.where(f"m {op} {SMALL}") for op in ("<=", ">"))
+        other = small.select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("size").alias("length"))
+        pairs = small.join(other, "key").where("node < v and comp <> other").where(near(F.col("size"), F.col("length"))).select(F.col("node").alias("u"), "v")
+        by = lambda c, k: F.xxhash64(F.col(c), F.lit(turn * pivots + k))  # noqa: B023, E731
+        each = [(F.min_by("node", by("node", k)).alias(f"p{k}"), F.min_by("size", by("node", k)).alias(f"s{k}"), F.min_by("comp", by("node", k)).alias(f"c{k}")) for k in range(pivots)]
+        met = large.join(large.groupBy("key").agg(*(x for e in each for x in e)), "key")
+        # of its buckets' pivots under one order, a node meets the least that is near
+        ok = [F.when((F.col(f"c{k}") != F.col("comp")) & near(F.col("size"), F.col(f"s{k}")), by(f"p{k}", k)) for k in range(pivots)]
+        chosen = met.groupBy("node").agg(*(F.min_by(f"p{k}", ok[k]).alias(f"b{k}") for k in range(pivots)))
+        chosen = chosen.select("node", F.explode(F.array(*(f"b{k}" for k in range(pivots)))).alias("b")).where("b is not null")
         pairs = pairs.union(chosen.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))).distinct()
         found, fresh = scratch.counted(check(pairs))
+        scratch.drop(known)
         if fresh:
             links += fresh
             edges = found if edges is None else edges.union(found)
@@ -186,6 +192,7 @@ def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verif
             named = wide.select("key", "node", F.col("node").alias("comp")) if label is None else wide.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
             several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             live, left = scratch.counted(wide.join(several, "key", "left_semi").select("node").distinct())
+            scratch.drop(many)
             if not left:
                 break
             posts = again(live, turn + 1)
