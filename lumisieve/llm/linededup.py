@@ -278,15 +278,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _verify(batches):
-    for batch in batches:
-        yield batch.select(["u", "v"]).filter(pa.array(edits.alike(batch.column(2), batch.column(3))))
-
-
 def _alike(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (u, v) of lines (node, norm) whose edit distance is a fifth of the longer one at most."""
     full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
-    return full.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+    return full.select("u", "v", "a", "b").mapInArrow(edits.verified, "u long, v long")
 
 
 def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame, DataFrame | None]:

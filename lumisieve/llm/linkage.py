@@ -166,9 +166,10 @@ def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verif
         many = scratch.table(_many(posts))
         if check is None:
             sizes, check = verify(many.select("node").distinct())
-        known = many.join(sizes, "node")
-        known = known.withColumn("comp", F.col("node")) if label is None else known.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        known = scratch.table(known)
+        # the table of this turn has what its joins need, and takes the place of the one before
+        before, many = many, scratch.table(many.join(sizes, "node"))
+        scratch.drop(before)
+        known = many.withColumn("comp", F.col("node")) if label is None else many.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         small, large = (known.where(f"m {op} {SMALL}") for op in ("<=", ">"))
         other = small.select("key", F.col("node").alias("v"), F.col("comp").alias("other"), F.col("size").alias("length"))
         pairs = small.join(other, "key").where("node < v and comp <> other").where(near(F.col("size"), F.col("length"))).select(F.col("node").alias("u"), "v")
@@ -180,8 +181,9 @@ def gather(first: DataFrame, again: Callable[[DataFrame, int], DataFrame], verif
         chosen = met.groupBy("node").agg(*(F.min_by(f"p{k}", ok[k]).alias(f"b{k}") for k in range(pivots)))
         chosen = chosen.select("node", F.explode(F.array(*(f"b{k}" for k in range(pivots)))).alias("b")).where("b is not null")
         pairs = pairs.union(chosen.select(F.least("node", "b").alias("u"), F.greatest("node", "b").alias("v"))).distinct()
+        pairs = scratch.table(pairs)
         found, fresh = scratch.counted(check(pairs))
-        scratch.drop(known)
+        scratch.drop(pairs)
         if fresh:
             links += fresh
             edges = found if edges is None else edges.union(found)

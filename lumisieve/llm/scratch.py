@@ -46,11 +46,12 @@ class Scratch:
         """Writes df and reads it back."""
         self.n += 1
         path = f"{self.dir}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.where[id(back)] = path
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
+        for _ in range(2):  # lets Spark delete the shuffle files of what is written now; the first only finds them
+            self.spark.sparkContext._jvm.System.gc()
         return back
 
     def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
