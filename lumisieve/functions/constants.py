@@ -21,16 +21,17 @@ DEFAULT_RADIUS = 31
 MODES = ("variant", "precise")
 
 #: ord, name, 2x2 matrix (x to x, x to y, y to x, y to y), then how its coefficients come
-#: from the original's: transposed, even columns negated, even rows negated.
+#: from the original's: transposed, even columns negated, even rows negated.  Fixed values: the
+#: matrices of ord 5 and 7 are the published ones, though their names suggest others.
 DIHEDRALS = (
     (0, "NORMAL", (1, 0, 0, 1), (False, False, False)),
     (1, "FLOPPED", (-1, 0, 0, 1), (False, True, False)),
     (2, "ROTATED_180", (-1, 0, 0, -1), (False, True, True)),
     (3, "FLIPPED", (1, 0, 0, -1), (False, False, True)),
     (4, "ROTATED_90_FLOPPED", (0, -1, -1, 0), (True, False, False)),
-    (5, "ROTATED_270", (0, 1, -1, 0), (True, False, True)),
+    (5, "ROTATED_270", (0, 1, 1, 0), (True, False, True)),
     (6, "FLOPPED_ROTATED_270", (0, -1, 1, 0), (True, True, True)),
-    (7, "ROTATED_90", (0, 1, 1, 0), (True, True, False)),
+    (7, "ROTATED_90", (0, 1, -1, 0), (True, True, False)),
 )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OURS: dict[str, int] = {}
@@ -33,3 +35,37 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     if have == _OURS.get(app) or have <= 0 or have > rows:
         spark.conf.set(key, str(rows))
         _OURS[app] = rows
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it; a temporary folder only in local mode, where it may be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumisieve-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path there, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone at exit
+        pass
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written once and read back, so that what uses it several times does not make it again."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,12 +11,13 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS, hamming
 
 #: Needles up to here are broadcast: 64 bytes each.
-BROADCAST_NEEDLES = 250_000
+BROADCAST_NEEDLES = 100_000
 BANDS, BAND_BITS = 16, 16
 
 
@@ -74,10 +75,26 @@ class Matcher:
     def counts(self, haystack: DataFrame) -> DataFrame:
         return self.all(haystack).groupBy("needle_id").agg(F.count(F.lit(1)).alias("matches"), F.min("dist").alias("least"), F.max("dist").alias("most"))
 
+    def top(self, haystack: DataFrame, k: int) -> DataFrame:
+        """(needle_id, hash_id, dist, rank) of the k nearest rows within the radius; ties by hash_id."""
+        rank = F.row_number().over(Window.partitionBy("needle_id").orderBy("dist", "hash_id"))
+        return self.all(haystack).withColumn("rank", rank).where(F.col("rank") <= k)
+
     def nearest(self, haystack: DataFrame) -> DataFrame:
-        """(needle_id, hash_id, dist): each needle's nearest row, at any distance."""
-        hay = haystack.select("hash_id", *WORDS)
-        return hay.join(self._side(), F.lit(True)).groupBy("needle_id").agg(F.min(F.struct(self.distance().alias("dist"), "hash_id")).alias("m")).select("needle_id", "m.hash_id", "m.dist")
+        """(needle_id, hash_id, dist): each needle's nearest row, at any distance.
+
+        Blocks of needles that may be broadcast are compared with every row; the least
+        distance and then the least hash_id of it are two hash aggregations, so no pair is sorted.
+        """
+        hay, out = haystack.select("hash_id", *WORDS), None
+        blocks = 1 if self.few else -(-self.needles.count() // (BROADCAST_NEEDLES // 2))
+        for k in range(blocks):
+            mine = self.needles if blocks == 1 else self.needles.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k)
+            least = hay.join(F.broadcast(mine), F.lit(True)).groupBy("needle_id").agg(F.min(self.distance()).alias("dist"))
+            again = hay.join(F.broadcast(mine.join(least, "needle_id")), self.distance() == F.col("dist"))
+            found = again.groupBy("needle_id", "dist").agg(F.min("hash_id").alias("hash_id")).select("needle_id", "hash_id", "dist")
+            out = found if out is None else out.union(found)
+        return out
 
     def _indexed(self, haystack: DataFrame) -> DataFrame:
         reach = self.radius // BANDS

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as C, expr as X
 from ..functions.expr import WORDS
+from ..functions.runtime import folder, stored
 from ..operators import hashing as H
 from ..operators.matching import Matcher, filter_then_verify as verify
 from ..sources import frames as S, sinks
@@ -113,6 +114,17 @@ m AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, y.pa1*z.pb1 + y.pa2*z.pb2 AS v FROM
 """
 
 
+def _image_rgb() -> str:
+    """Channels v, 255 - v and v // 2, where v // 2 = (v - p) / 2 with the parity p = x + y - 2xy of two products of bits."""
+    return f"""WITH {_DCT}, {_TENT}, {_projection("tent")}, {_PATTERN},
+proj AS (SELECT id, k, sum(v) AS one, sum(v*a1) AS pa1, sum(v*b1) AS pb1, sum(v*a2) AS pa2, sum(v*b2) AS pb2, sum(v*(a1%2)) AS qa1, sum(v*(b1%2)) AS qb1, sum(v*(a2%2)) AS qa2, sum(v*(b2%2)) AS qb2, sum(v*(a1%2)*(a2%2)) AS qa, sum(v*(b1%2)*(b2%2)) AS qb FROM pat JOIN amat ON p = x GROUP BY id, k),
+m AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, (0.299 - 0.587 + 0.114/2)*(y.pa1*z.pb1 + y.pa2*z.pb2) + 0.587*255*y.one*z.one - 0.114/2*(y.qa1*z.qb1 + y.qa2*z.qb2 - 2*y.qa*z.qb) AS v FROM proj y JOIN proj z ON y.id = z.id)
+"""
+
+
+_RGB = _image_rgb() + "@Q" + f"SELECT id AS image_id, CASE WHEN margin > {SAFE} THEN hash END AS hash, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id)"
+
+
 _MATRIX = """WITH m0 AS (SELECT vec_id//4 AS id, ((vec_id%4)*64 + pos - 1)::INT AS i, e::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
 m AS (SELECT * FROM m0 WHERE id IN (SELECT vec_id//4 FROM embeddings GROUP BY 1 HAVING count(*) = 4))
 """
@@ -125,7 +137,12 @@ hashed{tag} AS (SELECT id, string_agg(substr('0123456789abcdef', x+1, 1), '' ORD
 """
 
 
-_DIH = "dih(ord, dihedral, xx, xy, yx, yy, t, c, r) AS (VALUES " + ", ".join(f"({o}, '{name}', {', '.join(map(str, m))}, {', '.join(str(int(f)) for f in flags)})" for o, name, m, flags in C.DIHEDRALS) + ")"
+#: Fixed values, written out: the SQL must not come from the table it checks.
+_DIH = """dih(ord, dihedral, xx, xy, yx, yy, t, c, r) AS (VALUES
+(0, 'NORMAL', 1, 0, 0, 1, 0, 0, 0), (1, 'FLOPPED', -1, 0, 0, 1, 0, 1, 0),
+(2, 'ROTATED_180', -1, 0, 0, -1, 0, 1, 1), (3, 'FLIPPED', 1, 0, 0, -1, 0, 0, 1),
+(4, 'ROTATED_90_FLOPPED', 0, -1, -1, 0, 1, 0, 0), (5, 'ROTATED_270', 0, 1, 1, 0, 1, 0, 1),
+(6, 'FLOPPED_ROTATED_270', 0, -1, 1, 0, 1, 1, 1), (7, 'ROTATED_90', 0, 1, -1, 0, 1, 1, 0))"""
 _VARIANTS = f""", {_DIH}, moved AS (SELECT id*8 + ord AS id, (CASE WHEN t = 1 THEN (i%16)*16 + i//16 ELSE i END)::INT AS i, v, c, r FROM m, dih),
 dm AS (SELECT id, i, v * (CASE WHEN c = 1 AND i%2 = 0 THEN -1 ELSE 1 END) * (CASE WHEN r = 1 AND (i//16)%2 = 0 THEN -1 ELSE 1 END) AS v FROM moved)
 """
@@ -258,6 +275,12 @@ def fnr_stats(spark, sf_dir):
     return got.select("n", "worst", F.round("average", 4).alias("average"), bound(F.col("worst")).alias("worst_fnr"), bound(F.col("average")).alias("average_fnr"))
 
 
+@query(_image() + _quantize() + _gradient() + f"SELECT id AS image_id, CASE WHEN margin > {SAFE} AND g/180 > 0.5 THEN hash END AS hash, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id)")
+def hash_confident(spark, sf_dir):
+    """The hash, null where the quality is 0.5 or less."""
+    return H.confident(H.hash_frames(images(spark, sf_dir))).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
+
+
 @query(_image() + _gradient() + "SELECT id AS image_id, round(least(g/180, 1), 4) AS quality FROM grad WHERE g/180 > 0.5")
 def quality_filter(spark, sf_dir):
     return H.pdqf(images(spark, sf_dir)).where("quality > 0.5").select("image_id", F.round("quality", 4).alias("quality"))
@@ -418,6 +441,12 @@ def match_nearest(spark, sf_dir):
     return m.nearest(hay)
 
 
+@query(_MATCH + "SELECT needle_id, hash_id, dist, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY dist, hash_id) AS r FROM pairs WHERE dist <= 100) WHERE r <= 5")
+def match_topk(spark, sf_dir):
+    """Five nearest rows within 100 bits."""
+    return Matcher(needles(spark, sf_dir), 100, "scan").top(_matcher(spark, sf_dir)[1], 5)
+
+
 @query(_MATCH + "SELECT dist, count(*) AS pairs FROM pairs GROUP BY dist")
 def hamming_histogram(spark, sf_dir):
     m, hay = _matcher(spark, sf_dir, 256)
@@ -468,7 +497,8 @@ SELECT n.id//8 AS image_id, (n.id%8)::INT AS ord, hash_id, {_DIST} AS dist FROM
 @query(_screened_sql())
 def screen_images(spark, sf_dir):
     """The flagship: eight hashes of each image against texts' hashes and the flipped images' own."""
-    every = H.hash_frames(images(spark, sf_dir), dihedrals=True).where(F.col("margin") > SAFE)
+    # needles and haystack both come from these hashes: frames are made and hashed once
+    every = stored(H.hash_frames(images(spark, sf_dir), dihedrals=True).where(F.col("margin") > SAFE).select("image_id", "ord", *WORDS), "screen")
     hay = texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS).unionByName(every.where("ord = 3").select((F.col("image_id") + 1_000_000_000).alias("hash_id"), *WORDS))
     need = every.select((F.col("image_id") * 8 + F.col("ord")).alias("needle_id"), *WORDS)
     return Matcher(need).all(_dealt(hay, "hash_id")).select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
@@ -541,23 +571,20 @@ def random_source(spark, sf_dir):
     return H.hash_frames(S.random_frames(spark, 100)).select("image_id", "hash", "quality")
 
 
-@query()
+@query(_RGB.replace("@Q", _quantize() + _gradient()))
 def hash_rgb(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir, "rgb8")).select("image_id", "hash", "quality")
+    return H.hash_frames(images(spark, sf_dir, "rgb8")).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
 
 
-@query()
+@query(_RGB.replace("@Q", _quantize() + _gradient()))
 def hash_rgba(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir, "rgba8")).select("image_id", "hash", "quality")
+    return H.hash_frames(images(spark, sf_dir, "rgba8")).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
 
 
 @query()
 def stream_hash(spark, sf_dir):
     """part as a stream: frames made, hashed and appended to a table until all rows there are taken."""
-    import tempfile
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     # a pattern, as the stream source takes a plain path for a folder
     stream = spark.readStream.schema(table(spark, sf_dir, "part").schema).parquet(f"{sf_dir}/part.parque[t]").select(*parts.columns)

@@ -119,3 +119,23 @@ def test_streamed_files(spark, tmp_path):
     pipe.write(pipe.pipe(S.stream_raw(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "log"), "q+hex+nl").awaitTermination()
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(lines) == 3 and all(len(x.split(":")[1]) == 64 for x in lines)
+
+
+def test_packed_dihedral_constants():
+    """Published values of the eight matrices, as four signed bytes."""
+    want = {0: 0x01000001, 1: 0xFF000001, 2: 0xFF0000FF, 3: 0x010000FF, 4: 0x00FFFF00, 5: 0x00010100, 6: 0x00FF0100, 7: 0x0001FF00}
+    assert {o: C.pack_matrix(m) & 0xFFFFFFFF for o, _, m, _ in C.DIHEDRALS} == want
+
+
+def test_tent_sums_equal_the_projection():
+    rng = np.random.default_rng(3)
+    bytes_ = rng.integers(0, 256, (3, 512, 512)).astype(np.uint8)
+    a = C.projection("variant")
+    want = (a @ bytes_.astype(float) @ a.T).reshape(3, 256)
+    assert np.abs(H.coefficients(bytes_, "variant") - want).max() < 1e-8
+    assert np.abs(H.coefficients(bytes_.astype(float), "variant") - want).max() < 1e-8
+
+
+def test_confident_hashes(spark):
+    rows = spark.createDataFrame([(1, "ab", 0.5), (2, "cd", 0.51)], "image_id long, hash string, quality double")
+    assert {r.image_id: r.hash for r in H.confident(rows).collect()} == {1: None, 2: "cd"}

@@ -57,3 +57,16 @@ def test_formats():
     assert sinks.raw_record("00" * 32, 0.5) == b"\x00\x00\x00?" + bytes(32)
     with pytest.raises(ValueError):
         sinks.parse("octal")
+
+
+def test_top_and_nearest(spark, planted):
+    hay, needles, _ = planted
+    value = lambda r: [r.w0, r.w1, r.w2, r.w3]
+    far = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(value(a), value(b)))
+    rows, probes = hay.collect(), needles.collect()
+    best = {n.needle_id: sorted((far(n, h), h.hash_id) for h in rows)[:3] for n in probes}
+    got = {}
+    for r in Matcher(needles, 256, "scan").top(hay, 3).orderBy("needle_id", "rank").collect():
+        got.setdefault(r.needle_id, []).append((r.dist, r.hash_id))
+    assert got == best
+    assert {r.needle_id: (r.dist, r.hash_id) for r in Matcher(needles).nearest(hay).collect()} == {k: v[0] for k, v in best.items()}

@@ -42,3 +42,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """With its folder deleted, the other queries are all there."""
+    import shutil
+    import subprocess
+    import sys
+
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top / "lumisieve", tmp_path / "lumisieve", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (top / name).exists():
+            shutil.copy(top / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+    assert said.returncode == 0, said.stderr
+    assert set(said.stdout.split()) == set(Q.queries())
