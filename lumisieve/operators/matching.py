@@ -102,7 +102,11 @@ class Matcher:
         flips = [sum(1 << x for x in c) for n in range(reach + 1) for c in combinations(range(BAND_BITS), n)]
         nw = [F.col(f"n{w}") for w in WORDS]
         probes = self.needles.withColumn("b", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), band(nw, k).alias("own")) for k in range(BANDS))))).select("*", "b.*").withColumn("key", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("own").bitwiseXOR(f.cast("long"))))).drop("b", "own")
-        return hay.join(probes, ["band", "key"]).select("needle_id", "hash_id", self.distance().alias("dist")).where(F.col("dist") <= self.radius).distinct()
+        hits = hay.join(probes, ["band", "key"]).withColumn("dist", self.distance()).where(F.col("dist") <= self.radius)
+        # a pair may meet in several bands, and is kept in the first: no shuffle of pairs
+        apart = [F.bit_count(band([F.col(w) for w in WORDS], k).bitwiseXOR(band(nw, k))) for k in range(BANDS)]
+        first = F.coalesce(*(F.when(apart[k] <= reach, F.lit(k)) for k in range(BANDS)))
+        return hits.where(F.col("band") == first).select("needle_id", "hash_id", "dist")
 
 
 def band(words: list[Column], k: int) -> Column:

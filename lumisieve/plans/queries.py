@@ -500,8 +500,11 @@ def screen_images(spark, sf_dir):
     # needles and haystack both come from these hashes: frames are made and hashed once
     every = stored(H.hash_frames(images(spark, sf_dir), dihedrals=True).where(F.col("margin") > SAFE).select("image_id", "ord", *WORDS), "screen")
     hay = texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS).unionByName(every.where("ord = 3").select((F.col("image_id") + 1_000_000_000).alias("hash_id"), *WORDS))
-    need = every.select((F.col("image_id") * 8 + F.col("ord")).alias("needle_id"), *WORDS)
-    return Matcher(need).all(_dealt(hay, "hash_id")).select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
+    own = every.select((F.col("image_id") * 8 + F.col("ord")).alias("hash_id"), *WORDS)
+    # distance is symmetric: the fewer texts are what the index probes with
+    few = hay.withColumnRenamed("hash_id", "needle_id")
+    pairs = Matcher(few, strategy="index").all(_dealt(own, "hash_id"))
+    return pairs.select(F.floor(F.col("hash_id") / 8).alias("image_id"), (F.col("hash_id") % 8).cast("int").alias("ord"), F.col("needle_id").alias("hash_id"), "dist")
 
 
 @query()
