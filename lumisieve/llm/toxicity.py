@@ -5,8 +5,8 @@ cells.  A document's value of a cell is the share of its words that hold one of
 n-grams, so long and short texts are alike.  Log-count ratios are taken over all labelled
 training rows (one aggregation of bounded size); logistic regression on the scaled features
 is then fitted on a bounded sample of labelled rows: at most SAMPLE_ROWS of each class, those
-with the least hash of doc_id.  Scores are additive over words, so each distinct word of a
-batch is scored once.
+with the least hash of doc_id and text.  Cells of a word are found once and kept from batch
+to batch; only ids that have a label send their texts to the join with the labels.
 
 Edge cases: null or empty texts have no features and score by the intercept alone; without
 training rows of both classes all texts score 0.5 (predicted 1); rows of labels without a
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as T
+from .idfilter import bitmap, maybe
 from .langid import fold, word_grams
 from .scratch import Scratch, bounded_batches
 
@@ -33,43 +34,77 @@ PENALTY = 1e-2
 STEPS = 90
 #: Cells of fewer labelled documents have no weight.
 LEAST_DOCS = 5
+#: Words whose cells a task keeps (about 15 cells of 8 bytes each), and bytes of text taken at once.
+KEPT_WORDS, PIECE = 200_000, 1 << 20
 WORDLIKE = T.byte_class([*range(48, 58), *range(97, 123), *range(128, 256)])
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a batch: (cell, word) pairs, the word of each occurrence, counts before documents."""
-    data = T.LOWER[data]
-    starts, ends, bounds = T.spans(data, offs, WORDLIKE)
-    _, first, code = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    words = T.strings(data, starts[first], ends[first])
-    own, cell = [], []
-    for n in ORDERS:
-        o, h = word_grams(words, n)
-        own.append(o), cell.append((h % T.U(FEATURES)).astype(np.int64))
-    pair = np.unique(np.concatenate(own) * FEATURES + np.concatenate(cell))
-    return pair % FEATURES, pair // FEATURES, code, bounds
-
-
-def matrix(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents' values as (document, cell, value), by document and cell."""
-    cell, word, code, bounds = features(data, offs)
-    at = np.searchsorted(word, np.arange(int(word.max(initial=-1)) + 2))
-    doc_words, times = np.unique(T.owners(bounds) * max(1, len(at)) + code, return_counts=True) if len(code) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    doc, w = doc_words // max(1, len(at)), doc_words % max(1, len(at))
-    many = at[w + 1] - at[w] if len(w) else np.zeros(0, np.int64)
-    index = np.arange(many.sum()) + np.repeat(at[w] - (np.cumsum(many) - many), many)
-    key, where = np.unique(np.repeat(doc, many) * FEATURES + cell[index], return_inverse=True)
-    total = np.bincount(where, np.repeat(times, many), len(key)) if len(key) else np.zeros(0)
-    doc = key // FEATURES
-    return doc, key % FEATURES, np.log1p(SCALE * total / np.maximum(1, np.diff(bounds))[doc])
+class Cells:
+    """Cells of words, kept between batches; wanted: cells that are kept at all."""
+
+    def __init__(self, wanted: np.ndarray | None = None):
+        self.wanted = wanted
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.place, self.at, self.cell = np.zeros(0, T.U), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, T.U)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Adds distinct words."""
+        new = np.flatnonzero(~T.lookup(self.words, hashes)[1])
+        if not len(new):
+            return
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.clear()
+            new = np.arange(len(hashes))
+        texts = T.strings(data, starts[new], ends[new])
+        own, cell = [], []
+        for n in ORDERS:
+            o, h = word_grams(texts, n)
+            own.append(o), cell.append(h & T.U(FEATURES - 1))
+        own, cell = np.concatenate(own), np.concatenate(cell)
+        if self.wanted is not None:
+            keep = self.wanted[cell]
+            own, cell = own[keep], cell[keep]
+        pair = np.sort((own.astype(T.U) << T.U(20)) | cell)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+        edge = np.searchsorted(pair >> T.U(20), np.arange(1, len(new) + 1).astype(T.U))
+        place = np.arange(len(new)) + len(self.words)
+        words = np.concatenate([self.words, hashes[new]])
+        order = np.argsort(words)
+        self.words, self.place = words[order], np.concatenate([self.place, place])[order]
+        self.at = np.concatenate([self.at, self.at[-1] + edge])
+        self.cell = np.concatenate([self.cell, pair & T.U(FEATURES - 1)])
+
+    def matrix(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents' values as (document, cell, value), by document and cell; fewer than 2**14 documents."""
+        data = T.LOWER[data]
+        starts, ends, bounds = T.spans(data, offs, WORDLIKE)
+        hashes = T.span_hashes(data, starts, ends)
+        every, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        self.learn(data, starts[first], ends[first], every)
+        place = self.place[T.lookup(self.words, every)[0]] if len(every) else np.zeros(0, np.int64)
+        # occurrences of each word in each document, then of its cells: sorts of whole numbers only
+        mine = np.sort((T.owners(bounds).astype(T.U) << T.U(40)) | code.astype(T.U))
+        head = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+        times = np.diff(np.append(head, len(mine)))
+        doc, word = (mine[head] >> T.U(40)), place[(mine[head] & T.U((1 << 40) - 1)).astype(np.int64)]
+        many = self.at[word + 1] - self.at[word]
+        index = np.arange(many.sum()) + np.repeat(self.at[word] - (np.cumsum(many) - many), many)
+        key = np.sort((np.repeat((doc << T.U(50)) | np.minimum(times, (1 << 32) - 1).astype(T.U), many)) | (self.cell[index] << T.U(32)))
+        cell = key >> T.U(32)
+        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat((key & T.U((1 << 32) - 1)).astype(np.int64), head) if len(key) else np.zeros(0)
+        doc = (cell[head] >> T.U(18)).astype(np.int64)
+        return doc, (cell[head] & T.U(FEATURES - 1)).astype(np.int64), np.log1p(SCALE * total / np.maximum(1, np.diff(bounds))[doc])
 
 
 def _class_counts(batches):
-    total = np.zeros((2, FEATURES))
+    total, cells = np.zeros((2, FEATURES)), Cells()
     for batch in batches:
         toxic = np.asarray(batch.column(1))
-        for lo, hi, data, offs in T.pieces(batch.column(0)):
-            doc, cell, _ = matrix(data, offs)
+        for lo, hi, data, offs in T.pieces(batch.column(0), PIECE):
+            doc, cell, _ = cells.matrix(data, offs)
             for y in (0, 1):
                 total[y] += np.bincount(cell[toxic[lo:hi][doc] == y], minlength=FEATURES)
     slices = 32
@@ -93,14 +128,12 @@ def log_count_ratios(labelled: DataFrame) -> np.ndarray:
 
 
 def _sample_features(ratios: np.ndarray):
-    known = ratios != 0
-
     def run(batches):
+        cells = Cells(ratios != 0)
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(0)):
-                doc, cell, value = matrix(data, offs)
-                keep = known[cell]
-                doc, cell, value = doc[keep], cell[keep].astype("<i4"), value[keep].astype("<f4")
+            for lo, hi, data, offs in T.pieces(batch.column(0), PIECE):
+                doc, cell, value = cells.matrix(data, offs)
+                cell, value = cell.astype("<i4"), value.astype("<f4")
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 blobs = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])] for x in (cell, value)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *(pa.array(x, pa.binary()) for x in blobs)], ["toxic", "cells", "values"])
@@ -150,16 +183,35 @@ def _fit(ratios: np.ndarray):
     return run
 
 
+def _with_ids(have: bytes):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(have, np.asarray(batch.column(0)))))
+
+    return run
+
+
+def _least(labelled: DataFrame, toxic: int, rows: int) -> DataFrame:
+    """The ``rows`` rows of a class with the least hash; rows of one hash are alike, so any of them will do."""
+    mark = F.xxhash64("doc_id", "text")
+    mine = labelled.where(F.col("toxic") == toxic).select("text", "toxic", mark.alias("h"))
+    cut = mine.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+    return mine.where(F.col("h") <= F.lit(cut)).limit(rows).select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weight of each cell and the intercept.  docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
-    marks = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    labelled = scratch.table(docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
-    count = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(count) < 2:
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks, n_marks = scratch.counted(marks)
+    have = bitmap(marks.select("_id"), n_marks)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_with_ids(have), "doc_id long, text string")
+    # always the same plan: texts of labelled ids are dealt by id, at every size
+    labelled = scratch.table(some.join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    ratios_of = {r.toxic for r in labelled.select("toxic").distinct().collect()}
+    if len(ratios_of) < 2:
         return np.zeros(FEATURES), 0.0
     ratios = log_count_ratios(labelled)
-    share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / count[1])).otherwise(min(1.0, sample_rows / count[0]))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003)) < share * 1_000_003)
+    sample = _least(labelled, 0, sample_rows).union(_least(labelled, 1, sample_rows))
     rows = sample.select("text", "toxic").mapInArrow(_sample_features(ratios), "toxic int, cells binary, values binary")
     fit = rows.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit(ratios), "cell int, w double, b double").toArrow()
     weights = np.zeros(FEATURES)
@@ -170,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
 def _score(shared):
     def run(batches):
         weights, b = shared.value
+        cells = Cells(weights != 0)
         for batch in batches:
-            for lo, hi, data, offs in T.pieces(batch.column(1)):
-                doc, cell, value = matrix(data, offs)
+            for lo, hi, data, offs in T.pieces(batch.column(1), PIECE):
+                doc, cell, value = cells.matrix(data, offs)
                 z = np.bincount(doc, value * weights[cell], hi - lo) + b
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -377,3 +378,24 @@ def test_pipeline(spark):
         assert after.columns == docs.columns
         docs = spark.createDataFrame(after.toPandas(), after.schema)
     assert C.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count() == C.run(spark, SF).select("doc_id").distinct().count()
+
+
+def test_toxicity_scores_by_hand(spark, small, edges, table):
+    """Scores from given weights, with plain dictionaries."""
+    rng = np.random.default_rng(9)
+    weights = np.where(rng.random(toxicity.FEATURES) < 0.5, rng.normal(size=toxicity.FEATURES), 0.0)
+    texts = dict(list(small.items())[:60]) | {d + 50_000: t for d, t in edges.items()}
+    shared = spark.sparkContext.broadcast((weights, -0.25))
+    got = records(table(texts).select("doc_id", "text").mapInArrow(toxicity._score(shared), "doc_id long, score double"), "doc_id", "score")
+    cells: dict[bytes, set[int]] = {}
+    for d, t in texts.items():
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", lower(t).encode())
+        total = Counter()
+        for x, n in Counter(w).items():
+            if x not in cells:
+                word = pa.array([x], pa.binary()).cast(pa.string())
+                cells[x] = {int(h) % toxicity.FEATURES for k in toxicity.ORDERS for h in langid.word_grams(word, k)[1]}
+            for c in cells[x]:
+                total[c] += n
+        z = -0.25 + sum(weights[c] * math.log1p(toxicity.SCALE * n / len(w)) for c, n in total.items())
+        assert got[d][0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9), d
