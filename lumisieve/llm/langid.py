@@ -8,9 +8,10 @@ A known word scores by its log frequency in each language.  An unseen word backs
 its 5-grams; if none of them is known to its 4-grams, and so on.  A document's score is
 the posterior of the best language, from mean log scores of its words.
 
-Words are looked up by joins.  A batch of documents asks once for each of its distinct
-words, so a frequent word costs a batch one row; distinct words that no table knows are
-backed off by joins of their n-grams; answers meet again by batch.
+The distinct words of all documents are scored once, by joins with the tables (words that
+no table knows by joins of their n-grams).  Scores of the most frequent words, at most
+CACHE_WORDS of them, are sent to all tasks; other words are asked for by joins, once for each
+batch of documents, and answers meet again by batch.  So results never depend on the cache.
 
 Edge cases: null or empty texts and texts without a letter are ``und`` with score 0;
 letters that no table knows leave all languages equal, and the first in order is taken;
@@ -33,6 +34,8 @@ ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 #: Words that count as independent evidence in a document's posterior.
 EVIDENCE = 20
+#: Words whose scores every task has (8 bytes, and 4 for each language); all others are joined.
+CACHE_WORDS = 200_000
 UND = "und"
 #: ASCII letters and all non-ASCII bytes; only words with a letter in them count.
 WORDLIKE = T.byte_class([*range(97, 123), *range(128, 256)])
@@ -114,34 +117,52 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     return Model(langs, tables)
 
 
-def _ask(batches):
-    """(batch, key, word, docs, ids): each distinct word of a batch with its documents and counts; a row without a word has the documents."""
-    names = ["batch", "key", "word", "docs", "ids"]
+def _hash_words(batches):
     for batch in batches:
-        for lo, hi, data, offs in T.pieces(batch.column(1)):
-            data, starts, ends, bounds, hashes = _words(data, offs)
-            own = T.owners(bounds)
-            order = T.order_by_owner(own, hashes)
-            h, o = hashes[order], own[order]
-            head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.zeros(0, np.int64)
-            first, n = order[head], np.diff(np.append(head, len(h)))
-            by = np.argsort(hashes[first], kind="stable")
-            first, n = first[by], n[by]
-            key = hashes[first]
-            word = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            pairs = np.column_stack([own[first], n]).astype("<i4").tobytes()
-            edge = np.append(word, len(key)) * 8
-            docs = [pairs[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-            letters = np.zeros(hi - lo, np.int8)
-            for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
-                # a run of non-ASCII bytes need not hold a letter
-                ascii_letter = bool((data[starts[bounds[i] : bounds[i + 1]]] < 128).any())
-                letters[i] = ascii_letter or has_letter(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
-            name = uuid.uuid4().hex
-            texts = T.strings(data, starts[first[word]], ends[first[word]]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.string()), pa.array(key[word].view(np.int64)), texts, pa.array(docs, pa.binary()), pa.nulls(len(word), pa.list_(pa.int64()))], names)
-            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([letters.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names)
+        data, offs = T.buffers(batch.column(0))
+        key = T.span_hashes(data, offs[:-1], offs[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", "word", "n"])
+
+
+def _ask(shared):
+    """(batch, key, docs, ids): words of a batch that are not in the cache, with their documents and counts; and one row
+    without a key, of the documents: whether they have a letter, how many words, and the sums of cached scores."""
+    names = ["batch", "key", "docs", "ids"]
+
+    def run(batches):
+        known, logs = shared.value
+        for batch in batches:
+            for lo, hi, data, offs in T.pieces(batch.column(1)):
+                data, starts, ends, bounds, hashes = _words(data, offs)
+                rows = hi - lo
+                every, code = np.unique(hashes, return_inverse=True)
+                mine = np.sort((T.owners(bounds).astype(T.U) << T.U(40)) | code.astype(T.U))
+                head = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else np.zeros(0, np.int64)
+                n = np.diff(np.append(head, len(mine)))
+                doc, word = (mine[head] >> T.U(40)).astype(np.int64), (mine[head] & T.U((1 << 40) - 1)).astype(np.int64)
+                place, found = T.lookup(known, every)
+                have = found[word]
+                at = place[word[have]]
+                sums = np.column_stack([np.bincount(doc[have], n[have] * logs[at, k], rows) for k in range(logs.shape[1])]) if logs.shape[1] else np.zeros((rows, 0))
+                letters = np.zeros(rows, np.int8)
+                for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
+                    # a run of non-ASCII bytes need not hold a letter
+                    ascii_letter = bool((data[starts[bounds[i] : bounds[i + 1]]] < 128).any())
+                    letters[i] = ascii_letter or has_letter(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))
+                name = uuid.uuid4().hex
+                rest = np.flatnonzero(~have)
+                rest = rest[np.argsort(word[rest], kind="stable")]
+                pairs = np.column_stack([doc[rest], n[rest]]).astype("<i4").tobytes()
+                own = word[rest]
+                head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+                edge = np.append(head, len(own)) * 8
+                docs = [pairs[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(head), pa.string()), pa.array(every[own[head]].view(np.int64)), pa.array(docs, pa.binary()), pa.nulls(len(head), pa.list_(pa.int64()))], names)
+                whole = letters.tobytes() + np.diff(bounds).astype("<i8").tobytes() + sums.astype("<f8").tobytes()
+                ids = batch.column(0).slice(lo, rows).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), pa.array([whole], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], names)
+
+    return run
 
 
 def _open_grams(k: int):
@@ -171,16 +192,16 @@ def _judge(langs: list[str]):
     def run(table: pa.Table) -> pa.Table:
         key, docs, logs = table.column("key"), table.column("docs").to_pylist(), table.column("logs").to_pylist()
         meta = int(np.flatnonzero(np.asarray(key.is_null()))[0])
-        ids, letters = table.column("ids")[meta].as_py(), np.frombuffer(docs[meta], np.int8)
-        total, n = np.zeros((len(ids), len(langs))), np.zeros(len(ids), np.int64)
+        ids, whole = table.column("ids")[meta].as_py(), docs[meta]
+        letters = np.frombuffer(whole, np.int8, len(ids))
+        n = np.frombuffer(whole, "<i8", len(ids), len(ids))
+        total = np.frombuffer(whole, "<f8", offset=9 * len(ids)).reshape(len(ids), len(langs)).copy()
         rows = sorted((i for i in range(len(docs)) if i != meta), key=key.to_pylist().__getitem__)  # sums in one order always
-        if rows:
+        if rows and langs:
             size = np.array([len(docs[i]) // 8 for i in rows])
             pairs = np.frombuffer(b"".join(docs[i] for i in rows), "<i4").reshape(-1, 2).astype(np.int64)
-            np.add.at(n, pairs[:, 0], pairs[:, 1])
-            if langs:
-                scores = np.array([logs[i] if logs[i] is not None else [0.0] * len(langs) for i in rows])
-                np.add.at(total, pairs[:, 0], np.repeat(scores, size, axis=0) * pairs[:, 1:])
+            scores = np.array([logs[i] if logs[i] is not None else [0.0] * len(langs) for i in rows])
+            np.add.at(total, pairs[:, 0], np.repeat(scores, size, axis=0) * pairs[:, 1:])
         pred, score = [UND] * len(ids), np.zeros(len(ids))
         if langs:
             least = np.maximum(1, n)[:, None]
@@ -195,14 +216,37 @@ def _judge(langs: list[str]):
     return run
 
 
+def _cache(words: DataFrame, scores: DataFrame, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and scores of the most frequent words: those above the least count that at most CACHE_WORDS reach."""
+    often = words.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()
+    total, least = 0, 64
+    for r in sorted(often, key=lambda r: -r.b):
+        if total + r["count"] > CACHE_WORDS:
+            break
+        total, least = total + r["count"], r.b
+    hot = words.where(F.col("n") >= F.lit(2.0) ** least).select("key")
+    keys = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(T.U))
+    logs = np.zeros((len(keys), langs), np.float32)
+    found = scores.join(F.broadcast(hot), "key").toArrow() if langs and len(keys) else None
+    if found is not None and found.num_rows:
+        at = np.searchsorted(keys, found.column("key").to_numpy().view(T.U))
+        logs[at] = np.array(found.column("logs").to_pylist(), np.float32)
+    return keys, logs
+
+
 def predict(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """doc_id, lang_pred, score for docs (doc_id, text)."""
-    asked = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask, "batch string, key long, word string, docs binary, ids array<long>"))
+    spark = docs.sparkSession
     if model.langs:
-        scores = word_scores(asked.where("key is not null").groupBy("key").agg(F.first("word").alias("word")), model, scratch)
+        counted = docs.where("text is not null").select("text", F.lit("").alias("lang")).mapInArrow(_count_words, "lang string, word string, n long")
+        words = scratch.table(counted.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_hash_words, "key long, word string, n long"))
+        scores = word_scores(words.select("key", "word"), model, scratch)
+        shared = spark.sparkContext.broadcast(_cache(words, scores, len(model.langs)))
     else:
-        scores = docs.sparkSession.createDataFrame([], "key long, logs array<float>")
-    both = asked.drop("word").join(scores, "key", "left")
+        scores = spark.createDataFrame([], "key long, logs array<float>")
+        shared = spark.sparkContext.broadcast((np.zeros(0, T.U), np.zeros((0, 0), np.float32)))
+    asked = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask(shared), "batch string, key long, docs binary, ids array<long>"))
+    both = asked.join(scores, "key", "left")
     return both.groupBy("batch").applyInArrow(_judge(model.langs), "doc_id long, lang_pred string, score double")
 
 
