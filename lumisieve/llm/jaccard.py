@@ -37,6 +37,9 @@ SKETCH_BITS = 18
 SLICES = 64
 #: Counters of a set's signature: how many of its shingles fall into each cell.
 CELLS = 256
+#: Bits of a set's parity sketch: whether a cell has an odd number of its shingles.
+PARITY = 1024
+_PARITY = [f"p{k}" for k in range(PARITY // 64)]
 #: Sizes above this share one histogram bin; the boundary is always below.
 TOP_SIZE = 512
 
@@ -138,6 +141,8 @@ def _prefixes(width: int, bits: int, counts: bytes):
                 h, b = shingle_sets(data, offs, width)
                 cells = np.bincount(T.owners(b) * CELLS + (h & T.U(CELLS - 1)).astype(np.int64), minlength=CELLS * (hi - lo))
                 cells = np.minimum(cells, 255).astype(np.uint8)
+                odd = np.bincount(T.owners(b) * PARITY + ((h >> T.U(20)) & T.U(PARITY - 1)).astype(np.int64), minlength=PARITY * (hi - lo)) & 1
+                odd = np.packbits(odd.astype(np.uint8).reshape(hi - lo, PARITY), axis=1, bitorder="little").view("<i8")
                 one, two = T.sums(T.mix(h + T.U(1)), b), T.sums(T.mix(h + T.U(2)), b)
                 size, own = np.diff(b), T.owners(b)
                 rare = np.minimum(sketch[_sketch_cell(h, bits)], (1 << 24) - 1).astype(T.U)
@@ -146,7 +151,7 @@ def _prefixes(width: int, bits: int, counts: bytes):
                 prefix = h[np.arange(len(h)) - b[own] < kept[own]]
                 at = np.zeros(len(size) + 1, np.int64)
                 np.cumsum(kept, out=at[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(prefix, at), _fixed(cells, hi - lo)], ["doc_id", "n", "f1", "f2", "prefix", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(prefix, at), _fixed(cells, hi - lo), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(odd.shape[1]))], ["doc_id", "n", "f1", "f2", "prefix", "cells", *_PARITY])
 
     return run
 
@@ -226,7 +231,7 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     slices = docs.select("text").mapInArrow(_sketches(width, sketch_bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     counts = b"".join(bytes(r.counts) for r in sorted(slices, key=lambda r: r.slice)) or bytes(8 << sketch_bits)
-    rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary, cells binary"))
+    rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary, cells binary, " + ", ".join(f"{x} long" for x in _PARITY)))
     same = ["n", "f1", "f2"]
     classes = scratch.table(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     sizes = {r.s: r.c for r in classes.groupBy(F.least("n", F.lit(TOP_SIZE)).alias("s")).agg(F.count("*").alias("c")).collect()}
@@ -254,7 +259,13 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
         needed = F.floor((4 * (x + y) + 8) / 9) - F.greatest(past(x), past(y)) - large
         return (F.least(x, y) < edge) | (shared >= needed)
 
-    comp = connect(postings, near, verify, scratch, enough=enough)
+    def close(a: str, b: str):
+        # cells of unlike parity cannot outnumber the shingles of one set only, of which a link allows a ninth of both sizes
+        apart = [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _PARITY]
+        return near(a, b) & (9 * sum(apart[1:], apart[0]) <= F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+    sketches = rows.select(F.col("doc_id").alias("node"), *_PARITY).dropDuplicates(["node"])
+    comp = connect(postings, near, verify, scratch, enough=enough, detail=sketches, close=close)
     member = rows.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n", "class_id")
     return member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -93,13 +93,15 @@ def _shared(many: DataFrame, near: Callable[[str, str], Column], enough: Callabl
     return each.where(enough(F.col("shared"), "x", "y", F.least(F.coalesce("u_large", F.lit(0)), F.coalesce("v_large", F.lit(0))))).select("u", "v")
 
 
-def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 2, enough: Callable[..., Column] | None = None) -> DataFrame:
+def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Verify, scratch: Scratch, rounds: int = 2, enough: Callable[..., Column] | None = None, detail: DataFrame | None = None, close: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, comp) of all nodes that have a verified link.
 
     postings: ``key`` and ``node`` (long), and columns that ``near(a, b)``, a cheap necessary
     condition on two structs, reads.  verify: pairs (u, v) to those that hold.
     enough(shared, a, b, large): whether so many shared small buckets can be enough for a
     link of two structs, of which both may share up to ``large`` larger ones as well.
+    detail: more columns of nodes (node, ...), which ``close(a, b)``, a sharper necessary condition, reads
+    where the pairs that are left are compared in full.
     """
     rest = [c for c in postings.columns if c != "key"]
     wide = F.count(F.lit(1)).over(Window.partitionBy("key"))
@@ -108,11 +110,13 @@ def connect(postings: DataFrame, near: Callable[[str, str], Column], verify: Ver
     label: DataFrame | None = None
     left, turn, links, fresh = many, 0, 0, 1
     pair = lambda a, b: [F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")]
-    crossed = lambda t: t.alias("s").join(t.select("key", F.col("x").alias("y"), F.col("comp").alias("other")), "key").where("comp < other").where(near("x", "y")).select(*pair("x", "y"))
+    crossed = lambda t: t.alias("s").join(t.select("key", F.col("x").alias("y"), F.col("comp").alias("other")), "key").where("comp < other").where((close or near)("x", "y")).select(*pair("x", "y"))
+    more = [c for c in detail.columns if c != "node"] if detail is not None else []
+    detailed = lambda t: t if detail is None else t.withColumn("node", F.col("x.node")).join(detail, "node").select("key", "comp", F.struct("x.*", *more).alias("x"))
     while size:
         last = turn > 0 and not fresh or turn >= rounds
         if last:
-            pairs = crossed(left)
+            pairs = crossed(scratch.table(detailed(left)))
         else:
             by = lambda c, k: F.xxhash64(F.col(c), F.lit(turn * PIVOTS + k))  # noqa: B023, E731
             large = left.where(F.col("m") > SMALL)
