@@ -11,7 +11,7 @@
    anything else.  In buckets of up to a few lines all pairs meet; in larger ones each
    line meets some members, and lines that are still apart meet again under other blocks
    (:func:`linkage.gather`), so no bucket lists its pairs.
-4. Lines that meet are verified: edit distance of the normalised lines at most a fifth of
+4. Lines that meet are compared by the SimHash of the whole line, unless they are short, and then verified: edit distance of the normalised lines at most a fifth of
    the longer one.
 5. In each connected group the first occurrence (least doc_id, then line number) stays;
    all others go from their documents.
@@ -51,6 +51,10 @@ PAD = 4
 WIDTHS = ((0, 14, 44), (2, 36, 100), (4, 84, 1 << 62))
 #: Bytes of text that kernels take at once: their arrays stay in a core's cache.
 PIECE = 1 << 18
+#: Bits of the SimHash of a whole line, and how many may differ: random edits of a seventh of the characters change 96,
+#: give or take 8, and lines of one language that have nothing in common differ in 120.
+SKETCH, FARTHEST = 256, 110
+_SKETCH = [f"s{k}" for k in range(SKETCH // 64)]
 #: Shorter lines are hashed less each byte.
 SHORT = 18
 _LANES = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.uint8).view("<u8").ravel()
@@ -278,8 +282,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _alike(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """The pairs (u, v) of lines (node, norm) whose edit distance is a fifth of the longer one at most."""
+def _sketches(batches):
+    """SimHash of whole lines, SKETCH bits in longs, of some of their grams."""
+    for batch in batches:
+        for lo, hi, data, offs in T.pieces(batch.column(1), PIECE):
+            own, gram = edits.sampled(data, offs, np.minimum(1.0, edits.GRAMS / np.maximum(1, np.diff(offs))))
+            have, first = np.unique(own, return_index=True)
+            bounds = np.append(first, len(own))
+            out = np.zeros((SKETCH // 64, hi - lo), T.U)
+            for k in range(len(out)):
+                out[k, have] = simhash(T.mix(gram + T.U(k)), bounds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in out)], ["node", "size", *_SKETCH])
+
+
+def _wanted(have: bytes):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(have, np.asarray(batch.column(0)))))
+
+    return run
+
+
+def _alike(pairs: DataFrame, text: DataFrame, scratch: Scratch, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) of lines (node, norm) whose edit distance is a fifth of the longer one at most.
+
+    sketches: pairs of longer lines whose whole SimHashes are far apart are left out before any text is sent.
+    """
+    if sketches is not None:
+        side = lambda n, s: sketches.select(F.col("node").alias(n), *(F.col(x).alias(f"{s}{x}") for x in ("size", *_SKETCH)))
+        apart = [F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _SKETCH]
+        both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+        pairs = both.where((F.greatest("asize", "bsize") < 64) | (sum(apart[1:], apart[0]) <= FARTHEST)).select("u", "v")
+        pairs, count = scratch.counted(pairs)
+        have = bitmap(pairs.select(F.explode(F.array("u", "v")).alias("node")), 2 * count)
+        text = text.select("node", "norm").mapInArrow(_wanted(have), "node long, norm string")
     full = pairs.join(text.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u").join(text.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
     return full.select("u", "v", "a", "b").mapInArrow(edits.verified, "u long, v long")
 
@@ -295,7 +331,8 @@ def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame,
         held["text"] = text = scratch.table(every.where("norm is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")).withColumn("size", F.length("norm")))
         scratch.drop(every)
         scratch.drop(nodes)
-        return text.select("node", "size"), lambda pairs: _alike(pairs, text)
+        held["sketch"] = sketch = scratch.table(text.select("node", "norm", "size").mapInArrow(_sketches, "node long, size int, " + ", ".join(f"{x} long" for x in _SKETCH)))
+        return sketch.select("node", "size"), lambda pairs: _alike(pairs, text, scratch, sketch)
 
     def near(a, b):
         return 5 * F.abs(a - b) <= F.greatest(a, b)
@@ -306,6 +343,7 @@ def _by_blocks(docs: DataFrame, scratch: Scratch, keep: int) -> tuple[DataFrame,
     first = docs.select("text").mapInArrow(_postings(keep), "key long, node long")
     comp = gather(first.repartition(F.col("key")).dropDuplicates(["key", "node"]), again, verify, near, scratch)
     scratch.drop(held["text"])
+    scratch.drop(held["sketch"])
     return held["seen"], comp
 
 
@@ -323,7 +361,7 @@ def _by_simhash(docs: DataFrame, scratch: Scratch, radius: int) -> tuple[DataFra
         pairs, count = scratch.counted(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node"))
         every = docs.mapInArrow(_texts(bitmap(ends, 2 * count)), "doc_id long, line long, node long, norm string").where("norm is not null")
-        return _alike(pairs, scratch.table(every.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))))
+        return _alike(pairs, scratch.table(every.join(ends.distinct(), "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))), scratch)
 
     return seen, connect(nodes.select(keys.alias("key"), "node", "sim", "chars"), near, verify, scratch, rounds=1)
 

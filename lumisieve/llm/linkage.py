@@ -87,7 +87,10 @@ def _shared(many: DataFrame, near: Callable[[str, str], Column], enough: Callabl
     met = small.join(small.select("key", F.col("x").alias("y")), "key").where("x.node < y.node").where(near("x", "y"))
     if enough is None:
         return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-    each = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first("x").alias("x"), F.first("y").alias("y"))
+    # plain columns are aggregated, not structs: by hashing, in narrow rows
+    more = [c for c in small.select("x.*").columns if c != "node"]
+    each = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count(F.lit(1)).alias("shared"), *(F.max(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in more))
+    each = each.select("u", "v", "shared", *(F.struct(F.col(n).alias("node"), *(F.col(f"{s}_{c}").alias(c) for c in more)).alias(s) for s, n in (("x", "u"), ("y", "v"))))
     wide = lambda c: many.where(F.col("m") > SMALL).groupBy(F.col("x.node").alias(c)).agg(F.count(F.lit(1)).alias(f"{c}_large"))
     each = each.join(wide("u"), "u", "left").join(wide("v"), "v", "left")
     return each.where(enough(F.col("shared"), "x", "y", F.least(F.coalesce("u_large", F.lit(0)), F.coalesce("v_large", F.lit(0))))).select("u", "v")

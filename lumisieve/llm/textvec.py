@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute, for all kernels)
 
 #: Bytes of text handled at once by a kernel; a longer document is a piece of its own.
 PIECE_BYTES = 2 << 20
