@@ -35,6 +35,8 @@ from .scratch import Scratch, bounded_batches
 WIDTH = 5
 SKETCH_BITS = 18
 SLICES = 64
+#: Counters of a set's signature: how many of its shingles fall into each cell.
+CELLS = 256
 #: Bits of a set's parity sketch: whether a cell has an odd number of its shingles.
 PARITY = 1024
 _PARITY = [f"p{k}" for k in range(PARITY // 64)]
@@ -125,6 +127,10 @@ def _binary(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(hashes).view(np.uint8))]).cast(pa.binary())
 
 
+def _fixed(cells: np.ndarray, rows: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * CELLS).astype(np.int32)), pa.py_buffer(cells)])
+
+
 def _prefixes(width: int, bits: int, counts: bytes):
     """Size and fingerprint of each document's set, and its prefix, rare first."""
 
@@ -133,6 +139,8 @@ def _prefixes(width: int, bits: int, counts: bytes):
         for batch in batches:
             for lo, hi, data, offs in T.pieces(batch.column(1)):
                 h, b = shingle_sets(data, offs, width)
+                cells = np.bincount(T.owners(b) * CELLS + (h & T.U(CELLS - 1)).astype(np.int64), minlength=CELLS * (hi - lo))
+                cells = np.minimum(cells, 255).astype(np.uint8)
                 odd = np.bincount(T.owners(b) * PARITY + ((h >> T.U(20)) & T.U(PARITY - 1)).astype(np.int64), minlength=PARITY * (hi - lo)) & 1
                 odd = np.packbits(odd.astype(np.uint8).reshape(hi - lo, PARITY), axis=1, bitorder="little").view("<i8")
                 one, two = T.sums(T.mix(h + T.U(1)), b), T.sums(T.mix(h + T.U(2)), b)
@@ -143,7 +151,7 @@ def _prefixes(width: int, bits: int, counts: bytes):
                 prefix = h[np.arange(len(h)) - b[own] < kept[own]]
                 at = np.zeros(len(size) + 1, np.int64)
                 np.cumsum(kept, out=at[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(prefix, at), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(odd.shape[1]))], ["doc_id", "n", "f1", "f2", "prefix", *_PARITY])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _binary(prefix, at), _fixed(cells, hi - lo), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(odd.shape[1]))], ["doc_id", "n", "f1", "f2", "prefix", "cells", *_PARITY])
 
     return run
 
@@ -193,6 +201,14 @@ def _sets(width: int, wanted: bytes):
     return run
 
 
+def _alike(batches):
+    """Pairs whose signatures differ little enough: 9 * |x ^ y| <= |x| + |y| is needed, and cells cannot differ by more than |x ^ y|."""
+    for batch in batches:
+        x, y = (_bytes(batch.column(i))[0].reshape(-1, CELLS).astype(np.int16) for i in (2, 3))
+        apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        yield batch.select(["u", "v"]).filter(pa.array(9 * apart <= np.asarray(batch.column(4))))
+
+
 def _linked(batches):
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -215,7 +231,7 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     slices = docs.select("text").mapInArrow(_sketches(width, sketch_bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     counts = b"".join(bytes(r.counts) for r in sorted(slices, key=lambda r: r.slice)) or bytes(8 << sketch_bits)
-    rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary, " + ", ".join(f"{x} long" for x in _PARITY)))
+    rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary, cells binary, " + ", ".join(f"{x} long" for x in _PARITY)))
     same = ["n", "f1", "f2"]
     classes = scratch.table(rows.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id")))
     sizes = {r.s: r.c for r in classes.groupBy(F.least("n", F.lit(TOP_SIZE)).alias("s")).agg(F.count("*").alias("c")).collect()}
@@ -226,9 +242,12 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     sketches = rows.select(F.col("doc_id").alias("node"), "n", *_PARITY).join(classes.select(F.col("class_id").alias("node")), "node", "left_semi").dropDuplicates(["node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # parities tell small sets apart, counts of cells large ones; both before any set is read
         side = lambda x, name: sketches.select(F.col("node").alias(x), F.struct("n", *_PARITY).alias(name))
-        both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").where(close("x", "y")).select("u", "v")
-        pairs, count = scratch.counted(both)
+        pairs = scratch.table(pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").where(close("x", "y")).select("u", "v"))
+        side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n").alias(f"n{x}")).dropDuplicates([x])
+        both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "cu", "cv", (F.col("nu") + F.col("nv")).alias("n"))
+        pairs, count = scratch.counted(both.mapInArrow(_alike, "u long, v long"))
         ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
         sets = docs.mapInArrow(_sets(width, bitmap(ends, 2 * count)), "id long, s binary")
         sets = scratch.table(sets.join(ends.distinct(), "id", "left_semi"))
