@@ -7,39 +7,58 @@ a re-read, never a re-computation of all that came before.
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..functions.runtime import batch_rows, ship
+from ..functions.runtime import batch_rows, shared_dir, ship
 
 #: Rows in one Arrow batch; documents can be long, and a batch is held whole by a worker.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lumisieve-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Makes workers ready: ships the package, and keeps Arrow batches of whole texts small (a smaller setting stays)."""
     ship(spark)
     batch_rows(spark, BATCH_ROWS)
 
 
+#: Scratches in the order they were made; and those of the pipeline stage before this one.
+_MADE: list[Scratch] = []
+_BEFORE: list[Scratch] = []
+
+
+def stage(f):
+    """A pipeline stage, whose tables go when the next stage begins: its result has been written by then.
+
+    Tables that the next stage's input still reads (a result that was passed on unwritten) stay.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _BEFORE else []
+        for s in _BEFORE:
+            name = s.dir.rpartition("/")[2]
+            if s.spark is spark and not any(f"/{name}/" in x for x in read):
+                s._quiet()
+        _BEFORE.clear()
+        count = len(_MADE)
+        out = f(spark, docs, sf_dir)
+        _BEFORE.extend(_MADE[count:])
+        return out
+
+    return run
+
+
 class Scratch:
     """A folder of tables for one call of an operator."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.dir, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.where: dict[int, str] = {}
+        _MADE.append(self)
         atexit.register(self._quiet)
 
     def table(self, df: DataFrame) -> DataFrame:
