@@ -61,22 +61,24 @@ class Scratch:
         _MADE.append(self)
         atexit.register(self._quiet)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back."""
+    def table(self, df: DataFrame, tidy: bool = True) -> DataFrame:
+        """Writes df and reads it back; not tidy leaves shuffle files to a later call, for small tables."""
         self.n += 1
         path = f"{self.dir}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.where[id(back)] = path
+        if not tidy:
+            return back
         gc.collect()
         for _ in range(2):  # lets Spark delete the shuffle files of what is written now; the first only finds them
             self.spark.sparkContext._jvm.System.gc()
         return back
 
-    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+    def counted(self, df: DataFrame, tidy: bool = True) -> tuple[DataFrame, int]:
         """The table, and its number of rows, counted while it is written."""
         seen = Observation()
-        back = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        back = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")), tidy)
         return back, seen.get["n"]
 
     def drop(self, df: DataFrame | None) -> None:

@@ -15,6 +15,7 @@ from brute import alnum, contamination, deduped_lines, edit_distance, jaccard_gr
 
 from pyspark.sql import functions as F
 
+from lumisieve.llm.scratch import Scratch
 from lumisieve.llm import chat, decontaminate, jaccard, langid, linededup, lmscore, packing, quality, queries, textvec as T, toxicity, urlrules
 
 SF = "/root/testdata/sf0.001"
@@ -287,8 +288,42 @@ def test_mcd_resists_outliers(spark):
     rng = np.random.default_rng(0)
     inner, outer = rng.normal(size=(800, 6)), rng.normal(size=(150, 6)) + 15
     rows = spark.createDataFrame([(1, *map(float, x)) for x in np.concatenate([inner, outer])], "g long, " + ", ".join(f"{v} double" for v in quality.VECTOR))
-    mean, cov = quality.mcd(rows)[1]
-    assert np.abs(mean).max() < 0.4 and 0.4 < np.linalg.det(cov) ** (1 / 6) < 2.5
+    fits, groups = quality.mcd(rows, Scratch(spark, "test"))
+    (fit,) = fits.collect()
+    cov = quality._matrices(np.array([fit.c]))[0]
+    assert groups == 1 and fit.n == 950
+    assert np.abs(fit.m).max() < 0.4 and 0.4 < np.linalg.det(cov) ** (1 / 6) < 2.5
+
+
+def _planted(small):
+    """Clean texts, and ones with many repeated lines, digits or symbols (the table's own junk among them)."""
+    long = {d: t for d, t in small.items() if t and len(t.split()) > 60}
+    junk = {d: t for d, t in long.items() if re.search(r"[#*$%&|<>]", t)}
+    clean = {d: t for d, t in long.items() if d not in junk}
+    base = next(t for t in clean.values() if len(t.split()) > 150).split()
+    lines = [" ".join(base[i : i + 5]) for i in range(0, 100, 5)]
+    bad = {
+        90_001: "\n".join(lines[:8] + lines[:8][:6]),
+        90_002: " ".join(w if i % 3 else "20391847" for i, w in enumerate(base)),
+        90_003: " ".join(w if i % 5 else "$$##||" for i, w in enumerate(base)),
+    }
+    return clean, junk | bad
+
+
+def test_quality_rejects_planted(table, small, monkeypatch):
+    clean, bad = _planted(small)
+    docs = table(clean | bad).withColumn("source", F.when(F.col("doc_id") % 15 == 0, "rare").otherwise("hot"))
+    got = records(quality.judge(docs), "doc_id", "base_failed", "kept", "distance")
+    assert not any(got[d][1] for d in bad)
+    assert sum(got[d][1] for d in clean) >= 0.97 * sum(not got[d][0] for d in clean)
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    salted = records(quality.judge(docs), "doc_id", "base_failed", "kept", "distance")
+    assert {d: x[:2] for d, x in salted.items()} == {d: x[:2] for d, x in got.items()}
+
+
+def test_quality_null_groups_are_their_own(spark):
+    rows = spark.createDataFrame([(None, "en"), ("en", None), (None, None)], "lang string, source string")
+    assert rows.select(quality._key("source", "lang", "source")).distinct().count() == 3
 
 
 def test_chat_query(spark):
