@@ -385,6 +385,30 @@ def test_urls(spark):
     assert got[10][3:] == got[50][3:] == ("block", True) and got[51][3:] == ("allow", False)
 
 
+def test_mined_rules_decide_held_out_pages(spark):
+    """Bad numbered hosts among good ones, with a label in ten turned; a fifth of the pages has no label."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        site = int(rng.integers(1, 6))
+        rows.append((i, f"https://site{site}.shop.test/item/{i}?ref=x&page=2", site == 3))
+    rows += [(600 + i, "https://long.test/" + "/".join(f"part{k}" for k in range(40)), False) for i in range(30)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(b == (rng.random() < 0.1)), 0) for i, _, b in rows if i % 5], "doc_id long, quality int, toxic int")
+    got = records(urlrules.judge(pages, labels), "page_id", "verdict")
+    held = [(got[i][0] == "block", b) for i, _, b in rows if i % 5 == 0]
+    assert all(x == b for x, b in held) and sum(b for _, b in held) > 10
+
+
+def test_rules_need_a_bound_above_the_share(spark):
+    """Without any connexion of tokens and labels nothing is mined; nor from fewer than the least pages."""
+    rng = np.random.default_rng(6)
+    noise = [(f"https://h{i % 7}.test/{i % 3}", bool(rng.random() < 0.5)) for i in range(700)]
+    few = [("https://bad.test/x", True)] * 9 + [("https://good.test/x", False)] * 90
+    for rows, rules in ((noise, 0), (few, 0), (few + few[:1], 1)):
+        assert urlrules.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == rules
+
+
 def test_empty_tables(spark, table):
     empty = table({1: "x"}).where("false")
     items = spark.createDataFrame([], "item_id long, text string")
