@@ -10,7 +10,8 @@ Counts grow with the corpus and are never broadcast.  Documents are dealt to chu
 chunk asks for the counts of its distinct n-grams in one block of sorted 64-bit hashes for
 each counting task, which adds up the blocks of all chunks and answers each in the order
 asked.  So an n-gram, however frequent, costs a chunk one entry, and rows that are
-shuffled are blocks, not n-grams.
+shuffled are blocks, not n-grams.  Orders above 2 are asked for one by one, and chunks are
+scored in ROUNDS, so that the disk holds the answers and one order's or round's shuffle.
 
 Tokens are words (white-space separated, A-Z lower-cased) and one end for each text;
 contexts at a text's start are padded with a start mark that is never predicted.
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import textvec as T
 from .scratch import Scratch, bounded_batches
 
-ORDER = 2
+ORDER = 3
+#: Rounds of chunks in scoring; each reads the documents again and frees its shuffle.
+ROUNDS = 4
 #: The training documents of one chunk in so many are deleted for the weights; there are so many chunks at least.
 DELETED = 20
 #: Upper edges of the buckets of context counts; one more bucket is open.
@@ -96,8 +99,8 @@ def _keys(tok: np.ndarray, cut: np.ndarray, order: int) -> list[tuple[np.ndarray
     return out
 
 
-def _ask(order: int, parts: int):
-    """Blocks of distinct keys with the chunk's own training and deleted counts."""
+def _ask(order: int, parts: int, wanted: tuple[int, ...]):
+    """Blocks of distinct keys of the wanted orders with the chunk's own training and deleted counts."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -106,6 +109,8 @@ def _ask(order: int, parts: int):
         deleted = np.asarray(table.column("deleted")).astype(np.int64)
         rows = {"part": [], "chunk": [], "n": [], "keys": [], "counts": []}
         for n, (key, doc) in enumerate(_keys(tok, cut, order), 1):
+            if n not in wanted:
+                continue
             keys, code = np.unique(key, return_inverse=True)
             t = np.bincount(code, train[doc], len(keys)).astype(np.int64)
             d = np.bincount(code, deleted[doc], len(keys)).astype(np.int64)
@@ -277,8 +282,11 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER) -> DataFrame:
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
     gone = F.pmod(F.col("chunk"), F.lit(DELETED)) == 0
     rows = rows.withColumn("deleted", F.col("train") & gone)
-    asked = rows.groupBy("chunk").applyInArrow(_ask(order, parts), "part int, chunk long, n int, keys binary, counts binary")
-    answers = scratch.table(asked.groupBy("part").applyInArrow(_answer, "chunk long, n int, part int, counts binary"))
+    answers = None
+    for wanted in [(1, 2), *((n,) for n in range(3, order + 1))]:
+        asked = rows.groupBy("chunk").applyInArrow(_ask(order, parts, wanted), "part int, chunk long, n int, keys binary, counts binary")
+        some = scratch.table(asked.groupBy("part").applyInArrow(_answer, "chunk long, n int, part int, counts binary"))
+        answers = some if answers is None else answers.unionByName(some)
     total = kinds = held_total = held_kinds = 0
     for r in answers.where("chunk < 0").select("counts").collect():
         a = np.frombuffer(bytes(r.counts), "<i8").tolist()
@@ -287,5 +295,10 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER) -> DataFrame:
     some = rows.where(gone).groupBy("chunk").cogroup(mine.where(gone).groupBy("chunk"))
     held = scratch.table(some.applyInArrow(_held(order, total - held_total, held_kinds), "b int, " + ", ".join(f"p{k} double" for k in range(order + 1)) + ", w long"))
     weights = expectation_maximisation(held, order)
-    scored = rows.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(_score(order, total, kinds, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = None
+    for r in range(ROUNDS):
+        turn = F.pmod(F.col("chunk"), F.lit(ROUNDS)) == r
+        both = rows.where(turn).groupBy("chunk").cogroup(mine.where(turn).groupBy("chunk"))
+        part = scratch.table(both.applyInArrow(_score(order, total, kinds, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
