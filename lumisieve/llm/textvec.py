@@ -195,3 +195,18 @@ def order_by_owner(owner: np.ndarray, key: np.ndarray, stable: bool = False) ->
     first = np.argsort(key, kind="stable" if stable else None)
     small = owner.astype(np.uint16) if not len(owner) or owner.max() < 1 << 16 else owner
     return first[np.argsort(small[first], kind="stable")]
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, in the order given, with one space between those of a document: (bytes, starts, ends of documents there)."""
+    sizes = ends - starts + 1
+    offs = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offs[1:])
+    index = np.arange(offs[-1]) + np.repeat(starts - offs[:-1], sizes)
+    if len(starts):
+        index[offs[1:] - 1] = 0
+    out = data[index] if len(data) else np.zeros(0, np.uint8)
+    if len(starts):
+        out[offs[1:] - 1] = 32
+    first = offs[bounds[:-1]]
+    return out, first, np.maximum(offs[bounds[1:]] - 1, first)

@@ -101,3 +101,60 @@ def contamination(texts: dict[int, str | None], items: dict[int, str | None], wi
                     found |= got
         out[d] = (len(w), hit, found)
     return out
+
+
+def runs(words: list, least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, smallest period) of every maximal run."""
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i) + 1
+    return sorted((a, b - a, q) for (a, b), q in found.items())
+
+
+def without_passages(rows: list[tuple], k: int = 50) -> list[tuple[int, int, str]]:
+    """(words, removed, kept words) of rows (doc_id, text)."""
+    least: dict[tuple, int] = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - k + 1 if d is not None else 0):
+            x = tuple(w[i : i + k])
+            least[x] = min(d, least.get(x, d))
+    out = []
+    for d, t in rows:
+        w, gone = words(t), set()
+        for i in range(len(w) - k + 1 if d is not None else 0):
+            if least[tuple(w[i : i + k])] < d:
+                gone.update(range(i, i + k))
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def audit(rows: list[tuple], labels: list[tuple]) -> dict[tuple, tuple]:
+    """(part, order, step): counts, of rows (doc_id, text, source) and labels (doc_id, quality, toxic)."""
+    from collections import Counter
+    from itertools import permutations
+
+    mark = {i: {d for d, *v in labels if v[i] == 1} for i in (0, 1)}
+    failed = []
+    for d, t, s in rows:
+        t = t or ""
+        w = words(t)
+        bad = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": d is not None and any(e is not None and e < d and (u or "") == t for e, u, _ in rows)}
+        failed.append((s or "", {k for k, v in bad.items() if v}, d is not None and d in mark[0], d is not None and d in mark[1]))
+    out, shapley = {}, Counter()
+    for part in {x[0] for x in failed}:
+        mine = [x[1:] for x in failed if x[0] == part]
+        for p in map("".join, permutations("ABCDE")):
+            for k, f in enumerate(p):
+                past = set(p[:k])
+                removed = [x for x in mine if f in x[0] and not x[0] & past]
+                out[part, p, k + 1] = (sum(not x[0] & (past | {f}) for x in mine), len(removed), sum(f in x[0] and bool(x[0] & past) for x in mine), sum(x[0] == {f} for x in mine), sum(x[1] for x in removed), sum(x[2] for x in removed))
+                shapley[part, f] += len(removed)
+    return {key: (*v, shapley[key[0], key[1][key[2] - 1]]) for key, v in out.items()}
