@@ -16,13 +16,14 @@ from pyspark.sql import SparkSession
 from .functions.constants import MODES
 from .operators.hashing import BYTES, describe, hash_frames
 from .sources import frames as S, sinks
+from .sources.splittable import read_frames, stream_frames
 from .streaming import pipe
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lumisieve", description="Perceptual hashes of frames.")
     sub = top.add_subparsers(dest="command", required=True)
-    p = sub.add_parser("pipe", help="hash raw frames to text")
+    p = sub.add_parser("pipe", help="hash raw frames to records of any format")
     p.add_argument("input"), p.add_argument("output")
     p.add_argument("--format", default="luma8", choices=sorted(BYTES)), p.add_argument("--output-format", default="hex+nl")
     p.add_argument("--mode", default=MODES[0], choices=MODES), p.add_argument("--dihedrals", action="store_true")
@@ -43,11 +44,13 @@ def main(args: list[str] | None = None) -> None:
         return
     spark = SparkSession.builder.appName("lumisieve").getOrCreate()
     if a.command == "pipe":
-        sinks.parse(a.output_format)
+        kind, _ = sinks.parse(a.output_format)
+        keep = ("path", "frame_idx")
         if a.stream:
-            pipe.write(hash_frames(S.stream_raw(spark, a.input, a.format), a.mode, a.dihedrals), a.output, a.stream, a.output_format).awaitTermination()
+            pipe.write(hash_frames(stream_frames(spark, a.input, a.format), a.mode, a.dihedrals), a.output, a.stream, a.output_format).awaitTermination()
         else:
-            sinks.write_text(hash_frames(S.read_raw(spark, a.input, a.format), a.mode, a.dihedrals), a.output, a.output_format)
+            hashes = hash_frames(read_frames(spark, a.input, a.format), a.mode, a.dihedrals, with_pdqf=kind == "diagnostic", keep=keep)
+            sinks.write_records(hashes, a.output, a.output_format, (*keep, "ord"))
     elif a.command == "random-stream":
         S.random_frames(spark, a.frames, a.format, a.seed).select("image_id", "pixels").write.parquet(a.output)
     else:

@@ -70,6 +70,40 @@ def projection(mode: str = "variant") -> np.ndarray:
     return dct_matrix() @ sampler(mode)
 
 
+@lru_cache(maxsize=256)
+def triangle(size: int) -> np.ndarray:
+    """512 x size: scaling by a triangle filter, which widens with the step when pictures shrink; each row sums to one."""
+    step = size / SIZE
+    wide = max(step, 1.0)
+    centre, at = (np.arange(SIZE) + 0.5)[:, None] * step - 0.5, np.arange(size)[None, :]
+    w = np.maximum(1 - np.abs(at - centre) / wide, 0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=256)
+def scaled_sampler(mode: str, size: int) -> np.ndarray:
+    """S R: 127 x size."""
+    return sampler(mode) if size == SIZE else sampler(mode) @ triangle(size)
+
+
+@lru_cache(maxsize=256)
+def scaled_projection(mode: str, size: int) -> np.ndarray:
+    """A R: 16 x size."""
+    return projection(mode) if size == SIZE else projection(mode) @ triangle(size)
+
+
+@lru_cache(maxsize=2)
+def whole_dct() -> np.ndarray:
+    """The cosines in whole units of 2**-32 (as doubles, which hold them exactly)."""
+    return np.rint(dct_matrix() * 2.0**32)
+
+
+@lru_cache(maxsize=4)
+def whole_sampler(mode: str) -> np.ndarray:
+    """The sampler in whole ninths, or thirty-sixths in precise mode."""
+    return np.rint(sampler(mode) * (9 if mode == "variant" else 36))
+
+
 def pack_matrix(m: tuple[int, int, int, int]) -> int:
     """Four signed bytes, most significant first, as an unsigned 32-bit number."""
     return int.from_bytes(bytes(x & 0xFF for x in m), "big")

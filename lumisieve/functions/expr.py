@@ -61,6 +61,11 @@ def words(hashed: Column) -> list[Column]:
     return [F.conv(F.substring(hashed, 16 * k + 1, 16), 16, -10).cast("long").alias(w) for k, w in enumerate(WORDS)]
 
 
+def words_to_hex(parts: list[Column]) -> Column:
+    """64 lower-case hex digits of four signed 64-bit words."""
+    return F.lower(F.concat(*(F.lpad(F.hex(w), 16, "0") for w in parts)))
+
+
 def hamming(left: list[Column], right: list[Column]) -> Column:
     parts = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right)]
     return parts[0] + parts[1] + parts[2] + parts[3]

@@ -1,9 +1,19 @@
 """Frames to coefficients to hashes.
 
-Pixels cross to Python once, as Arrow batches of few frames, where one matrix product a
-batch gives the coefficients; pixels are projected away there.  Everything after that -
-quality, threshold, variants, bits - can be had as native expressions from stored
-coefficients, or from the same Arrow pass when hashes are all that is wanted.
+Pixels cross to Python once, as Arrow batches of few frames, where matrix products give the
+coefficients; pixels are projected away there.  Everything after that - quality,
+threshold, variants, bits - can be had as native expressions from stored coefficients, or
+from the same Arrow pass when hashes are all that is wanted.
+
+Frames have 512 x 512 pixels unless columns ``width`` and ``height`` say otherwise.  Other sizes are
+scaled by a triangle filter that is folded into the projection, (A R) X (A R')', so a picture is
+projected at its own size.  A row whose pixels are missing, or are not as many as its
+size says, keeps its place with null results.
+
+Bits are certain for frames of 512 x 512: they are those of the whole-number product D' T D'', with T the tent
+sums of the pixels and D' the cosines in units of 2**-32.  Double precision decides wherever the
+gap at the threshold exceeds what it can be wrong by (DOUBT); the few other frames are
+computed again in whole numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +28,11 @@ from ..functions.runtime import batch_rows, ship
 #: Frames in one Arrow batch: 8 MB of luma bytes.
 FRAMES = 32
 BYTES = {"luma8": 1, "rgb8": 3, "rgba8": 4}
+#: Twice the most by which a coefficient in double precision differs from the whole-number product: each cosine is off
+#: by 2**-33, of 127 x 127 tent means of up to 255, against cosines whose absolute values sum to 10.3 a row.
+DOUBT = 2 * (2 * 2**-33 * 127 * 255 * 10.3) + 1e-7
+#: Whole numbers in place of the luma weights, and their sum.
+LUMA_PARTS, LUMA_WHOLE = np.array([299, 587, 114]), 1000
 
 
 def few(batches):
@@ -27,15 +42,31 @@ def few(batches):
             yield batch.slice(at, FRAMES)
 
 
-def planes(column: pa.Array, fmt: list[str]) -> np.ndarray:
-    """Luma planes (n, 512, 512) of raw frames; bytes where all are luma already."""
-    if set(fmt) <= {"luma8"}:
-        return np.stack([np.frombuffer(raw.as_buffer(), np.uint8).reshape(C.SIZE, C.SIZE) for raw in column]) if len(column) else np.zeros((0, C.SIZE, C.SIZE), np.uint8)
-    out = np.empty((len(column), C.SIZE, C.SIZE), np.float64)
-    for i, (raw, kind) in enumerate(zip(column, fmt)):
-        px = np.frombuffer(raw.as_buffer(), np.uint8).reshape(C.SIZE, C.SIZE, BYTES[kind])
-        out[i] = px[..., 0] if kind == "luma8" else px[..., :3] @ np.array(C.LUMA)
-    return out
+def shaped(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the kernels read: image_id, pixels, fmt, width, height, and columns to pass through."""
+    size = [F.col(c).cast("int").alias(c) if c in frames.columns else F.lit(C.SIZE).alias(c) for c in ("width", "height")]
+    return frames.select("image_id", "pixels", "fmt", *size, *(F.col(c).alias(f"kept{k}") for k, c in enumerate(keep)))
+
+
+class Planes:
+    """The frames of one batch, by shape; rows that are no frames belong to none."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.raw, self.n = batch.column(1), len(batch)
+        self.shapes: dict[tuple[int, int, str], list[int]] = {}
+        for i, (w, h, fmt) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 2)))):
+            raw = self.raw[i]
+            if raw.is_valid and fmt in BYTES and w and h and w > 0 and h > 0 and len(raw.as_buffer()) == w * h * BYTES[fmt]:
+                self.shapes.setdefault((w, h, fmt), []).append(i)
+
+    def pixels(self, i: int, shape: tuple[int, int, str]) -> np.ndarray:
+        w, h, fmt = shape
+        return np.frombuffer(self.raw[i].as_buffer(), np.uint8).reshape(h, w, BYTES[fmt])
+
+    def whole(self, i: int, fmt: str) -> tuple[np.ndarray, int]:
+        """Luma of a 512 x 512 frame in whole numbers, and the number that stands for one."""
+        px = self.pixels(i, (C.SIZE, C.SIZE, fmt))
+        return (px[..., 0].astype(np.float64), 1) if fmt == "luma8" else (px[..., :3].astype(np.float64) @ LUMA_PARTS, LUMA_WHOLE)
 
 
 def _tent(x: np.ndarray) -> np.ndarray:
@@ -48,15 +79,64 @@ def _tent(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def coefficients(planes_: np.ndarray, mode: str) -> np.ndarray:
+def _square(x: np.ndarray, mode: str) -> np.ndarray:
+    """Coefficients (n, 16, 16) of luma planes (n, 512, 512)."""
     if mode != "variant":
         a = C.projection(mode)
-        return (a @ planes_ @ a.T).reshape(len(planes_), 256)
+        return a @ x @ a.T
     # the tent has five taps: it is applied as sums of slices, exact for bytes (81 * 255 fits 16 bits)
-    x = planes_.astype(np.uint16) if planes_.dtype == np.uint8 else planes_
+    x = x.astype(np.uint16) if x.dtype == np.uint8 else x
     small = _tent(np.ascontiguousarray(_tent(x).transpose(0, 2, 1)))  # (n, 127 columns, 127 rows)
     d = C.dct_matrix() / 9.0
-    return (d @ small.astype(np.float64).transpose(0, 2, 1) @ d.T).reshape(len(planes_), 256)
+    return d @ small.astype(np.float64).transpose(0, 2, 1) @ d.T
+
+
+def coefficients(planes: Planes, mode: str) -> np.ndarray:
+    """(n, 256); not-a-number for rows that are no frames."""
+    out = np.full((planes.n, C.ORDER, C.ORDER), np.nan)
+    for (w, h, fmt), rows in planes.shapes.items():
+        if (w, h) == (C.SIZE, C.SIZE) and fmt == "luma8":
+            out[rows] = _square(np.stack([planes.pixels(i, (w, h, fmt))[..., 0] for i in rows]), mode)
+        elif (w, h) == (C.SIZE, C.SIZE):
+            out[rows] = _square(np.stack([planes.pixels(i, (w, h, fmt))[..., :3] @ np.array(C.LUMA) for i in rows]), mode)
+        else:
+            down, across = C.scaled_projection(mode, h), C.scaled_projection(mode, w)
+            for i in rows:
+                px = planes.pixels(i, (w, h, fmt))
+                rowwise = (down @ px.reshape(h, -1)).reshape(C.ORDER, w, -1)  # 16 rows, before colours are mixed
+                out[i] = (rowwise[..., 0] if fmt == "luma8" else rowwise[..., :3] @ np.array(C.LUMA)) @ across.T
+    return out.reshape(planes.n, 256)
+
+
+def whole_coefficients(planes: Planes, i: int, fmt: str, mode: str) -> np.ndarray:
+    """The 256 coefficients of a 512 x 512 frame in whole numbers, in units of which no one needs to know the size."""
+    x, _ = planes.whole(i, fmt)
+    s, d = C.whole_sampler(mode), C.whole_dct()
+    t = s @ x @ s.T  # below 2**53, so exact
+    high = np.floor(t / 4096)
+    u = (d @ high).astype(np.int64).astype(object) * 4096 + (d @ (t - 4096 * high)).astype(np.int64).astype(object)
+    return (u @ d.T.astype(np.int64).astype(object)).ravel()
+
+
+class Certain:
+    """Bits of frames and their variants, certain for 512 x 512."""
+
+    def __init__(self, planes: Planes, mode: str):
+        self.planes, self.mode = planes, mode
+        self.known: dict[int, np.ndarray] = {}
+        self.fmt = {i: fmt for (w, h, fmt), rows in planes.shapes.items() if (w, h) == (C.SIZE, C.SIZE) for i in rows}
+
+    def above(self, p: np.ndarray, s: np.ndarray, source: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """p > its lower median s[:, 127], for coefficients that were moved from ``source`` and changed in sign."""
+        out = p > s[:, 127:128]
+        for i in np.flatnonzero(s[:, 128] - s[:, 127] <= DOUBT).tolist():
+            if i not in self.fmt:
+                continue
+            if i not in self.known:
+                self.known[i] = whole_coefficients(self.planes, i, self.fmt[i], self.mode)
+            v = self.known[i][source] * sign.astype(object)
+            out[i] = v > np.sort(v)[127]
+        return out
 
 
 def quality_of(p: np.ndarray) -> np.ndarray:
@@ -65,54 +145,69 @@ def quality_of(p: np.ndarray) -> np.ndarray:
     return np.minimum(gradient / C.QUALITY_DIVISOR, 1.0)
 
 
-def pack_bits(p: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+def pack_bits(above: np.ndarray) -> np.ndarray:
     """(n, 32) bytes, coefficient 255 in the first bit."""
-    return np.packbits((p > threshold[:, None])[:, ::-1], axis=1)
+    return np.packbits(above[:, ::-1], axis=1)
+
+
+def _column(values: np.ndarray, good: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values), mask=None if good.all() else ~good)
 
 
 def _pdqf(mode: str):
     def run(batches):
         for batch in few(batches):
-            p = coefficients(planes(batch.column(1), batch.column(2).to_pylist()), mode)
+            p = coefficients(Planes(batch), mode)
+            good = ~np.isnan(p[:, 0])
             s = np.partition(p, (127, 128), axis=1)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * 256), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array(s[:, 127]), pa.array(s[:, 128] - s[:, 127]), pa.array(quality_of(p))], ["image_id", "pdqf", "threshold", "margin", "quality"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * 256, mask=np.append(~good, False)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *(_column(x, good) for x in (s[:, 127], s[:, 128] - s[:, 127], quality_of(p)))], ["image_id", "pdqf", "threshold", "margin", "quality"])
 
     return run
 
 
 def pdqf(frames: DataFrame, mode: str = "variant") -> DataFrame:
-    """(image_id, pdqf, threshold, margin, quality, algo) of frames (image_id, pixels, fmt)."""
+    """(image_id, pdqf, threshold, margin, quality, algo) of frames (image_id, pixels, fmt, and width and height if not 512)."""
     C.sampler(mode)
     ship(frames.sparkSession), batch_rows(frames.sparkSession, FRAMES)
-    out = frames.select("image_id", "pixels", "fmt").mapInArrow(_pdqf(mode), "image_id long, pdqf array<double>, threshold double, margin double, quality double")
+    out = shaped(frames).mapInArrow(_pdqf(mode), "image_id long, pdqf array<double>, threshold double, margin double, quality double")
     return out.withColumn("algo", F.lit(mode))
 
 
-def _hashes(mode: str, ords: tuple[int, ...]):
+_HASHED = "image_id long, ord int, w0 long, w1 long, w2 long, w3 long, threshold double, margin double, quality double"
+
+
+def _hashes(mode: str, ords: tuple[int, ...], with_pdqf: bool, keep: tuple[str, ...]):
     steps = [C.dihedral_index(o) for o in ords]
 
     def run(batches):
         for batch in few(batches):
-            base = coefficients(planes(batch.column(1), batch.column(2).to_pylist()), mode)
+            planes = Planes(batch)
+            base = coefficients(planes, mode)
+            good, certain = ~np.isnan(base[:, 0]), Certain(planes, mode)
             for o, (src, sign) in zip(ords, steps):
                 p = base[:, src] * sign
                 s = np.partition(p, (127, 128), axis=1)
-                raw = pack_bits(p, s[:, 127])
-                w = raw.view(">i8").astype(np.int64)
+                w = pack_bits(certain.above(p, s, src, sign)).view(">i8").astype(np.int64)
                 n = len(p)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, o, np.int32)), pa.array([x.tobytes().hex() for x in raw]), *(pa.array(np.ascontiguousarray(w[:, k])) for k in range(4)), pa.array(s[:, 127]), pa.array(s[:, 128] - s[:, 127]), pa.array(quality_of(p))], ["image_id", "ord", "hash", *X.WORDS, "threshold", "margin", "quality"])
+                more = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 256, mask=np.append(~good, False)), pa.array(p.ravel()))] if with_pdqf else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, o, np.int32)), *(_column(x, good) for x in (*w.T, s[:, 127], s[:, 128] - s[:, 127], quality_of(p))), *more, *batch.columns[5:]], ["image_id", "ord", *X.WORDS, "threshold", "margin", "quality", *(["pdqf"] if with_pdqf else []), *keep])
 
     return run
 
 
-def hash_frames(frames: DataFrame, mode: str = "variant", dihedrals: bool = False) -> DataFrame:
-    """(image_id, ord, hash, w0..w3, threshold, margin, quality, algo): one row a frame, or eight."""
+def hash_frames(frames: DataFrame, mode: str = "variant", dihedrals: bool = False, with_pdqf: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, ord, hash, w0..w3, threshold, margin, quality, algo): one row a frame, or eight.
+
+    with_pdqf adds the coefficients of each in the same pass; keep names columns of the frames that pass through.
+    """
     C.sampler(mode)
     ship(frames.sparkSession), batch_rows(frames.sparkSession, FRAMES)
     ords = tuple(range(8)) if dihedrals else (0,)
-    schema = "image_id long, ord int, hash string, w0 long, w1 long, w2 long, w3 long, threshold double, margin double, quality double"
-    return frames.select("image_id", "pixels", "fmt").mapInArrow(_hashes(mode, ords), schema).withColumn("algo", F.lit(mode))
+    more = [*(["pdqf"] if with_pdqf else []), *keep]
+    kinds = {"pdqf": "array<double>"} | {c: frames.schema[c].dataType.simpleString() for c in keep}
+    out = shaped(frames, keep).mapInArrow(_hashes(mode, ords, with_pdqf, keep), ", ".join([_HASHED, *(f"{c} {kinds[c]}" for c in more)]))
+    return out.select("image_id", "ord", X.words_to_hex([F.col(w) for w in X.WORDS]).alias("hash"), *X.WORDS, "threshold", "margin", "quality", *more, F.lit(mode).alias("algo"))
 
 
 def confident(hashes: DataFrame, least: float = 0.5) -> DataFrame:
@@ -147,11 +242,16 @@ def describe(mode: str = "variant") -> str:
 
 def _plane_stats(mode: str):
     def run(batches):
-        s = C.sampler(mode)
         for batch in few(batches):
-            if len(batch):
-                x = (s @ planes(batch.column(1), batch.column(2).to_pylist()) @ s.T).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.sum(axis=1)), pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], ["image_id", "plane_sum", "plane_min", "plane_max"])
+            planes, sums = Planes(batch), np.full((len(batch), 3), np.nan)
+            for (w, h, fmt), rows in planes.shapes.items():
+                down, across = C.scaled_sampler(mode, h), C.scaled_sampler(mode, w)
+                for i in rows:
+                    px = planes.pixels(i, (w, h, fmt))
+                    x = down @ (px[..., 0] if fmt == "luma8" else px[..., :3] @ np.array(C.LUMA)) @ across.T
+                    sums[i] = x.sum(), x.min(), x.max()
+            good = ~np.isnan(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_column(x, good) for x in sums.T)], ["image_id", "plane_sum", "plane_min", "plane_max"])
 
     return run
 
@@ -160,4 +260,4 @@ def plane_stats(frames: DataFrame, mode: str = "variant") -> DataFrame:
     """(image_id, plane_sum, plane_min, plane_max) of the filtered 127 x 127 plane."""
     C.sampler(mode)
     ship(frames.sparkSession), batch_rows(frames.sparkSession, FRAMES)
-    return frames.select("image_id", "pixels", "fmt").mapInArrow(_plane_stats(mode), "image_id long, plane_sum double, plane_min double, plane_max double")
+    return shaped(frames).mapInArrow(_plane_stats(mode), "image_id long, plane_sum double, plane_min double, plane_max double")

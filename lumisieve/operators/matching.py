@@ -1,127 +1,273 @@
 """Exact Hamming-radius matching of needles against a haystack; 100 % recall.
 
-Few needles are broadcast (after their number is checked) and every haystack row is
-compared in generated code: the haystack never moves.  Many needles are matched through
-an exact multi-index: a pair within the radius agrees, up to radius // BANDS flips, on one
-of BANDS bands, so haystack bands are equi-joined with the needles' probes and verified.
+Two ways, chosen by what they cost (:meth:`Matcher.choose`).  The scan broadcasts the smaller
+side, in blocks of a checked size, and compares in generated code; the larger side never
+moves.  The index equi-joins bands: a pair within the radius agrees, up to
+radius // BANDS flips, on one of 16 bands, so one side's bands meet the other side's probes
+and are verified.  A haystack can be a DataFrame or a :class:`~.store.HashStore`, whose bands are
+joined where they lie.
+
+Distances at any radius (:meth:`Matcher.nearest`) come from rings: the index is asked with 0, 1
+and 2 flips, each time only for the needles whose nearest rows are not proven yet, and a
+scan settles the rest.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS, hamming
+from ..functions.runtime import stored
+from .store import BAND_BITS, BANDS, KEYS, HashStore, band, banded
 
-#: Needles up to here are broadcast: 64 bytes each.
+#: Rows up to here are broadcast: 64 bytes each.
 BROADCAST_NEEDLES = 100_000
-BANDS, BAND_BITS = 16, 16
+#: Needles up to here are scanned for without counting the haystack.
+FEW = 1000
+#: Flips of one band that the index will ask for: three bits of sixteen, radius 63.
+MOST_FLIPS = 697
+#: Nanoseconds of one core (measured on one machine; only their proportions matter): to compare a pair in the scan, to
+#: send a band or probe through a shuffle and a join, to read a stored band, to verify a pair that met in the index.
+SCAN_NS, ROW_NS, STORED_NS, PAIR_NS = 2, 400, 60, 20
+
+NEEDLE_WORDS = tuple(f"n{w}" for w in WORDS)
+
+
+def flips(radius: int) -> int:
+    """Keys to ask for in each band."""
+    return sum(comb(BAND_BITS, i) for i in range(radius // BANDS + 1))
 
 
 class Matcher:
-    """needles: needle_id (long), w0..w3.  Haystacks: hash_id (long), w0..w3."""
+    """needles: needle_id (long), w0..w3.  Haystacks: hash_id (long), w0..w3, or a store of them.
+
+    Nothing runs before a match is asked for; needles and haystack may be counted then, so hashes that
+    are made from frames should be stored first.
+    """
 
     def __init__(self, needles: DataFrame, radius: int = DEFAULT_RADIUS, strategy: str | None = None):
         if not 0 <= radius <= 256:
             raise ValueError("radius must be from 0 to 256")
         if strategy not in (None, "scan", "index"):
             raise ValueError("strategy is scan, index or None")
-        self.radius = radius
-        self.needles = needles.select("needle_id", *(F.col(w).alias(f"n{w}") for w in WORDS))
-        self.few = self.needles.limit(BROADCAST_NEEDLES + 1).count() <= BROADCAST_NEEDLES
-        self.strategy = strategy or ("scan" if self.few else "index")
+        if strategy == "index" and flips(radius) > MOST_FLIPS:
+            raise ValueError(f"the index would ask for {flips(radius)} keys in each band at radius {radius}; scan instead")
+        self.radius, self.strategy = radius, strategy
+        self.needles = needles.select("needle_id", *(F.col(w).alias(n) for w, n in zip(WORDS, NEEDLE_WORDS)))
+        #: Of the last :meth:`nearest`: (what was asked, needles, pairs compared).
+        self.compared: list[tuple[str, int, int]] = []
+
+    @cached_property
+    def count(self) -> int:
+        return self.needles.count()
+
+    @property
+    def few(self) -> bool:
+        return self.count <= BROADCAST_NEEDLES
 
     def distance(self) -> Column:
-        return hamming([F.col(w) for w in WORDS], [F.col(f"n{w}") for w in WORDS])
+        return hamming([F.col(w) for w in WORDS], [F.col(n) for n in NEEDLE_WORDS])
 
-    def all(self, haystack: DataFrame) -> DataFrame:
-        """(needle_id, hash_id, dist) of every pair within the radius."""
-        if self.strategy == "index":
-            return self._indexed(haystack)
-        hay = haystack.select("hash_id", *WORDS)
-        return hay.join(self._side(), self.distance() <= self.radius).select("needle_id", "hash_id", self.distance().alias("dist"))
+    # --- which way ----------------------------------------------------------------------
+
+    def costs(self, haystack: DataFrame | HashStore) -> dict[str, float]:
+        """Estimated core seconds of both ways."""
+        n, m, f = _rows(haystack), self.count, flips(self.radius)
+        out = {"scan": n * m * SCAN_NS * 1e-9}
+        if f <= MOST_FLIPS:
+            if isinstance(haystack, HashStore):
+                met = self._probes(self.radius).join(F.broadcast(haystack.counts()), ["band", "key"]).agg(F.sum("n")).first()[0] or 0
+                out["index"] = (BANDS * (n * STORED_NS + m * f * ROW_NS) + met * PAIR_NS) * 1e-9
+            else:
+                out["index"] = (BANDS * (max(n, m) + min(n, m) * f) * ROW_NS + n * m * BANDS * f / (1 << BAND_BITS) * PAIR_NS) * 1e-9
+        return out
+
+    def choose(self, haystack: DataFrame | HashStore) -> str:
+        if self.strategy:
+            return self.strategy
+        if isinstance(haystack, DataFrame) and haystack.isStreaming:  # rows to come cannot be counted
+            return "scan" if self.few else "index"
+        if self.count <= FEW or flips(self.radius) > MOST_FLIPS:
+            return "scan"
+        costs = self.costs(haystack)
+        return min(costs, key=costs.get)
 
-    def _side(self) -> DataFrame:
-        return F.broadcast(self.needles) if self.few else self.needles
+    # --- matches ------------------------------------------------------------------------
 
-    def exists(self, haystack: DataFrame) -> DataFrame:
+    def all(self, haystack: DataFrame | HashStore) -> DataFrame:
+        """(needle_id, hash_id, dist) of every pair within the radius."""
+        return self._indexed(haystack) if self.choose(haystack) == "index" else self._scanned(haystack)
+
+    def exists(self, haystack: DataFrame | HashStore) -> DataFrame:
         """One row: matched (boolean)."""
-        hit = haystack.select("hash_id", *WORDS).join(self._side(), self.distance() <= self.radius, "left_semi") if self.strategy == "scan" else self._indexed(haystack)
+        hit = _hashes(haystack).join(F.broadcast(self.needles), self.distance() <= self.radius, "left_semi") if self._by_needles(haystack) else self.all(haystack)
         return hit.limit(1).agg((F.count(F.lit(1)) > 0).alias("matched"))
 
-    def semi(self, haystack: DataFrame) -> DataFrame:
+    def semi(self, haystack: DataFrame | HashStore) -> DataFrame:
         """Haystack rows within the radius of some needle."""
-        if self.strategy == "index":
-            return haystack.join(self._indexed(haystack).select("hash_id").distinct(), "hash_id", "left_semi")
-        return haystack.join(self._side(), self.distance() <= self.radius, "left_semi")
+        return self._kept(haystack, "left_semi")
 
-    def anti(self, haystack: DataFrame) -> DataFrame:
+    def anti(self, haystack: DataFrame | HashStore) -> DataFrame:
         """Haystack rows that no needle matches."""
-        if self.strategy == "index":
-            return haystack.join(self._indexed(haystack).select("hash_id").distinct(), "hash_id", "left_anti")
-        return haystack.join(self._side(), self.distance() <= self.radius, "left_anti")
+        return self._kept(haystack, "left_anti")
+
+    def _kept(self, haystack, how: str) -> DataFrame:
+        rows = haystack.hashes() if isinstance(haystack, HashStore) else haystack
+        if self._by_needles(haystack):
+            return rows.join(F.broadcast(self.needles), self.distance() <= self.radius, how)
+        return rows.join(self.all(haystack).select("hash_id").distinct(), "hash_id", how)
+
+    def _by_needles(self, haystack) -> bool:
+        return self.few and self.choose(haystack) == "scan"
 
-    def first(self, haystack: DataFrame) -> DataFrame:
+    def first(self, haystack: DataFrame | HashStore) -> DataFrame:
         """The least (hash_id, needle_id) within the radius; no row if there is none."""
         least = self.all(haystack).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m"))
         return least.where("m is not null").select("m.*")
 
-    def first_per_needle(self, haystack: DataFrame) -> DataFrame:
+    def first_per_needle(self, haystack: DataFrame | HashStore) -> DataFrame:
         return self.all(haystack).groupBy("needle_id").agg(F.min(F.struct("hash_id", "dist")).alias("m")).select("needle_id", "m.*")
 
-    def counts(self, haystack: DataFrame) -> DataFrame:
+    def counts(self, haystack: DataFrame | HashStore) -> DataFrame:
         return self.all(haystack).groupBy("needle_id").agg(F.count(F.lit(1)).alias("matches"), F.min("dist").alias("least"), F.max("dist").alias("most"))
 
-    def top(self, haystack: DataFrame, k: int) -> DataFrame:
+    def top(self, haystack: DataFrame | HashStore, k: int) -> DataFrame:
         """(needle_id, hash_id, dist, rank) of the k nearest rows within the radius; ties by hash_id."""
-        rank = F.row_number().over(Window.partitionBy("needle_id").orderBy("dist", "hash_id"))
-        return self.all(haystack).withColumn("rank", rank).where(F.col("rank") <= k)
+        return _ranked(self.all(haystack), k)
 
-    def nearest(self, haystack: DataFrame) -> DataFrame:
-        """(needle_id, hash_id, dist): each needle's nearest row, at any distance.
+    def nearest(self, haystack: DataFrame | HashStore, k: int = 1) -> DataFrame:
+        """(needle_id, hash_id, dist, rank): each needle's k nearest rows at any distance; ties by hash_id.
 
-        Blocks of needles that may be broadcast are compared with every row; the least
-        distance and then the least hash_id of it are two hash aggregations, so no pair is sorted.
+        All rows within radius 15, 31 or 47 are found with 0, 1 or 2 flips; a needle with k of them is settled there.
         """
-        hay, out = haystack.select("hash_id", *WORDS), None
-        blocks = 1 if self.few else -(-self.needles.count() // (BROADCAST_NEEDLES // 2))
-        for k in range(blocks):
-            mine = self.needles if blocks == 1 else self.needles.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == k)
-            least = hay.join(F.broadcast(mine), F.lit(True)).groupBy("needle_id").agg(F.min(self.distance()).alias("dist"))
-            again = hay.join(F.broadcast(mine.join(least, "needle_id")), self.distance() == F.col("dist"))
-            found = again.groupBy("needle_id", "dist").agg(F.min("hash_id").alias("hash_id")).select("needle_id", "hash_id", "dist")
-            out = found if out is None else out.union(found)
+        self.compared = []
+        n = _rows(haystack)
+        if self.strategy == "scan" or not self.strategy and (self.count <= FEW or n * self.count * SCAN_NS < BANDS * (n + flips(2 * BANDS) * self.count) * ROW_NS):
+            self.compared.append(("scan", self.count, n * self.count))
+            return _farther(_hashes(haystack), self.needles, self.count, k)
+        left, out = self.needles, None
+        for reach in range(3):
+            asked, seen = left.count(), Observation()
+            if not asked:
+                break
+            radius = BANDS * (reach + 1) - 1
+            pairs = stored(self._joined(haystack, left, radius, seen), "ring")  # no shuffle above the count, which an empty stage would lose
+            found = stored(_ranked(pairs, k), "ring")
+            self.compared.append((f"radius {radius}", asked, seen.get["pairs"]))
+            settled = found.where(F.col("rank") == k).select("needle_id")
+            mine = found.join(settled, "needle_id", "left_semi")
+            out = mine if out is None else out.union(mine)
+            left = stored(left.join(settled, "needle_id", "left_anti"), "ring")
+        if rest := left.count():
+            self.compared.append(("scan", rest, n * rest))
+            last = _farther(_hashes(haystack), left, rest, k)
+            out = last if out is None else out.union(last)
         return out
 
-    def _indexed(self, haystack: DataFrame) -> DataFrame:
-        reach = self.radius // BANDS
-        hay = haystack.select("hash_id", *WORDS).withColumn("b", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), band([F.col(w) for w in WORDS], k).alias("key")) for k in range(BANDS))))).select("hash_id", *WORDS, "b.*")
-        flips = [sum(1 << x for x in c) for n in range(reach + 1) for c in combinations(range(BAND_BITS), n)]
-        nw = [F.col(f"n{w}") for w in WORDS]
-        probes = self.needles.withColumn("b", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), band(nw, k).alias("own")) for k in range(BANDS))))).select("*", "b.*").withColumn("key", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda f: F.col("own").bitwiseXOR(f.cast("long"))))).drop("b", "own")
-        hits = hay.join(probes, ["band", "key"]).withColumn("dist", self.distance()).where(F.col("dist") <= self.radius)
+    # --- scan ---------------------------------------------------------------------------
+
+    def _scanned(self, haystack) -> DataFrame:
+        hay = _hashes(haystack)
+        if self.few:
+            joined = hay.join(F.broadcast(self.needles), self.distance() <= self.radius)
+        elif _rows(haystack) <= BROADCAST_NEEDLES:
+            joined = self.needles.join(F.broadcast(hay), self.distance() <= self.radius)
+        else:
+            joined = None
+            for block in _blocks(self.needles, self.count):
+                some = hay.join(F.broadcast(block), self.distance() <= self.radius)
+                joined = some if joined is None else joined.union(some)
+        return joined.select("needle_id", "hash_id", self.distance().alias("dist"))
+
+    # --- index --------------------------------------------------------------------------
+
+    def _indexed(self, haystack) -> DataFrame:
+        return self._joined(haystack, self.needles, self.radius)
+
+    def _probes(self, radius: int, rows: DataFrame | None = None, words: tuple[str, ...] = NEEDLE_WORDS) -> DataFrame:
+        masks = [sum(1 << x for x in c) for n in range(radius // BANDS + 1) for c in combinations(range(BAND_BITS), n)]
+        own = banded(self.needles if rows is None else rows, [F.col(w) for w in words])
+        return own.withColumn("key", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda f: F.col("key").bitwiseXOR(f))))
+
+    def _joined(self, haystack, needles: DataFrame, radius: int, seen: Observation | None = None) -> DataFrame:
+        if isinstance(haystack, HashStore):
+            m = needles.count()
+            # a bucket's probes fit a hash table, so that stored bands need no sort
+            way = "shuffle_hash" if BANDS * flips(radius) * m <= 500_000 * haystack.buckets else "merge"
+            hits = haystack.bands().join(haystack.salted(self._probes(radius, needles)).hint(way), list(KEYS))
+        else:
+            hay = haystack.select("hash_id", *WORDS)
+            if radius >= BANDS and needles is self.needles and not haystack.isStreaming and haystack.count() < self.count:  # distance is symmetric: the fewer probe
+                hits = banded(needles, [F.col(n) for n in NEEDLE_WORDS]).join(self._probes(radius, hay, WORDS), ["band", "key"])
+            else:
+                hits = banded(hay, [F.col(w) for w in WORDS]).join(self._probes(radius, needles), ["band", "key"])
+        if seen is not None:
+            hits = hits.observe(seen, F.count(F.lit(1)).alias("pairs"))
+        hits = hits.withColumn("dist", self.distance()).where(F.col("dist") <= radius)
         # a pair may meet in several bands, and is kept in the first: no shuffle of pairs
-        apart = [F.bit_count(band([F.col(w) for w in WORDS], k).bitwiseXOR(band(nw, k))) for k in range(BANDS)]
-        first = F.coalesce(*(F.when(apart[k] <= reach, F.lit(k)) for k in range(BANDS)))
+        left, right = [F.col(w) for w in WORDS], [F.col(n) for n in NEEDLE_WORDS]
+        apart = [F.bit_count(band(left, k).bitwiseXOR(band(right, k))) for k in range(BANDS)]
+        first = F.coalesce(*(F.when(apart[k] <= radius // BANDS, F.lit(k)) for k in range(BANDS)))
         return hits.where(F.col("band") == first).select("needle_id", "hash_id", "dist")
 
 
-def band(words: list[Column], k: int) -> Column:
-    """Sixteen bits of a hash, band 0 most significant."""
-    return F.shiftright(words[k // 4], 48 - 16 * (k % 4)).bitwiseAND(0xFFFF)
+def _rows(haystack: DataFrame | HashStore) -> int:
+    return haystack.rows if isinstance(haystack, HashStore) else haystack.count()
+
+
+def _hashes(haystack: DataFrame | HashStore) -> DataFrame:
+    return haystack.hashes() if isinstance(haystack, HashStore) else haystack.select("hash_id", *WORDS)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("needle_id").orderBy("dist", "hash_id"))
+    return pairs.select("needle_id", "hash_id", "dist", rank.alias("rank")).where(F.col("rank") <= k)
+
+
+def _blocks(needles: DataFrame, count: int) -> list[DataFrame]:
+    """Needles in blocks that may be broadcast."""
+    blocks = 1 if count <= BROADCAST_NEEDLES else -(-count // (BROADCAST_NEEDLES // 2))
+    return [needles if blocks == 1 else needles.where(F.pmod(F.xxhash64("needle_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _farther(hay: DataFrame, needles: DataFrame, count: int, k: int) -> DataFrame:
+    """The k nearest by comparing every pair, in blocks of needles, without sorting pairs.
+
+    Pairs are counted by distance (at most 257 numbers a needle); those up to the distance that holds k rows are then ranked.
+    """
+    out, dist = None, hamming([F.col(w) for w in WORDS], [F.col(n) for n in NEEDLE_WORDS])
+    for block in _blocks(needles, count):
+        pairs = hay.join(F.broadcast(block), F.lit(True)).withColumn("dist", dist)
+        if k == 1:
+            bound = pairs.groupBy("needle_id").agg(F.min("dist").alias("bound"))
+        else:
+            upto = F.sum("n").over(Window.partitionBy("needle_id").orderBy("dist"))
+            some = pairs.groupBy("needle_id", "dist").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+            bound = some.groupBy("needle_id").agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("dist"))), F.max("dist")).alias("bound"))
+        near = hay.join(F.broadcast(block.join(bound, "needle_id")), dist <= F.col("bound"))
+        if k == 1:
+            found = near.groupBy("needle_id", "bound").agg(F.min("hash_id").alias("hash_id")).select("needle_id", "hash_id", F.col("bound").alias("dist"), F.lit(1).alias("rank"))
+        else:
+            found = _ranked(near.select("needle_id", "hash_id", dist.alias("dist")), k)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def filter_then_verify(frames: DataFrame, needles: DataFrame, radius: int = DEFAULT_RADIUS, slack: int = 8) -> DataFrame:
     """(image_id, needle_id, dist): a wider match on fast hashes, then precise hashes of the candidates only.
 
-    frames: image_id, pixels, fmt.  needles: precise hashes (needle_id, w0..w3).
+    frames: image_id, pixels, fmt.  needles: precise hashes (needle_id, w0..w3).  Both are hashed or read once.
     """
     from .hashing import hash_frames
 
-    fast = hash_frames(frames).select(F.col("image_id").alias("hash_id"), *WORDS)
-    near = Matcher(needles, radius + slack).semi(fast).select(F.col("hash_id").alias("image_id")).distinct()
-    exact = hash_frames(frames.join(near, "image_id", "left_semi"), "precise").select(F.col("image_id").alias("hash_id"), *WORDS)
+    needles = stored(needles.select("needle_id", *WORDS), "verify")
+    fast = stored(hash_frames(frames).select(F.col("image_id").alias("hash_id"), *WORDS), "verify")
+    near = stored(Matcher(needles, radius + slack).semi(fast).select(F.col("hash_id").alias("image_id")).distinct(), "verify")
+    exact = stored(hash_frames(frames.join(near, "image_id", "left_semi"), "precise").select(F.col("image_id").alias("hash_id"), *WORDS), "verify")
     return Matcher(needles, radius).all(exact).select(F.col("hash_id").alias("image_id"), "needle_id", "dist")

@@ -16,6 +16,7 @@ from ..functions.expr import WORDS
 from ..functions.runtime import folder, stored
 from ..operators import hashing as H
 from ..operators.matching import Matcher, filter_then_verify as verify
+from ..operators.store import HashStore
 from ..sources import frames as S, sinks
 from ..streaming import pipe
 
@@ -114,6 +115,16 @@ m AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, y.pa1*z.pb1 + y.pa2*z.pb2 AS v FROM
 """
 
 
+def _whole(precise: bool = False, tag: str = "w") -> str:
+    """Coefficients in whole numbers, after :func:`_image` of the same mode: cosines in units of 2**-32, the sampler in ninths or thirty-sixths."""
+    sampler = f"s{tag} AS (SELECT i, p, round(v * 36)::BIGINT AS v FROM precise)" if precise else f"s{tag} AS (SELECT i, p, round(v * 9)::BIGINT AS v FROM tent)"
+    return f""", d{tag} AS (SELECT k, j, round(v * 4294967296)::BIGINT AS v FROM dct), {sampler},
+a{tag} AS (SELECT k, p, sum(d{tag}.v*s{tag}.v)::BIGINT AS v FROM d{tag} JOIN s{tag} ON j = i GROUP BY k, p),
+p{tag} AS (SELECT id, k, sum(v) AS one, sum(v*a1) AS pa1, sum(v*b1) AS pb1, sum(v*a2) AS pa2, sum(v*b2) AS pb2, sum(v*(a1%2)) AS qa1, sum(v*(b1%2)) AS qb1, sum(v*(a2%2)) AS qa2, sum(v*(b2%2)) AS qb2, sum(v*(a1%2)*(a2%2)) AS qa, sum(v*(b1%2)*(b2%2)) AS qb FROM pat JOIN a{tag} ON p = x GROUP BY id, k),
+{tag} AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, y.pa1*z.pb1 + y.pa2*z.pb2 AS v FROM p{tag} y JOIN p{tag} z ON y.id = z.id)
+"""
+
+
 def _image_rgb() -> str:
     """Channels v, 255 - v and v // 2, where v // 2 = (v - p) / 2 with the parity p = x + y - 2xy of two products of bits."""
     return f"""WITH {_DCT}, {_TENT}, {_projection("tent")}, {_PATTERN},
@@ -122,7 +133,13 @@ m AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, (0.299 - 0.587 + 0.114/2)*(y.pa1*z.
 """
 
 
-_RGB = _image_rgb() + "@Q" + f"SELECT id AS image_id, CASE WHEN margin > {SAFE} THEN hash END AS hash, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id)"
+#: The weights times a thousand: 299 v + 587 (255 - v) + 57 (v - p).
+_RGB = (
+    _image_rgb()
+    + _whole()
+    + ", rgb AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, 149685*y.one*z.one - 231*(y.pa1*z.pb1 + y.pa2*z.pb2) - 57*(y.qa1*z.qb1 + y.qa2*z.qb2 - 2*y.qa*z.qb) AS v FROM pw y JOIN pw z ON y.id = z.id)"
+    + "@Q SELECT id AS image_id, hash, round(least(g/180, 1), 4) AS quality FROM hashed JOIN grad USING (id)"
+)
 
 
 _MATRIX = """WITH m0 AS (SELECT vec_id//4 AS id, ((vec_id%4)*64 + pos - 1)::INT AS i, e::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
@@ -143,7 +160,10 @@ _DIH = """dih(ord, dihedral, xx, xy, yx, yy, t, c, r) AS (VALUES
 (2, 'ROTATED_180', -1, 0, 0, -1, 0, 1, 1), (3, 'FLIPPED', 1, 0, 0, -1, 0, 0, 1),
 (4, 'ROTATED_90_FLOPPED', 0, -1, -1, 0, 1, 0, 0), (5, 'ROTATED_270', 0, 1, 1, 0, 1, 0, 1),
 (6, 'FLOPPED_ROTATED_270', 0, -1, 1, 0, 1, 1, 1), (7, 'ROTATED_90', 0, 1, -1, 0, 1, 1, 0))"""
-_VARIANTS = f""", {_DIH}, moved AS (SELECT id*8 + ord AS id, (CASE WHEN t = 1 THEN (i%16)*16 + i//16 ELSE i END)::INT AS i, v, c, r FROM m, dih),
+
+
+def _variants(m: str = "m") -> str:
+    return f""", {_DIH}, moved AS (SELECT id*8 + ord AS id, (CASE WHEN t = 1 THEN (i%16)*16 + i//16 ELSE i END)::INT AS i, v, c, r FROM {m}, dih),
 dm AS (SELECT id, i, v * (CASE WHEN c = 1 AND i%2 = 0 THEN -1 ELSE 1 END) * (CASE WHEN r = 1 AND (i//16)%2 = 0 THEN -1 ELSE 1 END) AS v FROM moved)
 """
 
@@ -239,46 +259,71 @@ def dct2d(spark, sf_dir):
     return rows.groupBy("image_id", F.floor(F.col("i") / 16).cast("int").alias("k")).agg(F.round(F.sum("v"), 4).alias("row_sum"))
 
 
-_SHOWN = f"CASE WHEN margin > {SAFE} THEN hash END AS hash"
+@query(_image() + _whole() + _quantize() + _quantize("w", "w") + _gradient() + "SELECT id AS image_id, hash, round(thr, 4) AS threshold, round(least(g/180, 1), 4) AS quality FROM hashedw JOIN thr USING (id) JOIN grad USING (id)")
+def hash_image(spark, sf_dir):
+    return H.hash_frames(images(spark, sf_dir)).select("image_id", "hash", F.round("threshold", 4).alias("threshold"), F.round("quality", 4).alias("quality"))
+
 
+@query(_image(True) + _whole(True) + _quantize() + _quantize("w", "w") + "SELECT id AS image_id, hash, round(thr, 4) AS threshold FROM hashedw JOIN thr USING (id)")
+def hash_precise(spark, sf_dir):
+    return H.hash_frames(images(spark, sf_dir), "precise").select("image_id", "hash", F.round("threshold", 4).alias("threshold"))
 
-def _shown():
-    return F.when(F.col("margin") > SAFE, F.col("hash")).alias("hash")
 
+#: Width and height of the pictures of a part, by its key modulo three.
+SIZES = ((384, 256), (200, 300), (1031, 640))
 
-@query(_image() + _quantize() + _gradient() + f"SELECT id AS image_id, {_SHOWN}, round(thr, 4) AS threshold, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id)")
-def hash_image(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir)).select("image_id", _shown(), F.round("threshold", 4).alias("threshold"), F.round("quality", 4).alias("quality"))
 
+def _resized_sql() -> str:
+    sizes = ", ".join(f"({k}, {w}, {h})" for k, (w, h) in enumerate(SIZES))
+    return f"""WITH {_DCT}, {_TENT}, {_projection("tent")}, sizes(n, w, h) AS (VALUES {sizes}), side AS (SELECT DISTINCT unnest([w, h]) AS size FROM sizes),
+tri AS (SELECT size, o, q, greatest(1 - abs(q - ((o + 0.5)::DOUBLE * size / 512 - 0.5)) / greatest(size / 512.0::DOUBLE, 1), 0) AS t FROM side, range(512) a(o), range(1100) b(q) WHERE q < size AND abs(q - ((o + 0.5)::DOUBLE * size / 512 - 0.5)) < greatest(size / 512.0::DOUBLE, 1)),
+norm AS (SELECT size, o, sum(t) AS total FROM tri GROUP BY ALL),
+scaled AS (SELECT size, k, q, sum(v * t / total) AS v FROM tri JOIN norm USING (size, o) JOIN amat ON p = o GROUP BY ALL),
+pat AS (SELECT p_partkey AS id, w, h, x, ((x*(3+s%7))//32 + k)%8 AS a1, ((x*(5+k%11))//24 + s)%19 AS b1, (((x+k)*(1+k%5))//16)%8 AS a2, (((x+3*s)*(2+s%5))//20)%19 AS b2 FROM (SELECT p_partkey, p_partkey AS k, p_size::BIGINT AS s FROM part) JOIN sizes ON k % {len(SIZES)} = n, range(1100) r(x)),
+down AS (SELECT id, k, sum(v*a1) AS a1, sum(v*a2) AS a2 FROM pat JOIN scaled ON size = h AND q = x GROUP BY id, k),
+across AS (SELECT id, k, sum(v*b1) AS b1, sum(v*b2) AS b2 FROM pat JOIN scaled ON size = w AND q = x GROUP BY id, k),
+m AS (SELECT y.id, (y.k*16 + z.k)::INT AS i, y.a1*z.b1 + y.a2*z.b2 AS v FROM down y JOIN across z ON y.id = z.id)
+"""
 
-@query(_image(True) + _quantize() + f"SELECT id AS image_id, {_SHOWN}, round(thr, 4) AS threshold FROM hashed JOIN thr USING (id)")
-def hash_precise(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir), "precise").select("image_id", _shown(), F.round("threshold", 4).alias("threshold"))
+
+@query(_resized_sql() + _quantize() + _gradient() + f"SELECT id AS image_id, w AS width, h AS height, CASE WHEN margin > {SAFE} THEN hash END AS hash, round(thr, 4) AS threshold, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id) JOIN (SELECT DISTINCT id, w, h FROM pat) USING (id)")
+def hash_resized(spark, sf_dir):
+    """Pictures of three sizes, none of them 512 x 512 (there, rounding could decide bits within SAFE)."""
+    frames = S.synthetic_frames(_dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), sizes=SIZES)
+    shown = F.when(F.col("margin") > SAFE, F.col("hash")).alias("hash")
+    return H.hash_frames(frames, keep=("width", "height")).select("image_id", "width", "height", shown, F.round("threshold", 4).alias("threshold"), F.round("quality", 4).alias("quality"))
 
 
 def _distances(spark, sf_dir):
-    fast = H.hash_frames(images(spark, sf_dir)).select("image_id", *WORDS, F.col("margin").alias("m1"))
-    slow = H.hash_frames(images(spark, sf_dir), "precise").select("image_id", *(F.col(w).alias(f"p{w}") for w in WORDS), F.col("margin").alias("m2"))
-    return fast.join(slow, "image_id").where((F.col("m1") > SAFE) & (F.col("m2") > SAFE)).select("image_id", X.hamming([F.col(w) for w in WORDS], [F.col(f"p{w}") for w in WORDS]).alias("dist"))
+    fast = H.hash_frames(images(spark, sf_dir)).select("image_id", *WORDS)
+    slow = H.hash_frames(images(spark, sf_dir), "precise").select("image_id", *(F.col(w).alias(f"p{w}") for w in WORDS))
+    return fast.join(slow, "image_id").select("image_id", X.hamming([F.col(w) for w in WORDS], [F.col(f"p{w}") for w in WORDS]).alias("dist"))
 
 
-@query()
+#: Hashes of both modes, in whole numbers: fast (id, w0..w3) and precise.
+_BOTH = f"""WITH {_DCT}, {_TENT}, {_BOX}, {_PATTERN}{_whole()}{_whole(True, "u")}{_quantize("w", "w")}{_quantize("u", "u")},
+fast AS (SELECT id, {_WORDS} FROM hashedw), slow AS (SELECT id, {_WORDS} FROM hashedu),
+apart AS (SELECT h.id AS image_id, {_DIST} AS dist FROM fast h JOIN slow n USING (id))
+"""
+
+
+@query(_BOTH + "SELECT image_id, dist FROM apart")
 def variant_vs_precise_distance(spark, sf_dir):
     return _distances(spark, sf_dir)
 
 
-@query()
+@query(_BOTH + "SELECT n, worst, round(average, 4) AS average, round(100.0/pow(2, (31 - worst + 1)/2.0)/n, 9) AS worst_fnr, round(100.0/pow(2, (31 - average + 1)/2.0)/n, 9) AS average_fnr FROM (SELECT count(*) AS n, max(dist) AS worst, avg(dist) AS average FROM apart)")
 def fnr_stats(spark, sf_dir):
     """Worst and mean distance of fast hashes from precise ones, and the bound on missed matches that follows."""
     got = _distances(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("worst"), F.avg("dist").alias("average"))
-    bound = lambda x: F.lit(100.0) / F.pow(F.lit(2.0), (F.lit(31) - x + 1) / 2) / F.col("n")
+    bound = lambda x: F.round(F.lit(100.0) / F.pow(F.lit(2.0), (F.lit(31) - x + 1) / 2) / F.col("n"), 9)
     return got.select("n", "worst", F.round("average", 4).alias("average"), bound(F.col("worst")).alias("worst_fnr"), bound(F.col("average")).alias("average_fnr"))
 
 
-@query(_image() + _quantize() + _gradient() + f"SELECT id AS image_id, CASE WHEN margin > {SAFE} AND g/180 > 0.5 THEN hash END AS hash, round(least(g/180, 1), 4) AS quality FROM hashed JOIN thr USING (id) JOIN grad USING (id)")
+@query(_image() + _whole() + _quantize("w", "w") + _gradient() + "SELECT id AS image_id, CASE WHEN g/180 > 0.5 THEN hash END AS hash, round(least(g/180, 1), 4) AS quality FROM hashedw JOIN grad USING (id)")
 def hash_confident(spark, sf_dir):
     """The hash, null where the quality is 0.5 or less."""
-    return H.confident(H.hash_frames(images(spark, sf_dir))).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
+    return H.confident(H.hash_frames(images(spark, sf_dir))).select("image_id", "hash", F.round("quality", 4).alias("quality"))
 
 
 @query(_image() + _gradient() + "SELECT id AS image_id, round(least(g/180, 1), 4) AS quality FROM grad WHERE g/180 > 0.5")
@@ -286,9 +331,9 @@ def quality_filter(spark, sf_dir):
     return H.pdqf(images(spark, sf_dir)).where("quality > 0.5").select("image_id", F.round("quality", 4).alias("quality"))
 
 
-@query(_image() + _VARIANTS + _quantize("dm") + f"SELECT id//8 AS image_id, (id%8)::INT AS ord, {_SHOWN} FROM hashed JOIN thr USING (id)")
+@query(_image() + _whole() + _variants("w") + _quantize("dm") + "SELECT id//8 AS image_id, (id%8)::INT AS ord, hash FROM hashed")
 def dihedral_hashes(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir), dihedrals=True).select("image_id", "ord", _shown())
+    return H.hash_frames(images(spark, sf_dir), dihedrals=True).select("image_id", "ord", "hash")
 
 
 # --- matrices of embeddings: the native expressions --------------------------------------
@@ -362,7 +407,7 @@ def negate_off_diagonals(spark, sf_dir):
     return _moved(spark, sf_dir, X.negate_off_diagonals)
 
 
-@query(_MATRIX + _VARIANTS + _quantize("dm") + _gradient("dm") + "SELECT id//8 AS id, (id%8)::INT AS ord, hash, round(least(g/180, 1), 4) AS quality, thr AS threshold FROM hashed JOIN grad USING (id) JOIN thr USING (id)")
+@query(_MATRIX + _variants() + _quantize("dm") + _gradient("dm") + "SELECT id//8 AS id, (id%8)::INT AS ord, hash, round(least(g/180, 1), 4) AS quality, thr AS threshold FROM hashed JOIN grad USING (id) JOIN thr USING (id)")
 def dihedral_quality(spark, sf_dir):
     return H.dihedrals(matrices(spark, sf_dir)).select("id", "ord", "hash", F.round("quality", 4).alias("quality"), "threshold")
 
@@ -438,7 +483,14 @@ def match_min_dist(spark, sf_dir):
 @query(_MATCH + "SELECT needle_id, hash_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY dist, hash_id) AS r FROM pairs) WHERE r = 1")
 def match_nearest(spark, sf_dir):
     m, hay = _matcher(spark, sf_dir)
-    return m.nearest(hay)
+    return m.nearest(hay).select("needle_id", "hash_id", "dist")
+
+
+@query(_MATCH + "SELECT needle_id, hash_id, dist, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY dist, hash_id) AS r FROM pairs) WHERE r <= 3")
+def match_rings(spark, sf_dir):
+    """Three nearest rows at any distance: rings of the index, then a scan for needles that have fewer close ones."""
+    hay = stored(texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS), "rings")
+    return Matcher(needles(spark, sf_dir), strategy="index").nearest(hay, 3)
 
 
 @query(_MATCH + "SELECT needle_id, hash_id, dist, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY needle_id ORDER BY dist, hash_id) AS r FROM pairs WHERE dist <= 100) WHERE r <= 5")
@@ -488,8 +540,18 @@ def match_sharded(spark, sf_dir):
     return Matcher(needles(spark, sf_dir)).all(_shards(spark, sf_dir))
 
 
+@query(_MATCH + f", shards AS (SELECT hash_id, w0, w1, w2, w3 FROM hay UNION ALL SELECT hash_id + 1000000000, w0, w1, w2, w3 FROM ({_texts('pages', 'page_id')})), batches AS (SELECT (needle_id % 3)::INT AS batch, needle_id, hash_id, {_DIST} AS dist FROM shards h CROSS JOIN need n) SELECT batch, needle_id, hash_id, dist FROM batches WHERE dist <= 31")
+def resident_store(spark, sf_dir):
+    """A store of documents to which pages are appended, asked with three batches of needles."""
+    store = HashStore.create(spark, folder(spark, "store"), texts(spark, sf_dir, "documents", "doc_id"), buckets=16)
+    store.append(texts(spark, sf_dir, "pages", "page_id").withColumn("hash_id", F.col("hash_id") + 1_000_000_000))
+    asked = stored(needles(spark, sf_dir), "needles")
+    found = [Matcher(asked.where(F.col("needle_id") % 3 == b), strategy="index").all(store).withColumn("batch", F.lit(b)) for b in range(3)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("batch", "needle_id", "hash_id", "dist")
+
+
 def _screened_sql() -> str:
-    return _image() + _VARIANTS + _quantize("dm") + f""", safe AS (SELECT id, hash, {_WORDS} FROM hashed JOIN thr USING (id) WHERE margin > {SAFE}),
+    return _image() + _whole() + _variants("w") + _quantize("dm") + f""", safe AS (SELECT id, hash, {_WORDS} FROM hashed),
 hay AS (SELECT hash_id, w0, w1, w2, w3 FROM ({_texts('documents', 'doc_id')}) UNION ALL SELECT 1000000000 + id//8, w0, w1, w2, w3 FROM safe WHERE id%8 = 3)
 SELECT n.id//8 AS image_id, (n.id%8)::INT AS ord, hash_id, {_DIST} AS dist FROM hay h JOIN safe n ON {_DIST} <= 31"""
 
@@ -498,16 +560,14 @@ SELECT n.id//8 AS image_id, (n.id%8)::INT AS ord, hash_id, {_DIST} AS dist FROM
 def screen_images(spark, sf_dir):
     """The flagship: eight hashes of each image against texts' hashes and the flipped images' own."""
     # needles and haystack both come from these hashes: frames are made and hashed once
-    every = stored(H.hash_frames(images(spark, sf_dir), dihedrals=True).where(F.col("margin") > SAFE).select("image_id", "ord", *WORDS), "screen")
+    every = stored(H.hash_frames(images(spark, sf_dir), dihedrals=True).select("image_id", "ord", *WORDS), "screen")
     hay = texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS).unionByName(every.where("ord = 3").select((F.col("image_id") + 1_000_000_000).alias("hash_id"), *WORDS))
-    own = every.select((F.col("image_id") * 8 + F.col("ord")).alias("hash_id"), *WORDS)
-    # distance is symmetric: the fewer texts are what the index probes with
-    few = hay.withColumnRenamed("hash_id", "needle_id")
-    pairs = Matcher(few, strategy="index").all(_dealt(own, "hash_id"))
-    return pairs.select(F.floor(F.col("hash_id") / 8).alias("image_id"), (F.col("hash_id") % 8).cast("int").alias("ord"), F.col("needle_id").alias("hash_id"), "dist")
+    own = every.select((F.col("image_id") * 8 + F.col("ord")).alias("needle_id"), *WORDS)
+    pairs = Matcher(own).all(stored(hay, "screen"))
+    return pairs.select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
 
 
-@query()
+@query(_BOTH + f", near AS (SELECT DISTINCT h.id FROM fast h JOIN slow n ON {_DIST} <= 39) SELECT h.id AS image_id, n.id AS needle_id, {_DIST} AS dist FROM slow h SEMI JOIN near USING (id) JOIN slow n ON {_DIST} <= 31")
 def filter_then_verify(spark, sf_dir):
     """Precise hashes of the images as needles; a fast pass at radius 39, then precise hashes of what it lets through."""
     need = H.hash_frames(images(spark, sf_dir), "precise").select(F.col("image_id").alias("needle_id"), *WORDS)
@@ -550,9 +610,21 @@ def format_raw(spark, sf_dir):
     return H.quantize(matrices(spark, sf_dir)).select("id", F.octet_length(raw).alias("n_bytes"), F.lower(F.hex(raw)).alias("back"))
 
 
-@query()
+@query(
+    _MATRIX
+    + _variants()
+    + _quantize("dm")
+    + _gradient("dm")
+    + """, cells AS (SELECT id, i, CASE WHEN v > first THEN '*' ELSE '' END || printf('%.5f', v) AS cell, CASE WHEN v > thr THEN '1' ELSE '0' END AS bit FROM dm JOIN thr USING (id) JOIN (SELECT id//8 AS image, thr AS first FROM thr WHERE id%8 = 0) ON id//8 = image),
+lines AS (SELECT id, i//16 AS r, string_agg(cell, chr(9) ORDER BY i) AS line FROM cells GROUP BY ALL),
+body AS (SELECT id, string_agg(line, chr(10) ORDER BY r) AS body FROM lines GROUP BY id),
+bits AS (SELECT id, string_agg(bit, '' ORDER BY i DESC) AS bits FROM cells GROUP BY id)
+SELECT id//8 AS image_id, (id%8)::INT AS ord, CASE WHEN id%8 = 0 THEN '["original"]' ELSE '[Dihedrals { packed: ' || (((xx & 255)::BIGINT << 24) + ((xy & 255)::BIGINT << 16) + ((yx & 255)::BIGINT << 8) + (yy & 255)::BIGINT) || ' }]' END
+  || chr(10) || 'Index: ' || (id%8) || chr(10) || printf('Quality: %.3f', least(g/180, 1)*100) || chr(10) || printf('Threshold: %.7f', thr) || chr(10) || 'Hash:' || chr(10) || bits || chr(10) || 'PDQF:' || chr(10) || body || chr(10) AS report
+FROM bits JOIN body USING (id) JOIN thr USING (id) JOIN grad USING (id) JOIN dih ON ord = id%8"""
+)
 def format_diagnostic(spark, sf_dir):
-    return sinks.diagnostic(H.dihedrals(matrices(spark, sf_dir).withColumnRenamed("id", "image_id")))
+    return sinks.diagnostic(H.dihedrals(matrices(spark, sf_dir).withColumnRenamed("id", "image_id"))).select("image_id", "ord", "report")
 
 
 @query("SELECT l_orderkey, l_linenumber, len // 262144 AS frames, CASE WHEN len % 262144 = 0 THEN 'complete' WHEN len % 512 = 0 THEN 'dropped' ELSE 'error' END AS tail FROM (SELECT l_orderkey, l_linenumber, (l_partkey % 5) * 262144 + (l_suppkey % 3) * 512 + (CASE WHEN l_linenumber % 4 = 0 THEN 7 ELSE 0 END) AS len FROM lineitem)")
@@ -570,28 +642,28 @@ def stats_fps(spark, sf_dir):
 
 @query()
 def random_source(spark, sf_dir):
-    """Hashes of a hundred seeded random frames."""
-    return H.hash_frames(S.random_frames(spark, 100)).select("image_id", "hash", "quality")
+    """Hashes of seeded random frames, one for each part."""
+    return H.hash_frames(S.random_frames_of(_dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id"))).select("image_id", "hash", "quality")
 
 
-@query(_RGB.replace("@Q", _quantize() + _gradient()))
+@query(_RGB.replace("@Q", _quantize("rgb") + _gradient()))
 def hash_rgb(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir, "rgb8")).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
+    return H.hash_frames(images(spark, sf_dir, "rgb8")).select("image_id", "hash", F.round("quality", 4).alias("quality"))
 
 
-@query(_RGB.replace("@Q", _quantize() + _gradient()))
+@query(_RGB.replace("@Q", _quantize("rgb") + _gradient()))
 def hash_rgba(spark, sf_dir):
-    return H.hash_frames(images(spark, sf_dir, "rgba8")).select("image_id", _shown(), F.round("quality", 4).alias("quality"))
+    return H.hash_frames(images(spark, sf_dir, "rgba8")).select("image_id", "hash", F.round("quality", 4).alias("quality"))
 
 
-@query()
+@query(_image() + _whole() + _quantize("w", "w") + _gradient() + "SELECT id AS image_id, hash, round(least(g/180, 1), 4) AS quality FROM hashedw JOIN grad USING (id)")
 def stream_hash(spark, sf_dir):
     """part as a stream: frames made, hashed and appended to a table until all rows there are taken."""
     base = folder(spark, "stream")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     # a pattern, as the stream source takes a plain path for a folder
     stream = spark.readStream.schema(table(spark, sf_dir, "part").schema).parquet(f"{sf_dir}/part.parque[t]").select(*parts.columns)
-    out = pipe.pipe(S.synthetic_frames(stream)).select("image_id", "hash", "quality")
+    out = pipe.pipe(S.synthetic_frames(stream)).select("image_id", "hash", F.round("quality", 4).alias("quality"))
     q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")

@@ -1,6 +1,6 @@
-"""Frames: raw files, random bytes, synthetic images.
+"""Frames: raw files, random bytes, pictures, synthetic images.
 
-Frames are rows (image_id, frame_idx, fmt, pixels).  Raw files hold frames one after the
+Frames are rows (image_id, frame_idx, fmt, pixels), with width and height where they need not be 512.  Raw files hold frames one after the
 other without headers.  A file that ends between rows of a frame drops that frame; one that
 ends inside a row is an error, or a row with an error text if ``permissive``.
 """
@@ -48,7 +48,7 @@ def split(files: DataFrame, fmt: str = "luma8", permissive: bool = False) -> Dat
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "luma8", permissive: bool = False) -> DataFrame:
-    """Frames of headerless files; each file is one row of the source and at most 2 GB."""
+    """Frames of headerless files through Spark's own reader: a file is one row there, of 2 GB at most (else :func:`~.splittable.read_frames`)."""
     frame_bytes(fmt)
     return split(spark.read.format("binaryFile").load(path).select("path", "length", "content"), fmt, permissive)
 
@@ -61,39 +61,49 @@ def stream_raw(spark: SparkSession, path: str, fmt: str = "luma8") -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """JPEG and PNG files of 512 x 512, through Spark's image source (blue, green, red)."""
-    rows = spark.read.format("image").load(path).select("image.*").where((F.col("width") == SIZE) & (F.col("height") == SIZE))
-    ship(spark), batch_rows(spark, FRAMES)
+    """Pictures of any size through Spark's image source (which has blue, green, red), as frames with width, height, path and error.
+
+    A file that is no picture keeps its row, with null pixels and an error text.
+    """
+    rows = spark.read.format("image").load(path).select("image.*")
+    ship(spark), batch_rows(spark, 1)  # a picture can be large
 
     def to_rgb(batches):
         for batch in batches:
             out = []
             for raw, channels in zip(batch.column(1), batch.column(2).to_pylist()):
-                px = np.frombuffer(raw.as_buffer(), np.uint8).reshape(SIZE * SIZE, channels)
-                out.append(np.repeat(px, 3, axis=1).tobytes() if channels == 1 else px[:, 2::-1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "pixels"])
+                px = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, channels) if raw.is_valid and channels and channels > 0 else None
+                out.append(None if px is None else np.repeat(px, 3, axis=1).tobytes() if channels == 1 else px[:, 2::-1].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 3, 4, 5)), pa.array(out, pa.binary())], ["image_id", "width", "height", "path", "pixels"])
 
-    got = rows.select(F.xxhash64("origin").alias("image_id"), "data", "nChannels").mapInArrow(to_rgb, "image_id long, pixels binary")
-    return got.select("image_id", F.lit(0).cast("long").alias("frame_idx"), F.lit("rgb8").alias("fmt"), "pixels")
+    got = rows.select(F.xxhash64("origin").alias("image_id"), "data", "nChannels", "width", "height", "origin").mapInArrow(to_rgb, "image_id long, width int, height int, path string, pixels binary")
+    bad = F.when(F.col("pixels").isNull(), F.concat(F.lit("not a picture: "), F.col("path")))
+    return got.select("image_id", F.lit(0).cast("long").alias("frame_idx"), F.lit("rgb8").alias("fmt"), "pixels", "width", "height", "path", bad.alias("error"))
 
 
 def random_frames(spark: SparkSession, n: int, fmt: str = "luma8", seed: int = 0) -> DataFrame:
     """n frames of seeded random bytes; a frame depends on its number and the seed alone."""
+    return random_frames_of(spark.range(n).withColumnRenamed("id", "image_id"), fmt, seed)
+
+
+def random_frames_of(ids: DataFrame, fmt: str = "luma8", seed: int = 0) -> DataFrame:
+    """A random frame for each image_id."""
     size = frame_bytes(fmt)
-    ship(spark), batch_rows(spark, FRAMES)
+    ship(ids.sparkSession), batch_rows(ids.sparkSession, FRAMES)
 
     def make(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.random.default_rng([seed, i]).bytes(size) for i in ids], pa.binary())], ["image_id", "pixels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.random.default_rng([seed, i]).bytes(size) for i in batch.column(0).to_pylist()], pa.binary())], ["image_id", "pixels"])
 
-    got = spark.range(n).mapInArrow(make, "image_id long, pixels binary")
+    got = ids.select("image_id").mapInArrow(make, "image_id long, pixels binary")
     return got.select("image_id", F.col("image_id").alias("frame_idx"), F.lit(fmt).alias("fmt"), "pixels")
 
 
-def synthetic_frames(parts: DataFrame, fmt: str = "luma8") -> DataFrame:
+def synthetic_frames(parts: DataFrame, fmt: str = "luma8", sizes: tuple[tuple[int, int], ...] = ((SIZE, SIZE),)) -> DataFrame:
     """A frame for every row of part: integer planes made of two products of a row and a column pattern.
 
+    Part k has the width and height that stand at k modulo their number in ``sizes``.
+
     Pixel (r, c) of part k with size s is a1(r) * b1(c) + a2(r) * b2(c), from 0 to 252, with
     a1 = ((r * (3 + s % 7)) / 32 + k) % 8, b1 = ((c * (5 + k % 11)) / 24 + s) % 19,
     a2 = (((r + k) * (1 + k % 5)) / 16) % 8, b2 = (((c + 3 * s) * (2 + s % 5)) / 20) % 19,
@@ -103,17 +113,19 @@ def synthetic_frames(parts: DataFrame, fmt: str = "luma8") -> DataFrame:
     ship(parts.sparkSession), batch_rows(parts.sparkSession, FRAMES)
 
     def make(batches):
-        x = np.arange(SIZE)
         for batch in batches:
-            out = []
-            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a1, b1 = ((x * (3 + s % 7)) // 32 + k) % 8, ((x * (5 + k % 11)) // 24 + s) % 19
-                a2, b2 = (((x + k) * (1 + k % 5)) // 16) % 8, (((x + 3 * s) * (2 + s % 5)) // 20) % 19
-                v = (np.outer(a1, b1) + np.outer(a2, b2)).astype(np.uint8)
+            out, shape = [], [sizes[k % len(sizes)] for k in batch.column(0).to_pylist()]
+            for k, s, (w, h) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shape):
+                x, y = np.arange(w), np.arange(h)
+                a1, b1 = ((y * (3 + s % 7)) // 32 + k) % 8, ((x * (5 + k % 11)) // 24 + s) % 19
+                a2, b2 = (((y + k) * (1 + k % 5)) // 16) % 8, (((x + 3 * s) * (2 + s % 5)) // 20) % 19
+                small = lambda a, b: np.outer(a.astype(np.uint8), b.astype(np.uint8))
+                v = small(a1, b1) + small(a2, b2)
                 if fmt != "luma8":
                     v = np.stack([v, 255 - v, v // 2, *([np.full_like(v, 128)] if fmt == "rgba8" else [])], axis=-1)
                 out.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "pixels"])
+            width, height = (pa.array([wh[k] for wh in shape], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), width, height], ["image_id", "pixels", "width", "height"])
 
-    got = parts.select(F.col("p_partkey").alias("image_id"), F.col("p_size").cast("long")).mapInArrow(make, "image_id long, pixels binary")
-    return got.select("image_id", F.lit(0).cast("long").alias("frame_idx"), F.lit(fmt).alias("fmt"), "pixels")
+    got = parts.select(F.col("p_partkey").alias("image_id"), F.col("p_size").cast("long")).mapInArrow(make, "image_id long, pixels binary, width int, height int")
+    return got.select("image_id", F.lit(0).cast("long").alias("frame_idx"), F.lit(fmt).alias("fmt"), "pixels", "width", "height")

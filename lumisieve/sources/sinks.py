@@ -1,12 +1,18 @@
-"""Output encodings of hashes, and writers."""
+"""Output encodings of hashes, and writers: text by Spark, any format by the record sink (:mod:`.splittable`)."""
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType
+from pyspark.sql.window import Window
 
+from ..functions.constants import DIHEDRALS, pack_matrix
 from ..functions.expr import hex_to_bits
+from ..functions.runtime import ship
 
 FORMATS = ("raw", "q+raw", "hex", "HEX", "q+hex", "q+HEX", "bin", "BIN", "q+bin", "base64", "diagnostic")
 SEPARATORS = {"nl": "\n", "lf": "\n", "crlf": "\r\n", "cr": "\r", "nul": "\0"}
@@ -38,14 +44,44 @@ def raw_bytes(hashed: Column) -> Column:
 
 
 def diagnostic(variants: DataFrame) -> DataFrame:
-    """For each variant (image_id, ord, dihedral, pdqf, threshold, quality, hash): a text of its bits and its
-    coefficients, 16 to a line, with a star where they exceed the threshold of the image's first variant."""
-    first = variants.where("ord = 0").select("image_id", F.col("threshold").alias("first"))
-    rows = variants.join(first, "image_id")
-    cell = F.transform("pdqf", lambda v: F.concat(F.format_string("%.1f", v), F.when(v > F.col("first"), "*").otherwise("")))
+    """(image_id, ord, report) of each variant (image_id, ord, pdqf, threshold, quality, hash): its name, number, quality in
+    per cent, threshold, bits, and coefficients, 16 to a line, with a star where they exceed the threshold of the image's first variant."""
+    first = F.first_value("threshold").over(Window.partitionBy("image_id").orderBy("ord"))
+    rows = variants.withColumn("first", first)
+    cell = F.transform("pdqf", lambda v: F.concat(F.when(v > F.col("first"), "*").otherwise(""), F.format_string("%.5f", v)))
     table = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda r: F.array_join(F.slice(cell, r * 16 + 1, F.lit(16)), "\t")), "\n")
-    head = F.format_string("%s %d quality %.7f threshold %.7f\n", F.col("dihedral"), F.col("ord"), F.col("quality"), F.col("threshold"))
-    return rows.select("image_id", "ord", F.concat(head, hex_to_bits(F.col("hash")), F.lit("\n"), table).alias("report"))
+    packed = F.element_at(F.array(*(F.lit(pack_matrix(m)).cast("long") for _, _, m, _ in DIHEDRALS)), F.col("ord") + 1)
+    name = F.when(F.col("ord") == 0, '["original"]').otherwise(F.format_string("[Dihedrals { packed: %d }]", packed))
+    head = F.format_string("\nIndex: %d\nQuality: %.3f\nThreshold: %.7f\nHash:\n", F.col("ord"), F.col("quality") * 100, F.col("threshold"))
+    return rows.select(*[c for c in variants.columns if c in ("image_id", "ord", "path", "frame_idx")], F.concat(name, head, hex_to_bits(F.col("hash")), F.lit("\nPDQF:\n"), table, F.lit("\n")).alias("report"))
+
+
+@F.pandas_udf(BinaryType())
+def _little_endian(quality: pd.Series) -> pd.Series:
+    """The four bytes of 32-bit floats."""
+    raw = quality.to_numpy(np.dtype("<f4")).tobytes()
+    return pd.Series([raw[i : i + 4] for i in range(0, len(raw), 4)])
+
+
+def records(hashes: DataFrame, spec: str) -> DataFrame:
+    """Adds ``record``: the bytes of each hash in any format, separator included (diagnostic needs ``pdqf``)."""
+    kind, sep = parse(spec)
+    ship(hashes.sparkSession)
+    if kind == "diagnostic":
+        return diagnostic(hashes).withColumn("record", F.encode(F.concat("report", F.lit(sep)), "UTF-8"))
+    if kind in ("raw", "q+raw"):
+        parts = ([_little_endian("quality")] if kind == "q+raw" else []) + [raw_bytes(F.col("hash"))] + ([F.encode(F.lit(sep), "UTF-8")] if sep else [])
+        return hashes.withColumn("record", F.concat(*parts))
+    return hashes.withColumn("record", F.encode(encode(F.col("hash"), F.col("quality"), spec), "UTF-8"))
+
+
+def write_records(hashes: DataFrame, path: str, spec: str, order: tuple[str, ...] = ("image_id", "ord"), batch: int | None = None) -> None:
+    """Appends the records in order, as one batch; under a number of its own, a batch is written once only."""
+    from .splittable import SINK, register
+
+    register(hashes.sparkSession)
+    out = records(hashes, spec).orderBy(*order).select("record").write.format(SINK).mode("append").option("path", path)
+    (out if batch is None else out.option("batch", batch)).save()
 
 
 def write_text(hashes: DataFrame, path: str, spec: str = "hex+nl") -> None:

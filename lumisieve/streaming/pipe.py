@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.hashing import hash_frames
 from ..operators.matching import Matcher
-from ..sources.sinks import encode, parse
+from ..sources.sinks import parse, records
+from ..sources.splittable import SINK, register
 
 
 def pipe(frames: DataFrame, mode: str = "variant", dihedrals: bool = False) -> DataFrame:
@@ -18,14 +19,20 @@ def pipe(frames: DataFrame, mode: str = "variant", dihedrals: bool = False) -> D
 def screen(frames: DataFrame, needles: DataFrame, radius: int = 31, least_quality: float = 0.5) -> DataFrame:
     """(needle_id, hash_id, dist) of a stream's frames against fixed needles; hash_id is image_id."""
     hashes = hash_frames(frames).where(F.col("quality") > least_quality).select(F.col("image_id").alias("hash_id"), "w0", "w1", "w2", "w3")
-    return Matcher(needles, radius, "scan").all(hashes)
+    return Matcher(needles, radius).all(hashes)
 
 
 def write(hashes: DataFrame, path: str, checkpoint: str, spec: str = "hex+nl") -> StreamingQuery:
-    """Appends encoded hashes as text; what is there is taken and the query ends."""
-    kind, sep = parse(spec)
-    rows = hashes.select(encode(F.col("hash"), F.col("quality"), kind).alias("value"))
-    return rows.writeStream.format("text").option("path", path).option("lineSep", sep or "\n").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Appends records of any format but diagnostic, each once also over restarts; what is there is taken and the query ends.
+
+    Frames keep the order of their source: files in the order of their names are the records in order.
+    """
+    kind, _ = parse(spec)
+    if kind == "diagnostic":
+        raise ValueError("diagnostic needs all variants of an image together; write it in batches")
+    register(hashes.sparkSession)
+    rows = records(hashes, spec).select("record")
+    return rows.writeStream.format(SINK).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def per_second(rows: DataFrame, at: Column) -> DataFrame:
