@@ -68,7 +68,7 @@ def words_to_hex(parts: list[Column]) -> Column:
 
 def hamming(left: list[Column], right: list[Column]) -> Column:
     parts = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right)]
-    return parts[0] + parts[1] + parts[2] + parts[3]
+    return sum(parts[1:], parts[0])
 
 
 def transpose(values: Column) -> Column:

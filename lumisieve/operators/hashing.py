@@ -70,25 +70,27 @@ class Planes:
 
 
 def _tent(x: np.ndarray) -> np.ndarray:
-    """Rows 4, 8, ..., 508 of planes under the tent 1 2 3 2 1 (ninths); whole numbers stay whole."""
-    at = lambda d: x[:, 4 + d : 509 + d : 4]
-    out = at(0) * x.dtype.type(3)
-    out += (at(-1) + at(1)) * x.dtype.type(2)
-    out += at(-2)
-    out += at(2)
+    """Sums of a plane of bytes under the tent 1 2 3 2 1, down and across: 127 x 127 whole numbers of 81 * 255 at most."""
+    two, three = np.uint16(2), np.uint16(3)
+    down = x[4:509:4].astype(np.uint16) * three
+    down += (x[3:508:4].astype(np.uint16) + x[5:510:4]) * two
+    down += x[2:507:4]
+    down += x[6:511:4]
+    step = np.ascontiguousarray(down.reshape(C.COARSE, -1, 4).transpose(2, 0, 1))  # columns by their remainder of four
+    out = step[0][:, 1:] * three
+    out += (step[3][:, :-1] + step[1][:, 1:]) * two
+    out += step[2][:, :-1]
+    out += step[2][:, 1:]
     return out
 
 
-def _square(x: np.ndarray, mode: str) -> np.ndarray:
-    """Coefficients (n, 16, 16) of luma planes (n, 512, 512)."""
+def _square(planes, mode: str) -> np.ndarray:
+    """Coefficients (n, 16, 16) of luma planes of 512 x 512."""
     if mode != "variant":
         a = C.projection(mode)
-        return a @ x @ a.T
-    # the tent has five taps: it is applied as sums of slices, exact for bytes (81 * 255 fits 16 bits)
-    x = x.astype(np.uint16) if x.dtype == np.uint8 else x
-    small = _tent(np.ascontiguousarray(_tent(x).transpose(0, 2, 1)))  # (n, 127 columns, 127 rows)
-    d = C.dct_matrix() / 9.0
-    return d @ small.astype(np.float64).transpose(0, 2, 1) @ d.T
+        return np.stack([a @ x @ a.T for x in planes])
+    s, d = C.sampler(mode), C.dct_matrix()
+    return d @ np.stack([_tent(x) / 81.0 if x.dtype == np.uint8 else s @ x @ s.T for x in planes]) @ d.T
 
 
 def coefficients(planes: Planes, mode: str) -> np.ndarray:
@@ -96,9 +98,9 @@ def coefficients(planes: Planes, mode: str) -> np.ndarray:
     out = np.full((planes.n, C.ORDER, C.ORDER), np.nan)
     for (w, h, fmt), rows in planes.shapes.items():
         if (w, h) == (C.SIZE, C.SIZE) and fmt == "luma8":
-            out[rows] = _square(np.stack([planes.pixels(i, (w, h, fmt))[..., 0] for i in rows]), mode)
+            out[rows] = _square([planes.pixels(i, (w, h, fmt))[..., 0] for i in rows], mode)
         elif (w, h) == (C.SIZE, C.SIZE):
-            out[rows] = _square(np.stack([planes.pixels(i, (w, h, fmt))[..., :3] @ np.array(C.LUMA) for i in rows]), mode)
+            out[rows] = _square([planes.pixels(i, (w, h, fmt))[..., :3] @ np.array(C.LUMA) for i in rows], mode)
         else:
             down, across = C.scaled_projection(mode, h), C.scaled_projection(mode, w)
             for i in rows:

@@ -34,7 +34,7 @@ FEW = 1000
 MOST_FLIPS = 697
 #: Nanoseconds of one core (measured on one machine; only their proportions matter): to compare a pair in the scan, to
 #: send a band or probe through a shuffle and a join, to read a stored band, to verify a pair that met in the index.
-SCAN_NS, ROW_NS, STORED_NS, PAIR_NS = 2, 400, 60, 20
+SCAN_NS, ROW_NS, STORED_NS, PAIR_NS = 15, 1000, 100, 200
 
 NEEDLE_WORDS = tuple(f"n{w}" for w in WORDS)
 
@@ -74,18 +74,28 @@ class Matcher:
     def distance(self) -> Column:
         return hamming([F.col(w) for w in WORDS], [F.col(n) for n in NEEDLE_WORDS])
 
+    def within(self) -> Column:
+        """Within the radius; half of the bits turn most pairs down."""
+        half = hamming([F.col(w) for w in WORDS[:2]], [F.col(n) for n in NEEDLE_WORDS[:2]])
+        return (half <= self.radius) & (self.distance() <= self.radius)
+
     # --- which way ----------------------------------------------------------------------
 
     def costs(self, haystack: DataFrame | HashStore) -> dict[str, float]:
-        """Estimated core seconds of both ways."""
+        """Core seconds of both ways; the pairs that would meet in the index are counted by keys, since bands of alike pictures are far from even."""
         n, m, f = _rows(haystack), self.count, flips(self.radius)
         out = {"scan": n * m * SCAN_NS * 1e-9}
-        if f <= MOST_FLIPS:
-            if isinstance(haystack, HashStore):
-                met = self._probes(self.radius).join(F.broadcast(haystack.counts()), ["band", "key"]).agg(F.sum("n")).first()[0] or 0
-                out["index"] = (BANDS * (n * STORED_NS + m * f * ROW_NS) + met * PAIR_NS) * 1e-9
-            else:
-                out["index"] = (BANDS * (max(n, m) + min(n, m) * f) * ROW_NS + n * m * BANDS * f / (1 << BAND_BITS) * PAIR_NS) * 1e-9
+        if f > MOST_FLIPS or not getattr(haystack, "indexed", True):
+            return out
+        stored_ = isinstance(haystack, HashStore)
+        moved = n * STORED_NS + m * f * ROW_NS if stored_ else (max(n, m) + min(n, m) * f) * ROW_NS
+        out["index"] = BANDS * moved * 1e-9
+        if out["index"] < out["scan"]:
+            # how many rows and probes each of the 16 x 65536 keys has
+            rows = haystack.counts() if stored_ else banded(_hashes(haystack), [F.col(w) for w in WORDS]).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+            probes = self._probes(self.radius).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
+            met = rows.join(probes, ["band", "key"]).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+            out["index"] += met * PAIR_NS * 1e-9
         return out
 
     def choose(self, haystack: DataFrame | HashStore) -> str:
@@ -106,8 +116,7 @@ class Matcher:
 
     def exists(self, haystack: DataFrame | HashStore) -> DataFrame:
         """One row: matched (boolean)."""
-        hit = _hashes(haystack).join(F.broadcast(self.needles), self.distance() <= self.radius, "left_semi") if self._by_needles(haystack) else self.all(haystack)
-        return hit.limit(1).agg((F.count(F.lit(1)) > 0).alias("matched"))
+        return self.all(haystack).limit(1).agg((F.count(F.lit(1)) > 0).alias("matched"))
 
     def semi(self, haystack: DataFrame | HashStore) -> DataFrame:
         """Haystack rows within the radius of some needle."""
@@ -120,7 +129,7 @@ class Matcher:
     def _kept(self, haystack, how: str) -> DataFrame:
         rows = haystack.hashes() if isinstance(haystack, HashStore) else haystack
         if self._by_needles(haystack):
-            return rows.join(F.broadcast(self.needles), self.distance() <= self.radius, how)
+            return rows.join(F.broadcast(self.needles), self.within(), how)
         return rows.join(self.all(haystack).select("hash_id").distinct(), "hash_id", how)
 
     def _by_needles(self, haystack) -> bool:
@@ -148,7 +157,7 @@ class Matcher:
         """
         self.compared = []
         n = _rows(haystack)
-        if self.strategy == "scan" or not self.strategy and (self.count <= FEW or n * self.count * SCAN_NS < BANDS * (n + flips(2 * BANDS) * self.count) * ROW_NS):
+        if self.strategy == "scan" or not getattr(haystack, "indexed", True) or not self.strategy and (self.count <= FEW or n * self.count * SCAN_NS < BANDS * (n + flips(2 * BANDS) * self.count) * ROW_NS):
             self.compared.append(("scan", self.count, n * self.count))
             return _farther(_hashes(haystack), self.needles, self.count, k)
         left, out = self.needles, None
@@ -175,13 +184,13 @@ class Matcher:
     def _scanned(self, haystack) -> DataFrame:
         hay = _hashes(haystack)
         if self.few:
-            joined = hay.join(F.broadcast(self.needles), self.distance() <= self.radius)
+            joined = hay.join(F.broadcast(self.needles), self.within())
         elif _rows(haystack) <= BROADCAST_NEEDLES:
-            joined = self.needles.join(F.broadcast(hay), self.distance() <= self.radius)
+            joined = self.needles.join(F.broadcast(hay), self.within())
         else:
             joined = None
             for block in _blocks(self.needles, self.count):
-                some = hay.join(F.broadcast(block), self.distance() <= self.radius)
+                some = hay.join(F.broadcast(block), self.within())
                 joined = some if joined is None else joined.union(some)
         return joined.select("needle_id", "hash_id", self.distance().alias("dist"))
 

@@ -45,7 +45,8 @@ class HashStore:
     def __init__(self, spark: SparkSession, path: str):
         """Opens the store at a path that :meth:`create` has made."""
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = spark.read.parquet(f"{self.path}/meta").first()["buckets"]
+        meta = spark.read.parquet(f"{self.path}/meta").first()
+        self.buckets, self.indexed = meta["buckets"], meta["indexed"]
         self.name = "lumisieve_store_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (hash_id BIGINT, w0 BIGINT, w1 BIGINT, w2 BIGINT, w3 BIGINT, batch BIGINT, band INT, key INT, salt INT) USING parquet "
@@ -53,11 +54,12 @@ class HashStore:
         )
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, hashes: DataFrame | None = None, buckets: int | None = None) -> HashStore:
-        """A new store; buckets for about ten times the given hashes if not named, 16 at least."""
+    def create(cls, spark: SparkSession, path: str, hashes: DataFrame | None = None, buckets: int | None = None, indexed: bool = True) -> HashStore:
+        """A new store; buckets for about ten times the given hashes if not named, 16 at least.  Without an index, which is
+        sixteen times larger than the hashes, needles are always scanned for."""
         if buckets is None:
-            buckets = max(16, 10 * BANDS * (hashes.count() if hashes is not None else 0) // BUCKET_ROWS)
-        spark.range(1).select(F.lit(int(buckets)).alias("buckets")).write.parquet(f"{path.rstrip('/')}/meta")
+            buckets = 16 if not indexed else max(16, 10 * BANDS * (hashes.count() if hashes is not None else 0) // BUCKET_ROWS)
+        spark.range(1).select(F.lit(int(buckets)).alias("buckets"), F.lit(indexed).alias("indexed")).write.parquet(f"{path.rstrip('/')}/meta")
         store = cls(spark, path)
         if hashes is not None:
             store.append(hashes)
@@ -68,6 +70,15 @@ class HashStore:
         batch = uuid.uuid4().int >> 65
         hashes.select("hash_id", *WORDS).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/hashes")
         mine = self.spark.read.schema(f"{self._columns()}, batch long").parquet(f"{self.path}/hashes").where(F.col("batch") == batch)
+        if self.indexed:
+            self._index(mine, batch)
+        n = mine.count()
+        self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(n).cast("long").alias("n")).write.mode("append").parquet(f"{self.path}/batches")
+        self.spark.catalog.refreshTable(self.name)
+        for known in ("_batches", "rows"):
+            self.__dict__.pop(known, None)
+
+    def _index(self, mine: DataFrame, batch: int) -> None:
         rows = banded(mine, [F.col(w) for w in WORDS])
         counts = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
         counts.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/counts")
@@ -75,11 +86,6 @@ class HashStore:
         salt = F.pmod(F.xxhash64("hash_id"), F.coalesce("salts", F.lit(1))).cast("int")
         rows = rows.join(F.broadcast(hot), ["band", "key"], "left").select("hash_id", *WORDS, "batch", "band", "key", salt.alias("salt"))  # at most as many as there are keys
         rows.repartition(self.buckets, *KEYS).write.insertInto(self.name)
-        n = mine.count()
-        self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(n).cast("long").alias("n")).write.mode("append").parquet(f"{self.path}/batches")
-        self.spark.catalog.refreshTable(self.name)
-        for known in ("_batches", "rows"):
-            self.__dict__.pop(known, None)
 
     @staticmethod
     def _columns() -> str:
@@ -114,6 +120,8 @@ class HashStore:
 
     def bands(self) -> DataFrame:
         """(hash_id, w0..w3, band, key, salt), bucketed by the last three."""
+        if not self.indexed:
+            raise ValueError(f"the store at {self.path} has no index")
         return self._visible(self.spark.table(self.name)).select("hash_id", *WORDS, *KEYS)
 
     def counts(self) -> DataFrame:

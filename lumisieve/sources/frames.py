@@ -114,18 +114,21 @@ def synthetic_frames(parts: DataFrame, fmt: str = "luma8", sizes: tuple[tuple[in
 
     def make(batches):
         for batch in batches:
-            out, shape = [], [sizes[k % len(sizes)] for k in batch.column(0).to_pylist()]
-            for k, s, (w, h) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shape):
+            shape = [sizes[k % len(sizes)] for k in batch.column(0).to_pylist()]
+            ends = np.cumsum([0] + [w * h * BYTES[fmt] for w, h in shape])
+            raw = np.empty(ends[-1], np.uint8)
+            out = [raw[a:b].reshape(h, w, -1) for a, b, (w, h) in zip(ends, ends[1:], shape)]
+            for k, s, (w, h), px in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shape, out):
                 x, y = np.arange(w), np.arange(h)
                 a1, b1 = ((y * (3 + s % 7)) // 32 + k) % 8, ((x * (5 + k % 11)) // 24 + s) % 19
                 a2, b2 = (((y + k) * (1 + k % 5)) // 16) % 8, (((x + 3 * s) * (2 + s % 5)) // 20) % 19
-                small = lambda a, b: np.outer(a.astype(np.uint8), b.astype(np.uint8))
-                v = small(a1, b1) + small(a2, b2)
+                a1, b1, a2, b2 = (v.astype(np.uint8) for v in (a1, b1, a2, b2))
+                v = np.multiply.outer(a1, b1, out=px[..., 0] if fmt == "luma8" else None)
+                v += np.multiply.outer(a2, b2)
                 if fmt != "luma8":
-                    v = np.stack([v, 255 - v, v // 2, *([np.full_like(v, 128)] if fmt == "rgba8" else [])], axis=-1)
-                out.append(v.tobytes())
+                    px[..., 0], px[..., 1], px[..., 2], px[..., 3:] = v, 255 - v, v // 2, 128
             width, height = (pa.array([wh[k] for wh in shape], pa.int32()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), width, height], ["image_id", "pixels", "width", "height"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(shape), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)]), width, height], ["image_id", "pixels", "width", "height"])
 
     got = parts.select(F.col("p_partkey").alias("image_id"), F.col("p_size").cast("long")).mapInArrow(make, "image_id long, pixels binary, width int, height int")
     return got.select("image_id", F.lit(0).cast("long").alias("frame_idx"), F.lit(fmt).alias("fmt"), "pixels", "width", "height")

@@ -150,3 +150,14 @@ def test_nearest_at_any_distance(spark, values, tmp_path, monkeypatch, k, kind):
         assert [x[0] for x in m.compared] == ["radius 15", "radius 31", "radius 47", "scan"] and m.compared[-1][1] == 1
         assert sum(x[2] for x in m.compared) < len(hay) * len(need) / 2
     assert not Matcher(frame(spark, "needle_id", need), strategy=m.strategy).nearest(rows.where("false"), k).collect()
+
+
+def test_a_store_without_an_index(spark, values, tmp_path, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 1)
+    hay, need = values
+    store = HashStore.create(spark, str(tmp_path / "s"), frame(spark, "hash_id", hay), indexed=False)
+    m = Matcher(frame(spark, "needle_id", need))
+    assert m.choose(store) == "scan" and got(m.all(store)) == pairs(hay, need, 31)
+    assert m.nearest(store).count() == len(need)
+    with pytest.raises(ValueError):
+        Matcher(frame(spark, "needle_id", need), 31, "index").all(store)
