@@ -11,7 +11,7 @@ item (a shorter item is one window).  They are sent to executors in blocks of bo
 size; each block is searched against all documents.
 
 Edge cases: null or empty texts have no words and no hits; items without words have no
-windows; items that share a window all count; repeated documents each get a row; a
+windows; items that share a window all count, and repeated item_ids count once (there are no other ties); repeated documents each get a row; a
 document larger than a shard is indexed in overlapping segments, so no window is lost;
 other columns are ignored.
 """
@@ -19,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -293,7 +294,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return spans(docs, items).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("begins") > 0).alias("contaminated"))
 
 
-def _cut(shared, schema_names: list[str], at: int):
+def _cut(shared, schema_names: list[str], at: int, mark: str):
     def run(batches):
         for batch in batches:
             column = batch.column(at)
@@ -315,10 +316,7 @@ def _cut(shared, schema_names: list[str], at: int):
                     text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(left[offs]), pa.py_buffer(data[keep])).cast(pa.string())
                     text = pa.compute.if_else(pa.array(valid), text, pa.scalar(None, pa.string()))
                     part = part.set_column(at, schema_names[at], text)
-                    part = part.append_column("_touched", pa.array(touched))
-                else:
-                    part = part.append_column("_touched", pa.array(touched))
-                yield part
+                yield part.append_column(mark, pa.array(touched))
 
     return run
 
@@ -330,6 +328,19 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
     """
     bounded_batches(docs.sparkSession)
     blocks = _blocks(items, window, block_bytes)
-    schema = ST.StructType([*docs.schema.fields, ST.StructField("_touched", ST.BooleanType())])
-    out = docs.mapInArrow(_cut(blocks, docs.columns, docs.columns.index("text")), schema)
-    return out.where(~F.col("_touched") | F.coalesce(F.lower("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.lit(False))).drop("_touched")
+    mark = f"touched_{uuid.uuid4().hex}"  # no column of the input has this name
+    schema = ST.StructType([*docs.schema.fields, ST.StructField(mark, ST.BooleanType())])
+    out = docs.mapInArrow(_cut(blocks, docs.columns, docs.columns.index("text"), mark), schema)
+    return out.where(~F.col(mark) | F.coalesce(F.lower("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"), F.lit(False))).drop(mark)
+
+
+_WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, win, len(win) AS n FROM (SELECT item_id, ws[k + 1 : k + least(10, len(ws))] AS win FROM (SELECT *, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS k FROM i WHERE len(ws) > 0))),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT rid, k, n, ws[k + 1 : k + n] AS win FROM (SELECT rid, ws, n, unnest(range(len(ws) - n + 1)) AS k FROM d, sizes WHERE len(ws) >= n)),
+met AS (SELECT rid, k, dw.n, item_id FROM dw JOIN iw ON dw.win = iw.win),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM met)) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM met) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""

@@ -17,8 +17,9 @@ Identical sets are collapsed first; groups of near copies are connected by
 :mod:`linkage` without listing their pairs.
 
 Edge cases: null or empty texts and texts without words have an empty set, size 0,
-and are alone; texts of fewer than five words are one shingle; repeated doc_ids give
-one row each and count as copies if their texts agree; other columns are ignored.
+and are alone; texts of fewer than five words are one shingle; rows that repeat a doc_id
+are sets of their own, each with its row; rows with a null doc_id keep their row and size and
+are linked with nothing (null component and class); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,7 +229,33 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = every.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = _joined(docs, width, sketch_bits, scratch)
+    else:  # sets go by numbers of their own, of which the least doc_id of a group is found again
+        keyed = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+        found = scratch.table(_joined(keyed.select(F.col("row").alias("doc_id"), "text"), width, sketch_bits, scratch).withColumnRenamed("doc_id", "row"))
+        known = scratch.table(found.join(keyed.select("row", "doc_id"), "row"))
+        for c in ("component_id", "class_id"):
+            least = scratch.table(known.groupBy(c).agg(F.min("doc_id").alias("least")))
+            known = known.join(least, c).drop(c).withColumnRenamed("least", c)
+        out = known.select("doc_id", "n_shingles", "component_id", "class_id")
+    alone = every.where("doc_id is null").mapInArrow(_sizes(width), "doc_id long, n_shingles long")
+    return out.unionByName(alone.withColumns({c: F.lit(None).cast("long") for c in ("component_id", "class_id")}))
+
+
+def _sizes(width: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in T.pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(shingle_sets(data, offs, width)[1]))], ["doc_id", "n_shingles"])
+
+    return run
+
+
+def _joined(docs: DataFrame, width: int, sketch_bits: int, scratch: Scratch) -> DataFrame:
+    """The same for documents (doc_id, text) whose doc_ids differ."""
     slices = docs.select("text").mapInArrow(_sketches(width, sketch_bits), "slice int, counts binary").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     counts = b"".join(bytes(r.counts) for r in sorted(slices, key=lambda r: r.slice)) or bytes(8 << sketch_bits)
     rows = scratch.table(docs.mapInArrow(_prefixes(width, sketch_bits, counts), "doc_id long, n long, f1 long, f2 long, prefix binary, cells binary, " + ", ".join(f"{x} long" for x in _PARITY)))
@@ -275,6 +302,20 @@ def join(docs: DataFrame, width: int = WIDTH, sketch_bits: int = SKETCH_BITS) ->
 
 
 def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without all but the least doc_id of each component; documents with an empty set stay."""
+    """docs without all but the least doc_id of each component; documents with an empty set or a null doc_id stay.
+
+    Of rows that repeat a doc_id, all go if one of them has a group with a smaller one.
+    """
     links = join(docs, width).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(links, "doc_id", "left_anti")
+
+
+SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i + 1 : i + 5], ' ') AS sh FROM (SELECT rid, ws, unnest(range(greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS u, b.rid AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v, c = x.n AND c = y.n AS same FROM c JOIN n x ON u = x.rid JOIN n y ON v = y.rid WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, l.v FROM r JOIN l ON r.other = l.u),
+comp AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = other GROUP BY r.rid),
+class AS (SELECT u AS rid, min(doc_id) AS least FROM l JOIN d ON v = d.rid WHERE same GROUP BY u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, least(doc_id, coalesce(least, doc_id)) AS class_id FROM d LEFT JOIN n USING (rid) LEFT JOIN comp USING (rid) LEFT JOIN class USING (rid)"""

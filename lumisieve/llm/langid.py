@@ -275,5 +275,6 @@ def keep_known(docs: DataFrame) -> DataFrame:
     # a prediction depends on the text alone
     mark = F.xxhash64("text")
     found = predict(docs.select(mark.alias("doc_id"), "text"), model, scratch)
-    good = found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_mark")).distinct()
-    return docs.join(scratch.table(good), mark == F.col("_mark"), "left_semi")
+    name = f"mark_{uuid.uuid4().hex}"  # no column of the input has this name
+    good = found.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(scratch.table(good), mark == F.col(name), "left_semi")

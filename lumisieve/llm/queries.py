@@ -75,4 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_super_kmer_dedup": substrings.SQL, "op12_lattice_audit": audit.SQL}
+    return {
+        "op2_ngram_jaccard": jaccard.SQL,
+        "op7_reply_tree_chat": chat.SQL,
+        "op10_fm_decontaminate": decontaminate.SQL,
+        "op11_super_kmer_dedup": substrings.SQL,
+        "op12_lattice_audit": audit.SQL,
+    }

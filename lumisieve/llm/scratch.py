@@ -10,6 +10,7 @@ import atexit
 import functools
 import gc
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -25,29 +26,34 @@ def bounded_batches(spark: SparkSession) -> None:
     batch_rows(spark, BATCH_ROWS)
 
 
-#: Scratches in the order they were made; and those of the pipeline stage before this one.
-_MADE: list[Scratch] = []
-_BEFORE: list[Scratch] = []
+#: Where new scratches are noted while a pipeline stage runs; and the tables that stages have left, by session and input folder.
+_NOTED: ContextVar[list[Scratch] | None] = ContextVar("noted", default=None)
+_LEFT: dict[tuple[str, str], tuple[str, list[Scratch]]] = {}
 
 
 def stage(f):
-    """A pipeline stage, whose tables go when the next stage begins: its result has been written by then.
+    """A pipeline stage, whose tables go when another stage begins on the same input folder: its result has been written by then.
 
-    Tables that the next stage's input still reads (a result that was passed on unwritten) stay.
+    A stage's result therefore is written before the next stage of that folder is asked for; pipelines over other
+    folders or of other sessions do not touch it, and tables that the next stage's input still reads stay.
     """
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _BEFORE else []
-        for s in _BEFORE:
-            name = s.dir.rpartition("/")[2]
-            if s.spark is spark and not any(f"/{name}/" in x for x in read):
-                s._quiet()
-        _BEFORE.clear()
-        count = len(_MADE)
-        out = f(spark, docs, sf_dir)
-        _BEFORE.extend(_MADE[count:])
-        return out
+        key = (spark.sparkContext.applicationId, sf_dir)
+        last, left = _LEFT.pop(key, ("", []))
+        read = docs.inputFiles() if left else []
+        still = [s for s in left if last == f.__name__ or any(f"/{s.name}/" in x for x in read)]
+        for s in left:
+            if s not in still:
+                s.forget()
+        mine: list[Scratch] = []
+        token = _NOTED.set(mine)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _NOTED.reset(token)
+            _LEFT[key] = (f.__name__, [*still, *mine])
 
     return run
 
@@ -58,9 +64,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.dir, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.where: dict[int, str] = {}
-        _MADE.append(self)
+        if (noted := _NOTED.get()) is not None:
+            noted.append(self)
         atexit.register(self._quiet)
 
+    @property
+    def name(self) -> str:
+        return self.dir.rpartition("/")[2]
+
+    def forget(self) -> None:
+        """Deletes everything now."""
+        atexit.unregister(self._quiet)
+        self._quiet()
+
     def table(self, df: DataFrame, tidy: bool = True) -> DataFrame:
         """Writes df and reads it back; not tidy leaves shuffle files to a later call, for small tables."""
         self.n += 1
