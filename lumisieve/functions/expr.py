@@ -18,6 +18,12 @@ def lower_median(values: Column) -> Column:
     return F.array_sort(values)[127]
 
 
+def middle(values: Column) -> Column:
+    """The mean of the 128th and 129th of 256 values: another threshold with the same bits, where these two differ."""
+    s = F.array_sort(values)
+    return (s[127] + s[128]) / 2
+
+
 def margin(values: Column) -> Column:
     """Gap between the values on both sides of the threshold; a tiny one makes bits depend on rounding."""
     s = F.array_sort(values)

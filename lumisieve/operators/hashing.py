@@ -242,24 +242,29 @@ def describe(mode: str = "variant") -> str:
     return f"lumisieve-{mode}-f64"
 
 
+def plane_quality(x: np.ndarray) -> float:
+    """Quality by the gradients of the filtered plane itself, in shares of white: their sum over 90, one at most."""
+    return min(1.0, (np.abs(np.diff(x, axis=0)).sum() + np.abs(np.diff(x, axis=1)).sum()) / 255 / 90)
+
+
 def _plane_stats(mode: str):
     def run(batches):
         for batch in few(batches):
-            planes, sums = Planes(batch), np.full((len(batch), 3), np.nan)
+            planes, sums = Planes(batch), np.full((len(batch), 4), np.nan)
             for (w, h, fmt), rows in planes.shapes.items():
                 down, across = C.scaled_sampler(mode, h), C.scaled_sampler(mode, w)
                 for i in rows:
                     px = planes.pixels(i, (w, h, fmt))
                     x = down @ (px[..., 0] if fmt == "luma8" else px[..., :3] @ np.array(C.LUMA)) @ across.T
-                    sums[i] = x.sum(), x.min(), x.max()
+                    sums[i] = x.sum(), x.min(), x.max(), plane_quality(x)
             good = ~np.isnan(sums[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(_column(x, good) for x in sums.T)], ["image_id", "plane_sum", "plane_min", "plane_max"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_column(x, good) for x in sums.T)], ["image_id", "plane_sum", "plane_min", "plane_max", "plane_quality"])
 
     return run
 
 
 def plane_stats(frames: DataFrame, mode: str = "variant") -> DataFrame:
-    """(image_id, plane_sum, plane_min, plane_max) of the filtered 127 x 127 plane."""
+    """(image_id, plane_sum, plane_min, plane_max, plane_quality) of the filtered 127 x 127 plane."""
     C.sampler(mode)
     ship(frames.sparkSession), batch_rows(frames.sparkSession, FRAMES)
-    return shaped(frames).mapInArrow(_plane_stats(mode), "image_id long, plane_sum double, plane_min double, plane_max double")
+    return shaped(frames).mapInArrow(_plane_stats(mode), "image_id long, plane_sum double, plane_min double, plane_max double, plane_quality double")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import constants as C, expr as X
+from ..functions import constants as C, expr as X, tables as T
 from ..functions.expr import WORDS
 from ..functions.runtime import folder, stored
 from ..operators import hashing as H
@@ -234,6 +234,17 @@ def _plane_sql(sampler: str, more: str) -> str:
 SELECT y.id AS image_id, round(sum(y.a1*z.b1 + y.a2*z.b2), 2) AS plane_sum, round(min(y.a1*z.b1 + y.a2*z.b2), 4) AS plane_min, round(max(y.a1*z.b1 + y.a2*z.b2), 4) AS plane_max FROM side y JOIN side z ON y.id = z.id GROUP BY y.id"""
 
 
+_PLANE_QUALITY = f"""WITH {_TENT}, {_PATTERN}, side AS (SELECT id, i, sum(v*a1) AS a1, sum(v*b1) AS b1, sum(v*a2) AS a2, sum(v*b2) AS b2 FROM pat JOIN tent ON p = x GROUP BY id, i),
+step AS (SELECT s.id, s.i, s.a1, s.b1, s.a2, s.b2, t.a1 - s.a1 AS da1, t.b1 - s.b1 AS db1, t.a2 - s.a2 AS da2, t.b2 - s.b2 AS db2 FROM side s LEFT JOIN side t ON s.id = t.id AND t.i = s.i + 1)
+SELECT y.id AS image_id, round(least((coalesce(sum(abs(y.da1*z.b1 + y.da2*z.b2)), 0) + coalesce(sum(abs(y.a1*z.db1 + y.a2*z.db2)), 0)) / 255 / 90, 1), 4) AS plane_quality FROM step y JOIN step z ON y.id = z.id GROUP BY y.id"""
+
+
+@query(_PLANE_QUALITY)
+def plane_quality(spark, sf_dir):
+    """Quality in the image domain: gradients of the filtered plane."""
+    return H.plane_stats(images(spark, sf_dir)).select("image_id", F.round("plane_quality", 4).alias("plane_quality"))
+
+
 def _stats(df):
     return df.select("image_id", F.round("plane_sum", 2).alias("plane_sum"), F.round("plane_min", 4).alias("plane_min"), F.round("plane_max", 4).alias("plane_max"))
 
@@ -354,6 +365,13 @@ def median_threshold(spark, sf_dir):
     return matrices(spark, sf_dir).select("id", X.lower_median(F.col("pdqf")).alias("threshold"), X.margin(F.col("pdqf")).alias("margin"))
 
 
+@query(_MATRIX + _quantize() + ", mid AS (SELECT id, thr + margin/2 AS mid FROM thr), nibm AS (SELECT m.id, i//4 AS nb, sum(CASE WHEN v > mid THEN (1 << (i%4)) ELSE 0 END)::INT AS x FROM m JOIN mid USING (id) GROUP BY ALL), h AS (SELECT id, string_agg(substr('0123456789abcdef', x+1, 1), '' ORDER BY nb DESC) AS hash FROM nibm GROUP BY id) SELECT id, hash, round(mid, 6) AS threshold FROM h JOIN mid USING (id)")
+def quantize_middle(spark, sf_dir):
+    """Bits by the mean of the two middle coefficients, as exact kernels take it."""
+    at = X.middle(F.col("pdqf"))
+    return matrices(spark, sf_dir).select("id", X.pack(F.col("pdqf"), at).alias("hash"), F.round(at, 6).alias("threshold"))
+
+
 @query(_MATRIX + _quantize() + "SELECT id, string_agg(CASE WHEN v > thr THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM m JOIN thr USING (id) GROUP BY id")
 def quantize_bits(spark, sf_dir):
     return matrices(spark, sf_dir).select("id", X.bits(F.col("pdqf"), X.lower_median(F.col("pdqf"))).alias("bits"))
@@ -567,6 +585,19 @@ def screen_images(spark, sf_dir):
     return pairs.select(F.floor(F.col("needle_id") / 8).alias("image_id"), (F.col("needle_id") % 8).cast("int").alias("ord"), "hash_id", "dist")
 
 
+@query(_screened_sql())
+def sql_screen(spark, sf_dir):
+    """The flagship in SQL: a table function makes the hashes, and distances are written out."""
+    T.register(spark)
+    images(spark, sf_dir).createOrReplaceTempView("lumisieve_frames")
+    texts(spark, sf_dir, "documents", "doc_id").select("hash_id", *WORDS).createOrReplaceTempView("lumisieve_texts")
+    every = spark.sql("SELECT image_id, h.ord, h.w0, h.w1, h.w2, h.w3 FROM lumisieve_frames, LATERAL pdq_dihedrals(pixels, fmt, width, height) h")
+    stored(every, "screen").createOrReplaceTempView("lumisieve_variants")
+    distance = " + ".join(f"bit_count(h.w{k} ^ n.w{k})" for k in range(4))
+    return spark.sql(f"""WITH hay AS (SELECT hash_id, w0, w1, w2, w3 FROM lumisieve_texts UNION ALL SELECT 1000000000 + image_id, w0, w1, w2, w3 FROM lumisieve_variants WHERE ord = 3)
+        SELECT /*+ BROADCAST(h) */ image_id, ord, hash_id, {distance} AS dist FROM lumisieve_variants n JOIN hay h ON {distance} <= 31""")
+
+
 @query(_BOTH + f", near AS (SELECT DISTINCT h.id FROM fast h JOIN slow n ON {_DIST} <= 39) SELECT h.id AS image_id, n.id AS needle_id, {_DIST} AS dist FROM slow h SEMI JOIN near USING (id) JOIN slow n ON {_DIST} <= 31")
 def filter_then_verify(spark, sf_dir):
     """Precise hashes of the images as needles; a fast pass at radius 39, then precise hashes of what it lets through."""

@@ -148,3 +148,17 @@ def test_tent_sums_equal_the_projection():
 def test_confident_hashes(spark):
     rows = spark.createDataFrame([(1, "ab", 0.5), (2, "cd", 0.51)], "image_id long, hash string, quality double")
     assert {r.image_id: r.hash for r in H.confident(rows).collect()} == {1: None, 2: "cd"}
+
+
+def test_ramp_of_the_demo():
+    """Values 0, 1, 2, ... and the same plus one: a constant changes no coefficient, hence no bit."""
+    ramp = np.arange(512.0 * 512).reshape(512, 512)
+    assert np.allclose(coefficients(ramp[None]), coefficients(ramp[None] + 1), atol=1e-6)
+    assert hash_of(ramp) == hash_of(ramp + 1) and H.quality_of(coefficients(ramp[None]))[0] == 1.0
+
+
+def test_quality_in_the_image_domain():
+    rng = np.random.default_rng(0)
+    x = rng.random((127, 127))
+    want = sum(abs(x[i + 1, j] - x[i, j]) for i in range(126) for j in range(127)) + sum(abs(x[i, j + 1] - x[i, j]) for i in range(127) for j in range(126))
+    assert abs(H.plane_quality(x) - want / 255 / 90) < 1e-9 and H.plane_quality(x * 255) == 1.0
