@@ -151,10 +151,10 @@ def test_confident_hashes(spark):
 
 
 def test_ramp_of_the_demo():
-    """Values 0, 1, 2, ... and the same plus one: a constant changes no coefficient, hence no bit."""
+    """Values 0, 1, 2, ... and the same plus one: a constant changes no coefficient, and only those of one direction differ from zero."""
     ramp = np.arange(512.0 * 512).reshape(512, 512)
-    assert np.allclose(coefficients(ramp[None]), coefficients(ramp[None] + 1), atol=1e-6)
-    assert hash_of(ramp) == hash_of(ramp + 1) and H.quality_of(coefficients(ramp[None]))[0] == 1.0
+    one, two = coefficients(ramp[None]), coefficients(ramp[None] + 1)
+    assert np.allclose(one, two, atol=1e-6) and np.abs(one).max() < 1e-6  # no frequency of both directions is zero
 
 
 def test_quality_in_the_image_domain():
