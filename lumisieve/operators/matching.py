@@ -28,6 +28,8 @@ from .store import BAND_BITS, BANDS, KEYS, HashStore, band, banded
 
 #: Rows up to here are broadcast: 64 bytes each.
 BROADCAST_NEEDLES = 100_000
+#: The first range of hash_id that a search for the first match reads is one of so many.
+FIRST_RANGE = 64
 #: Needles up to here are scanned for without counting the haystack.
 FEW = 1000
 #: Flips of one band that the index will ask for: three bits of sixteen, radius 63.
@@ -62,6 +64,8 @@ class Matcher:
         self.needles = needles.select("needle_id", *(F.col(w).alias(n) for w, n in zip(WORDS, NEEDLE_WORDS)))
         #: Of the last :meth:`nearest`: (what was asked, needles, pairs compared).
         self.compared: list[tuple[str, int, int]] = []
+        #: Of the last :meth:`first` in a store: the ranges of hash_id that were searched.
+        self.searched: list[tuple[int, int]] = []
 
     @cached_property
     def count(self) -> int:
@@ -136,10 +140,28 @@ class Matcher:
         return self.few and self.choose(haystack) == "scan"
 
     def first(self, haystack: DataFrame | HashStore) -> DataFrame:
-        """The least (hash_id, needle_id) within the radius; no row if there is none."""
+        """The least (hash_id, needle_id) within the radius; no row if there is none.
+
+        A store is searched in ranges of hash_id, each twice as wide as the one before, up to the first that has a match.
+        """
+        if isinstance(haystack, HashStore) and self.few and self.choose(haystack) == "scan":
+            return self._first_of_ranges(haystack)
         least = self.all(haystack).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m"))
         return least.where("m is not null").select("m.*")
 
+    def _first_of_ranges(self, store: HashStore) -> DataFrame:
+        schema, self.searched = "hash_id long, needle_id long, dist int", []
+        at, end = store.bounds or (1, 0)
+        wide = max(1, (end - at + 1) // FIRST_RANGE)
+        while at <= end:
+            last = min(end, at + wide - 1)
+            self.searched.append((at, last))
+            least = self._scanned(store.hashes(at, last)).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m")).first().m
+            if least is not None:
+                return store.spark.createDataFrame([tuple(least)], schema)
+            at, wide = last + 1, 2 * wide
+        return store.spark.createDataFrame([], schema)
+
     def first_per_needle(self, haystack: DataFrame | HashStore) -> DataFrame:
         return self.all(haystack).groupBy("needle_id").agg(F.min(F.struct("hash_id", "dist")).alias("m")).select("needle_id", "m.*")
 

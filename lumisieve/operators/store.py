@@ -68,14 +68,17 @@ class HashStore:
     def append(self, hashes: DataFrame) -> None:
         """Adds rows (hash_id, w0..w3)."""
         batch = uuid.uuid4().int >> 65
-        hashes.select("hash_id", *WORDS).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/hashes")
+        # files of hash_id ranges, so that a search in order of hash_id reads only the first of them
+        ranged = hashes.select("hash_id", *WORDS).repartitionByRange("hash_id").sortWithinPartitions("hash_id")
+        ranged.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/hashes")
         mine = self.spark.read.schema(f"{self._columns()}, batch long").parquet(f"{self.path}/hashes").where(F.col("batch") == batch)
         if self.indexed:
             self._index(mine, batch)
-        n = mine.count()
-        self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(n).cast("long").alias("n")).write.mode("append").parquet(f"{self.path}/batches")
+        n, lo, hi = mine.agg(F.count(F.lit(1)), F.min("hash_id"), F.max("hash_id")).first()
+        kinds = {"batch": batch, "n": n, "lo": lo, "hi": hi}
+        self.spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in kinds.items())).write.mode("append").parquet(f"{self.path}/batches")
         self.spark.catalog.refreshTable(self.name)
-        for known in ("_batches", "rows"):
+        for known in ("_batches", "rows", "bounds"):
             self.__dict__.pop(known, None)
 
     def _index(self, mine: DataFrame, batch: int) -> None:
@@ -92,11 +95,11 @@ class HashStore:
         return "hash_id long, " + ", ".join(f"{w} long" for w in WORDS)
 
     @cached_property
-    def _batches(self) -> dict[int, int]:
+    def _batches(self) -> dict[int, tuple[int, int | None, int | None]]:
         from pyspark.errors import AnalysisException
 
         try:
-            return {r.batch: r.n for r in self.spark.read.schema("batch long, n long").parquet(f"{self.path}/batches").collect()}  # a row for each append
+            return {r.batch: (r.n, r.lo, r.hi) for r in self.spark.read.schema("batch long, n long, lo long, hi long").parquet(f"{self.path}/batches").collect()}  # a row for each append
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -104,7 +107,13 @@ class HashStore:
 
     @cached_property
     def rows(self) -> int:
-        return sum(self._batches.values())
+        return sum(n for n, *_ in self._batches.values())
+
+    @cached_property
+    def bounds(self) -> tuple[int, int] | None:
+        """Least and greatest hash_id; None for a store without rows."""
+        ends = [(lo, hi) for _, lo, hi in self._batches.values() if lo is not None]
+        return (min(lo for lo, _ in ends), max(hi for _, hi in ends)) if ends else None
 
     def _visible(self, df: DataFrame) -> DataFrame:
         return df.where(F.col("batch").isin(list(self._batches)))
@@ -114,9 +123,10 @@ class HashStore:
             return self.spark.createDataFrame([], schema)
         return self._visible(self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{what}"))
 
-    def hashes(self) -> DataFrame:
-        """(hash_id, w0..w3) of all batches."""
-        return self._read("hashes", self._columns()).select("hash_id", *WORDS)
+    def hashes(self, first: int | None = None, last: int | None = None) -> DataFrame:
+        """(hash_id, w0..w3) of all batches; of a range of hash_id, whose other files are passed over by their statistics."""
+        rows = self._read("hashes", self._columns()).select("hash_id", *WORDS)
+        return rows if first is None else rows.where(F.col("hash_id").between(first, last))
 
     def bands(self) -> DataFrame:
         """(hash_id, w0..w3, band, key, salt), bucketed by the last three."""

@@ -161,3 +161,43 @@ def test_a_store_without_an_index(spark, values, tmp_path, monkeypatch):
     assert m.nearest(store).count() == len(need)
     with pytest.raises(ValueError):
         Matcher(frame(spark, "needle_id", need), 31, "index").all(store)
+
+
+def test_the_first_match_ends_the_search(spark, tmp_path):
+    """Files of later ranges are not read: they are destroyed here."""
+    from pathlib import Path
+
+    rng = random.Random(8)
+    hay = [rng.getrandbits(256) for _ in range(4000)]
+    rows = frame(spark, "hash_id", hay).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = HashStore.create(spark, str(tmp_path / "s"), rows, indexed=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.bounds == (0, 3999)
+    need = frame(spark, "needle_id", [flipped(rng, hay[3500], 3), flipped(rng, hay[150], 31), flipped(rng, hay[150], 9)])
+    m = Matcher(need)
+    files = {f: spark.read.parquet(str(f)).agg({"hash_id": "min"}).first()[0] for f in Path(tmp_path / "s/hashes").glob("*.parquet")}
+    assert len(files) > 1
+    for f, least in files.items():
+        if least > 1000:
+            data = bytearray(f.read_bytes())
+            data[4 : len(data) * 3 // 4] = bytes(len(data) * 3 // 4 - 4)  # pages are lost, statistics stay
+            f.write_bytes(data)
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    assert [tuple(r) for r in m.first(store).collect()] == [(150, 1, 31)] and m.searched[-1][1] < 1000
+    with pytest.raises(Exception):
+        Matcher(need.where("needle_id = 0")).first(store).collect()
+
+
+def test_first_match_in_a_store_of_several_batches(spark, values, tmp_path):
+    hay, need = values
+    store = HashStore.create(spark, str(tmp_path / "s"), frame(spark, "hash_id", hay[:100]).selectExpr("hash_id - 50 as hash_id", *WORDS), indexed=False)
+    store.append(frame(spark, "hash_id", hay[100:]).selectExpr("hash_id + 50 as hash_id", *WORDS))
+    want = min((h - 50, n, d) for n, h, d in pairs(hay, need, 31))
+    assert tuple(Matcher(frame(spark, "needle_id", need)).first(store).first()) == want
+    none = Matcher(frame(spark, "needle_id", [0]), 3)
+    assert none.first(store).count() == 0 and none.searched[0][0] == -50 and none.searched[-1][1] == 349
+    empty = HashStore.create(spark, str(tmp_path / "e"))
+    assert empty.bounds is None and none.first(empty).count() == 0
