@@ -10,6 +10,7 @@ import atexit
 import functools
 import gc
 import uuid
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -28,19 +29,31 @@ def bounded_batches(spark: SparkSession) -> None:
 
 #: Where new scratches are noted while a pipeline stage runs; and the tables that stages have left, by session and input folder.
 _NOTED: ContextVar[list[Scratch] | None] = ContextVar("noted", default=None)
-_LEFT: dict[tuple[str, str], tuple[str, list[Scratch]]] = {}
+_LEFT: dict[tuple[str, str, str], tuple[str, list[Scratch]]] = {}
+#: Which run the stages belong to, if one runs them all.
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
+@contextmanager
+def one_run():
+    """Stages called in here touch the tables of each other only."""
+    token = _RUN.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
 
 
 def stage(f):
     """A pipeline stage, whose tables go when another stage begins on the same input folder: its result has been written by then.
 
     A stage's result therefore is written before the next stage of that folder is asked for; pipelines over other
-    folders or of other sessions do not touch it, and tables that the next stage's input still reads stay.
+    folders, of other sessions or in a :func:`one_run` of their own do not touch it, and tables that the next stage's input still reads stay.
     """
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, _RUN.get())
         last, left = _LEFT.pop(key, ("", []))
         read = docs.inputFiles() if left else []
         still = [s for s in left if last == f.__name__ or any(f"/{s.name}/" in x for x in read)]
