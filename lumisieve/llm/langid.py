@@ -16,7 +16,8 @@ batch of documents, and answers meet again by batch.  So results never depend on
 Edge cases: null or empty texts and texts without a letter are ``und`` with score 0;
 letters that no table knows leave all languages equal, and the first in order is taken;
 ties go to the first language in alphabetical order; training rows with null lang are
-left out; with no training rows every text is ``und``; other columns are ignored.
+left out; with no training rows every text is ``und``; a null doc_id is in no fold: its row is
+judged, its held_out is null and its text is not learned from; other columns are ignored.
 """
 
 from __future__ import annotations

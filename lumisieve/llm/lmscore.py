@@ -17,8 +17,9 @@ Tokens are words (white-space separated, A-Z lower-cased) and one end for each t
 contexts at a text's start are padded with a start mark that is never predicted.
 
 Edge cases: null or empty texts are one end token; without training documents all counts
-are 0 and the model is uniform; repeated documents count as often as they occur; other
-columns are ignored.
+are 0 and the model is uniform; repeated documents count as often as they occur; a
+null doc_id is in no fold: its row is scored, its held_out is null and its text is not
+learned from; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ to batch; only ids that have a label send their texts to the join with the label
 
 Edge cases: null or empty texts have no features and score by the intercept alone; without
 training rows of both classes all texts score 0.5 (predicted 1); rows of labels without a
-document are ignored; a document with several labels counts for each; other columns are
+document are ignored; a document with several labels counts for each; a null doc_id is in
+no fold and has no label: its row is scored, and its held_out is null; other columns are
 ignored.
 """
 

@@ -162,3 +162,15 @@ def test_chat_rows_that_repeat_a_node_stay_whole(spark):
         frame = spark.createDataFrame(some, "tree long, node long, parent long, role string, text string, score double")
         out = chat.format_trees(frame, paths=9).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
         assert {r.leaf: [t.text for t in r.turns] for r in out} == {7: ["hello", "B"], 5: ["other root"]}
+
+
+def test_rows_without_an_id_are_judged_and_teach_nothing(spark, small):
+    from lumisieve.llm import toxicity
+
+    rows = [(i, t, "en" if i % 2 else "fr") for i, t in list(small.items())[:40]]
+    docs = spark.createDataFrame([*rows, (None, "zzqx only here", "xx"), (None, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, *_ in rows] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (langid.identify(docs), toxicity.judge(docs, labels)):
+        got = out.collect()
+        assert len(got) == 42 and [r.held_out for r in got if r.doc_id is None] == [None, None]
+    assert {r.lang_pred for r in langid.identify(docs).collect()} <= {"en", "fr", langid.UND}
