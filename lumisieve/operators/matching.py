@@ -1,8 +1,9 @@
 """Exact Hamming-radius matching of needles against a haystack; 100 % recall.
 
-Two ways, chosen by what they cost (:meth:`Matcher.choose`).  The scan broadcasts the smaller
+Three ways, chosen by what they cost (:meth:`Matcher.choose`).  The scan broadcasts the smaller
 side, in blocks of a checked size, and compares in generated code; the larger side never
-moves.  The index equi-joins bands: a pair within the radius agrees, up to
+moves.  The packed scan (:mod:`.packed`) holds the needles in blocks of arrays, and compares columns of rows
+with them.  The index equi-joins bands: a pair within the radius agrees, up to
 radius // BANDS flips, on one of 16 bands, so one side's bands meet the other side's probes
 and are verified.  A haystack can be a DataFrame or a :class:`~.store.HashStore`, whose bands are
 joined where they lie.
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS, hamming
 from ..functions.runtime import stored
+from . import packed
 from .store import BAND_BITS, BANDS, KEYS, HashStore, band, banded
 
 #: Rows up to here are broadcast: 64 bytes each.
@@ -37,6 +39,10 @@ MOST_FLIPS = 697
 #: Nanoseconds of one core (measured on one machine; only their proportions matter): to compare a pair in the scan, to
 #: send a band or probe through a shuffle and a join, to read a stored band, to verify a pair that met in the index.
 SCAN_NS, ROW_NS, STORED_NS, PAIR_NS = 15, 1000, 100, 200
+#: The same for the packed scan: to compare a pair, to hand a row to Python; and to start, at once.
+PACKED_NS, HANDED_NS, START_NS = 2.5, 1000, 2_000_000_000
+#: Needles below this are never worth a packed scan.
+LEAST_PACKED = 64
 
 NEEDLE_WORDS = tuple(f"n{w}" for w in WORDS)
 
@@ -56,8 +62,8 @@ class Matcher:
     def __init__(self, needles: DataFrame, radius: int = DEFAULT_RADIUS, strategy: str | None = None):
         if not 0 <= radius <= 256:
             raise ValueError("radius must be from 0 to 256")
-        if strategy not in (None, "scan", "index"):
-            raise ValueError("strategy is scan, index or None")
+        if strategy not in (None, "scan", "packed", "index"):
+            raise ValueError("strategy is scan, packed, index or None")
         if strategy == "index" and flips(radius) > MOST_FLIPS:
             raise ValueError(f"the index would ask for {flips(radius)} keys in each band at radius {radius}; scan instead")
         self.radius, self.strategy = radius, strategy
@@ -86,15 +92,19 @@ class Matcher:
     # --- which way ----------------------------------------------------------------------
 
     def costs(self, haystack: DataFrame | HashStore) -> dict[str, float]:
-        """Core seconds of both ways; the pairs that would meet in the index are counted by keys, since bands of alike pictures are far from even."""
+        """Core seconds of each way; the pairs that would meet in the index are counted by keys, since bands of alike pictures are far from even."""
         n, m, f = _rows(haystack), self.count, flips(self.radius)
         out = {"scan": n * m * SCAN_NS * 1e-9}
+        if self.few:
+            out["packed"] = (START_NS + n * (HANDED_NS + m * PACKED_NS)) * 1e-9
+        if m <= FEW:  # compared with so few, a row costs less than its bands
+            return out
         if f > MOST_FLIPS or not getattr(haystack, "indexed", True):
             return out
         stored_ = isinstance(haystack, HashStore)
         moved = n * STORED_NS + m * f * ROW_NS if stored_ else (max(n, m) + min(n, m) * f) * ROW_NS
         out["index"] = BANDS * moved * 1e-9
-        if out["index"] < out["scan"]:
+        if out["index"] < min(v for k, v in out.items() if k != "index"):
             # how many rows and probes each of the 16 x 65536 keys has
             rows = haystack.counts() if stored_ else banded(_hashes(haystack), [F.col(w) for w in WORDS]).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
             probes = self._probes(self.radius).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
@@ -107,7 +117,7 @@ class Matcher:
             return self.strategy
         if isinstance(haystack, DataFrame) and haystack.isStreaming:  # rows to come cannot be counted
             return "scan" if self.few else "index"
-        if self.count <= FEW or flips(self.radius) > MOST_FLIPS:
+        if self.count < LEAST_PACKED and self.count <= FEW:
             return "scan"
         costs = self.costs(haystack)
         return min(costs, key=costs.get)
@@ -116,7 +126,8 @@ class Matcher:
 
     def all(self, haystack: DataFrame | HashStore) -> DataFrame:
         """(needle_id, hash_id, dist) of every pair within the radius."""
-        return self._indexed(haystack) if self.choose(haystack) == "index" else self._scanned(haystack)
+        way = self.choose(haystack)
+        return self._indexed(haystack) if way == "index" else self._scanned(haystack, way)
 
     def exists(self, haystack: DataFrame | HashStore) -> DataFrame:
         """One row: matched (boolean)."""
@@ -137,14 +148,14 @@ class Matcher:
         return rows.join(self.all(haystack).select("hash_id").distinct(), "hash_id", how)
 
     def _by_needles(self, haystack) -> bool:
-        return self.few and self.choose(haystack) == "scan"
+        return self.few and self.choose(haystack) != "index"
 
     def first(self, haystack: DataFrame | HashStore) -> DataFrame:
         """The least (hash_id, needle_id) within the radius; no row if there is none.
 
         A store is searched in ranges of hash_id, each twice as wide as the one before, up to the first that has a match.
         """
-        if isinstance(haystack, HashStore) and self.few and self.choose(haystack) == "scan":
+        if isinstance(haystack, HashStore) and self._by_needles(haystack):
             return self._first_of_ranges(haystack)
         least = self.all(haystack).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m"))
         return least.where("m is not null").select("m.*")
@@ -152,11 +163,11 @@ class Matcher:
     def _first_of_ranges(self, store: HashStore) -> DataFrame:
         schema, self.searched = "hash_id long, needle_id long, dist int", []
         at, end = store.bounds or (1, 0)
-        wide = max(1, (end - at + 1) // FIRST_RANGE)
+        wide, way = max(1, (end - at + 1) // FIRST_RANGE), self.choose(store)
         while at <= end:
             last = min(end, at + wide - 1)
             self.searched.append((at, last))
-            least = self._scanned(store.hashes(at, last)).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m")).first().m
+            least = self._scanned(store.hashes(at, last), way).agg(F.min(F.struct("hash_id", "needle_id", "dist")).alias("m")).first().m
             if least is not None:
                 return store.spark.createDataFrame([tuple(least)], schema)
             at, wide = last + 1, 2 * wide
@@ -203,8 +214,14 @@ class Matcher:
 
     # --- scan ---------------------------------------------------------------------------
 
-    def _scanned(self, haystack) -> DataFrame:
+    def _scanned(self, haystack, way: str = "scan") -> DataFrame:
         hay = _hashes(haystack)
+        if way == "packed":
+            found = None
+            for block in _blocks(self.needles, self.count):
+                some = packed.scan(hay, block, self.radius)
+                found = some if found is None else found.union(some)
+            return found
         if self.few:
             joined = hay.join(F.broadcast(self.needles), self.within())
         elif _rows(haystack) <= BROADCAST_NEEDLES:

@@ -456,6 +456,12 @@ def match_mih(spark, sf_dir):
     return m.all(hay)
 
 
+@query(_MATCH + "SELECT needle_id, hash_id, dist FROM hits")
+def match_packed(spark, sf_dir):
+    m, hay = _matcher(spark, sf_dir, strategy="packed")
+    return m.all(hay)
+
+
 @query(_MATCH + "SELECT count(*) > 0 AS matched FROM hits")
 def scan_exists(spark, sf_dir):
     m, hay = _matcher(spark, sf_dir)

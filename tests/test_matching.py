@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumisieve.functions.expr import words
+from lumisieve.operators import packed
 from lumisieve.operators.matching import Matcher
 from lumisieve.sources import sinks
 
@@ -25,7 +27,7 @@ def planted(spark):
     return frame(spark, "hash_id", hay).cache(), frame(spark, "needle_id", [v for *_, v in flipped]), expected
 
 
-@pytest.mark.parametrize("strategy", ["scan", "index"])
+@pytest.mark.parametrize("strategy", ["scan", "packed", "index"])
 def test_planted_needles_at_the_boundary(planted, strategy):
     hay, needles, expected = planted
     m = Matcher(needles, 31, strategy)
@@ -36,7 +38,7 @@ def test_planted_needles_at_the_boundary(planted, strategy):
     assert m.anti(hay).count() == 300 - len({i for _, i, _ in expected})
 
 
-@pytest.mark.parametrize("strategy", ["scan", "index"])
+@pytest.mark.parametrize("strategy", ["scan", "packed", "index"])
 def test_no_match_and_empty_sides(planted, strategy):
     hay, needles, _ = planted
     none = Matcher(needles.where("needle_id = 3"), 31, strategy)
@@ -70,3 +72,42 @@ def test_top_and_nearest(spark, planted):
         got.setdefault(r.needle_id, []).append((r.dist, r.hash_id))
     assert got == best
     assert {r.needle_id: (r.dist, r.hash_id) for r in Matcher(needles).nearest(hay).collect()} == {k: v[0] for k, v in best.items()}
+
+
+def far(a, b):
+    return sum(int(x ^ y).bit_count() for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("radius", [0, 31, 100, 128, 200, 256])
+def test_packed_kernel(radius, monkeypatch):
+    rng = np.random.default_rng(radius)
+    rows, need = rng.integers(0, 1 << 64, (4, 50), np.uint64), rng.integers(0, 1 << 64, (4, 7), np.uint64)
+    rows[:, 3], rows[:, 9] = need[:, 2], need[:, 6] ^ np.array([0, 0, 0, (1 << 31) - 1], np.uint64)
+    monkeypatch.setattr(packed, "HITS", 5)
+    got = [(int(n), int(i), int(d)) for some in packed.hits(rows, need, radius) for n, i, d in zip(*some)]
+    want = [(j, i, far(need[:, j].tolist(), rows[:, i].tolist())) for j in range(7) for i in range(50)]
+    assert sorted(got) == [x for x in want if x[2] <= radius]
+    assert not list(packed.hits(rows[:, :0], need, radius)) and not list(packed.hits(rows, need[:, :0], radius))
+
+
+def test_packed_scan_in_blocks_and_with_nulls(spark, planted, monkeypatch):
+    hay, needles, expected = planted
+    monkeypatch.setattr(packed, "BLOCK", 64)
+    none = spark.createDataFrame([(77, None, 0, 0, 0)], "id long, w0 long, w1 long, w2 long, w3 long")
+    more = hay.union(none), needles.union(none.withColumn("id", F.lit(9)))
+    assert {tuple(r) for r in Matcher(more[1], 31, "packed").all(more[0]).collect()} == expected
+    assert Matcher(more[1], 31, "scan").all(more[0]).count() == len(expected)
+    wide = Matcher(needles, 256)
+    assert wide.all(hay).count() == 6 * 300
+
+
+def test_packed_is_chosen_by_cost(spark, planted, monkeypatch):
+    hay, needles, _ = planted
+    many = spark.range(100).select(F.col("id").alias("needle_id"), *(F.hash("id", F.lit(k)).cast("long").alias(f"w{k}") for k in range(4)))
+    assert Matcher(many).choose(hay) == "scan"  # a start costs more than so few rows
+    from lumisieve.operators import matching
+
+    monkeypatch.setattr(matching, "_rows", lambda _: 10_000_000)
+    assert Matcher(many).choose(hay) == "packed" and Matcher(needles).choose(hay) == "scan"
+    monkeypatch.setattr(matching, "BROADCAST_NEEDLES", 50)
+    assert Matcher(many).choose(hay) == "scan"  # too many to be brought together

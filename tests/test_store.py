@@ -107,6 +107,7 @@ def test_choice_by_counts(spark, values, tmp_path, monkeypatch):
     monkeypatch.setattr(matching, "FEW", 10)
     assert Matcher(need).choose(hay) == "scan"  # 24 000 pairs are nothing
     monkeypatch.setattr(matching, "SCAN_NS", 10**9)
+    monkeypatch.setattr(matching, "PACKED_NS", 2 * 10**9)
     store = HashStore.create(spark, str(tmp_path / "s"), hay, buckets=4)
     for h in (hay, store):
         m = Matcher(need)
