@@ -55,11 +55,20 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file(spark, path)
+    return system.exists(target)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        system, target = _file(spark, path)
+        system.delete(target, True)
     except Exception:  # the session is gone at exit
         pass
 

@@ -14,8 +14,10 @@ ask for all of them.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import uuid
+from collections.abc import Iterable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -105,6 +107,14 @@ class HashStore:
                 raise
             return {}
 
+    def only(self, batches: Iterable[int]) -> HashStore:
+        """The same store with no batches but these; what is appended later is not seen."""
+        view = copy.copy(self)
+        for known in ("rows", "bounds"):
+            view.__dict__.pop(known, None)
+        view.__dict__["_batches"] = {b: self._batches[b] for b in batches}
+        return view
+
     @cached_property
     def rows(self) -> int:
         return sum(n for n, *_ in self._batches.values())

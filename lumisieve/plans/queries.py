@@ -18,7 +18,7 @@ from ..operators import hashing as H
 from ..operators.matching import Matcher, filter_then_verify as verify
 from ..operators.store import HashStore
 from ..sources import frames as S, sinks
-from ..streaming import pipe
+from ..streaming import pipe, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -706,6 +706,29 @@ def stream_hash(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+@query(
+    _image() + _whole() + _quantize("w", "w") + _gradient() + f""", safe AS (SELECT id, hash, {_WORDS} FROM hashedw),
+    good AS (SELECT safe.* FROM safe JOIN grad USING (id) WHERE g > 90)
+    SELECT n.id AS needle_id, h.id AS image_id, {_DIST} AS dist, (1 - h.id % 2)::BIGINT AS batch FROM good h JOIN safe n ON {_DIST} <= 31
+    WHERE CASE WHEN h.id % 2 = 1 THEN n.id % 3 = 0 ELSE n.id % 3 = 1 OR n.id % 6 = 3 END"""
+)
+def stream_changing_needles(spark, sf_dir):
+    """part as a stream, odd keys first, against images' hashes: needles are added and retired between the batches."""
+    base = folder(spark, "watch")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    own = stored(H.hash_frames(images(spark, sf_dir)).select(F.col("image_id").alias("needle_id"), *WORDS), "needles")
+    kind = F.col("needle_id") % 3
+    book = watch.NeedleBook.create(spark, f"{base}/book", own.where(kind == 0))
+    for turn in (1, 0):
+        parts.where(F.col("p_partkey") % 2 == turn).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        frames = S.synthetic_frames(spark.readStream.schema(parts.schema).parquet(f"{base}/in"))
+        watch.watch(frames, f"{base}/book", f"{base}/out", f"{base}/log").awaitTermination()
+        if turn:
+            book.add(own.where(kind == 1))
+            book.retire(own.where((kind == 0) & (F.col("needle_id") % 2 == 0)))
+    return watch.found(spark, f"{base}/out")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

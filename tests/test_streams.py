@@ -13,7 +13,7 @@ from lumisieve.functions import tables
 from lumisieve.functions.expr import WORDS
 from lumisieve.operators.hashing import hash_frames
 from lumisieve.sources import frames as S, splittable as P
-from lumisieve.streaming import pipe
+from lumisieve.streaming import pipe, watch
 from lumisieve.streaming.stats import FrameRates, soak
 
 
@@ -78,3 +78,67 @@ def test_table_functions(spark):
     assert key(one) == key(hash_frames(frames, "precise").select("image_id", "ord", *WORDS, "threshold", "margin", "quality"))
     with pytest.raises(Exception, match="unknown mode"):
         spark.sql("SELECT h.* FROM test_frames, LATERAL pdq_hash(pixels, fmt, width, height, 'quick') h").collect()
+
+
+def _watched(spark, at, **kinds):
+    q = watch.watch(P.stream_frames(spark, str(at / "in")), str(at / "book"), str(at / "out"), str(at / "log"), **kinds)
+    q.awaitTermination()
+    return {tuple(r) for r in watch.found(spark, str(at / "out")).select("needle_id", "image_id", "dist").collect()}
+
+
+def _needles(spark, rows):
+    return spark.createDataFrame([(k, r.w0 ^ 0b11, r.w1, r.w2, r.w3) for k, r in rows], "needle_id long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_needles_that_change(spark, tmp_path, monkeypatch, few):
+    """Needles added or retired while a stream rests or is tried again reach later frames only."""
+    from lumisieve.operators import matching
+
+    if not few:  # the index, whatever it costs
+        for name, value in (("FEW", 0), ("SCAN_NS", 10**9), ("PACKED_NS", 10**9)):
+            monkeypatch.setattr(matching, name, value)
+    (tmp_path / "in").mkdir()
+    data = np.random.default_rng(8).bytes(262144 * 6)
+    (tmp_path / "in" / "a").write_bytes(data[: 262144 * 3])
+    book = watch.NeedleBook.create(spark, str(tmp_path / "book"), buckets=4)
+    assert _watched(spark, tmp_path) == set()  # a book without needles
+    every = spark.createDataFrame([(k, data[262144 * k : 262144 * (k + 1)], "luma8") for k in range(6)], "image_id long, pixels binary, fmt string")
+    h = sorted(hash_frames(every).collect(), key=lambda r: r.image_id)
+
+    book.add(_needles(spark, [(0, h[0]), (3, h[3]), (4, h[4])]))
+    (tmp_path / "in" / "b").write_bytes(data[262144 * 3 : 262144 * 5])
+    got = _watched(spark, tmp_path)
+    assert {k for k, *_ in got} == {3, 4} and {d for *_, d in got} == {2}  # frame 0 went by before its needle came
+
+    # needle 4 goes, 5 comes, and a batch is lost after its version was written down; what changes then is not seen by it
+    book.retire(spark.createDataFrame([(4,)], "needle_id long"))
+    book.add(_needles(spark, [(5, h[5])]))
+    (tmp_path / "in" / "c").write_bytes(data[262144 * 4 :])
+    with monkeypatch.context() as m:
+        m.setattr(watch.NeedleBook, "match", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            _watched(spark, tmp_path)
+    other = watch.NeedleBook(spark, str(tmp_path / "book"))
+    other.retire(spark.createDataFrame([(5,)], "needle_id long"))
+    other.add(_needles(spark, [(6, h[5])]))
+    again = _watched(spark, tmp_path)
+    assert {k for k, *_ in again - got} == {5} and got < again
+    assert _watched(spark, tmp_path) == again  # nothing new
+
+    (tmp_path / "in" / "d").write_bytes(data[262144 * 5 :])
+    assert {k for k, *_ in _watched(spark, tmp_path) - again} == {6}
+    with pytest.raises(ValueError, match="another checkpoint"):
+        watch.watch(P.stream_frames(spark, str(tmp_path / "in")), str(tmp_path / "book"), str(tmp_path / "out"), str(tmp_path / "new"))
+
+
+def test_views_of_a_store(spark, tmp_path):
+    from lumisieve.operators.store import HashStore
+
+    row = lambda k: spark.createDataFrame([(k, k, 0, 0, 0)], "hash_id long, " + ", ".join(f"{w} long" for w in WORDS))
+    store = HashStore.create(spark, str(tmp_path / "s"), row(1), buckets=2)
+    first = list(store._batches)
+    store.append(row(2))
+    view = store.only(first)
+    assert (view.rows, view.bounds) == (1, (1, 1)) and [r.hash_id for r in view.hashes().collect()] == [1]
+    assert (store.rows, store.bounds) == (2, (1, 2)) and store.only([]).rows == 0
