@@ -721,7 +721,7 @@ def stream_changing_needles(spark, sf_dir):
     book = watch.NeedleBook.create(spark, f"{base}/book", own.where(kind == 0))
     for turn in (1, 0):
         parts.where(F.col("p_partkey") % 2 == turn).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        frames = S.synthetic_frames(spark.readStream.schema(parts.schema).parquet(f"{base}/in"))
+        frames = S.synthetic_frames(_dealt(spark.readStream.schema(parts.schema).parquet(f"{base}/in"), "p_partkey"))
         watch.watch(frames, f"{base}/book", f"{base}/out", f"{base}/log").awaitTermination()
         if turn:
             book.add(own.where(kind == 1))
