@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.hashing import hash_frames
+from ..operators.hashing import Made, hash_frames
 from ..operators.matching import Matcher
 from ..sources.sinks import parse, records
 from ..sources.splittable import SINK, register
 
 
-def pipe(frames: DataFrame, mode: str = "variant", dihedrals: bool = False) -> DataFrame:
+def pipe(frames: DataFrame | Made, mode: str = "variant", dihedrals: bool = False) -> DataFrame:
     """Hashes of a stream of frames; stateless, so rows go out as they come."""
     return hash_frames(frames, mode, dihedrals)
 
