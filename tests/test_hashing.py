@@ -162,3 +162,18 @@ def test_quality_in_the_image_domain():
     x = rng.random((127, 127))
     want = sum(abs(x[i + 1, j] - x[i, j]) for i in range(126) for j in range(127)) + sum(abs(x[i, j + 1] - x[i, j]) for i in range(127) for j in range(126))
     assert abs(H.plane_quality(x) - want / 255 / 90) < 1e-9 and H.plane_quality(x * 255) == 1.0
+
+
+def test_a_threshold_is_worked_out_once_a_row(spark):
+    """Not once for each coefficient: a random one decides all bits of a row alike."""
+    rows = spark.range(40).select(F.array_repeat(F.lit(0.5), 256).alias("pdqf"))
+    got = {r.bits for r in rows.select(X.bits(F.col("pdqf"), F.rand(3)).alias("bits")).collect()}
+    assert got == {"0" * 256, "1" * 256}
+
+
+def test_cells_of_a_report_are_made_once(spark, sf):
+    """Not once for each of its sixteen lines."""
+    from lumisieve.plans import queries as Q
+
+    plan = Q.queries()["format_diagnostic"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(cells#" in plan
