@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS
 from ..functions.runtime import exists
-from ..operators.hashing import hash_frames
+from ..operators.hashing import Made, hash_frames
 from ..operators.matching import Matcher
 from ..operators.store import HashStore
 
@@ -105,26 +105,28 @@ def pinned(book: NeedleBook, path: str) -> Version:
     return Version(tuple(have.added), tuple(have.retired))
 
 
-def watch(frames: DataFrame, book: str, out: str, checkpoint: str, radius: int = DEFAULT_RADIUS, least_quality: float = 0.5, **trigger) -> StreamingQuery:
+def watch(frames: DataFrame | Made, book: str, out: str, checkpoint: str, radius: int = DEFAULT_RADIUS, least_quality: float = 0.5, **trigger) -> StreamingQuery:
     """Screens a stream of frames (image_id, pixels, fmt) against the book at a path; :func:`found` reads what is under ``out``.
 
     trigger: as for writeStream.trigger; what is there is taken and the query ends if none is given.
     An ``out`` folder belongs to one checkpoint: batches are numbered by it.
     """
     spark, out = frames.sparkSession, out.rstrip("/")
+    make = frames.make if isinstance(frames, Made) else None
+    rows = frames.rows if make else frames
     if exists(spark, f"{out}/_versions") and not exists(spark, f"{checkpoint}/metadata"):
         raise ValueError(f"{out} has results of another checkpoint")
 
     def screen(batch: DataFrame, number: int) -> None:
         mine = NeedleBook(batch.sparkSession, book)
         seen = pinned(mine, f"{out}/_versions/{number}")
-        hashes = hash_frames(batch).where(F.col("quality") > least_quality).select("image_id", *WORDS)
+        hashes = hash_frames(Made(batch, make) if make else batch).where(F.col("quality") > least_quality).select("image_id", *WORDS)
         # hashed once for the count and the match, in a place that the next batch takes over
         hashes.write.mode("overwrite").parquet(f"{out}/_hashes")
         hashes = batch.sparkSession.read.schema(hashes.schema).parquet(f"{out}/_hashes")
         mine.match(hashes, seen, radius).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return frames.writeStream.foreachBatch(screen).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return rows.writeStream.foreachBatch(screen).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def found(spark: SparkSession, out: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_tent_sums_are_the_sampler(mode):
             want = 81 * C.sampler(mode) @ luma @ C.sampler(mode).T
             got = H.tent(px, mode)
             assert got.dtype.kind in "iu" and np.abs(got - want).max() < 1e-6 * one
+
+
+def test_candidates_are_picked_before_frames_are_made(spark):
+    """A second pass joins narrow rows, never pixels."""
+    from lumisieve.functions.expr import WORDS
+    from lumisieve.operators.matching import filter_then_verify
+
+    parts = spark.createDataFrame([(k, k % 50 + 1) for k in range(1, 41)], "p_partkey long, p_size int")
+    made = S.synthetic(parts)
+    plan = made.among(parts.selectExpr("p_partkey AS image_id")).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "pixels" not in plan and "MapInArrow" not in plan
+    need = H.hash_frames(made, "precise").selectExpr("image_id AS needle_id", *WORDS)
+    pairs = lambda f: sorted(filter_then_verify(f, need).collect())
+    assert pairs(made) == pairs(S.synthetic_frames(parts))
