@@ -119,3 +119,15 @@ def test_language_scores_do_not_depend_on_the_cache(spark, small, table, monkeyp
     for kept in (0, 50):
         monkeypatch.setattr(langid, "CACHE_WORDS", kept)
         assert found() == want
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Pairs in one bucket that no pivot brings together are compared too."""
+    n, empty = 120, "key long, node long"
+    posts = spark.range(n).selectExpr("7L AS key", "id AS node").union(spark.range(n).selectExpr("id + 100 AS key", "id AS node"))
+
+    def verify(nodes):
+        return spark.range(n).selectExpr("id AS node", "20 AS size"), lambda pairs: pairs.where("u div 2 = v div 2")
+
+    comp = linkage.gather(posts, lambda nodes, turn: spark.createDataFrame([], empty), verify, lambda a, b: a == b, Scratch(spark, "test"))
+    assert sorted((r.node, r.comp) for r in comp.collect()) == [(k, k - k % 2) for k in range(n)]
