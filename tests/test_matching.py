@@ -111,3 +111,39 @@ def test_packed_is_chosen_by_cost(spark, planted, monkeypatch):
     assert Matcher(many).choose(hay) == "packed" and Matcher(needles).choose(hay) == "scan"
     monkeypatch.setattr(matching, "BROADCAST_NEEDLES", 50)
     assert Matcher(many).choose(hay) == "scan"  # too many to be brought together
+
+
+@pytest.mark.parametrize("few, members, sent", [(100_000, 1000, 4_000_000), (3, 2, 0)])
+def test_rows_with_one_hash_are_compared_once(spark, planted, monkeypatch, few, members, sent):
+    """Copies on both sides give all their pairs, but only different hashes are compared."""
+    from lumisieve.operators import matching
+
+    hay, needles, expected = planted
+    monkeypatch.setattr(matching, "BROADCAST_NEEDLES", few)
+    monkeypatch.setattr(matching, "MEMBERS", members)
+    monkeypatch.setattr(matching, "SENT_MEMBERS", sent)
+    compared = []
+    real = Matcher.all
+    monkeypatch.setattr(Matcher, "all", lambda self, rows: compared.append((self.count, rows.count())) or real(self, rows))
+    copies = lambda t, c, k, step: t.crossJoin(spark.range(k).withColumnRenamed("id", "copy")).select((F.col(c) + step * F.col("copy")).alias(c), *(f"w{i}" for i in range(4)))
+    none = spark.createDataFrame([(77, None, 0, 0, 0)], "id long, w0 long, w1 long, w2 long, w3 long")
+    big = lambda: matching.all_distinct(copies(needles, "needle_id", 5, 100).union(none), copies(hay, "hash_id", 7, 1000).union(none))
+    want = sorted((n + 100 * a, i + 1000 * b, d) for n, i, d in expected for a in range(5) for b in range(7))
+    assert sorted(map(tuple, big().collect())) == want and compared == [(6, 300)]
+    # the other way round, the fewer are still those brought together
+    turned = matching.all_distinct(copies(hay, "hash_id", 7, 1000).withColumnRenamed("hash_id", "needle_id"), copies(needles, "needle_id", 5, 100).withColumnRenamed("needle_id", "hash_id"))
+    assert sorted((h, n, d) for n, h, d in turned.collect()) == want and compared == [(6, 300)] * 2
+
+
+def test_many_needles_are_packed_in_blocks_where_bands_are_alike(spark, monkeypatch):
+    from lumisieve.operators import matching
+
+    monkeypatch.setattr(matching, "BROADCAST_NEEDLES", 10)
+    monkeypatch.setattr(matching, "START_NS", 0)
+    monkeypatch.setattr(matching, "HANDED_NS", 0)
+    ways = []
+    real = Matcher._scanned
+    monkeypatch.setattr(Matcher, "_scanned", lambda self, rows, way="scan": ways.append(way) or real(self, rows, way))
+    rows = spark.range(60).select(F.col("id").alias("needle_id"), *(F.expr(f"shiftleft(1L, CAST(id % 30 AS INT)) AS {w}") for w in ("w0", "w1", "w2", "w3")))
+    got = matching.all_distinct(rows, rows.withColumnRenamed("needle_id", "hash_id"))
+    assert got.count() == 60 * 60 and ways == ["packed"]
