@@ -70,3 +70,20 @@ def test_candidates_are_picked_before_frames_are_made(spark):
     need = H.hash_frames(made, "precise").selectExpr("image_id AS needle_id", *WORDS)
     pairs = lambda f: sorted(filter_then_verify(f, need).collect())
     assert pairs(made) == pairs(S.synthetic_frames(parts))
+
+
+def test_table_function_makes_its_frames(spark, sf):
+    """pdq_dihedrals over made frames, without pixels in the plan."""
+    from lumisieve.functions import tables
+    from lumisieve.operators import hashing
+    from lumisieve.plans import queries
+
+    made = queries.images(spark, sf)
+    tables.register_made(spark, "made_dihedrals", made)
+    made.rows.createOrReplaceTempView("made_rows")
+    got = spark.sql("SELECT image_id, h.ord, h.w0, h.w1, h.w2, h.w3 FROM made_rows, LATERAL made_dihedrals(image_id, p_size) h")
+    assert "pixels" not in got._jdf.queryExecution().toString()
+    want = hashing.hash_frames(made, dihedrals=True).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        tables.register_made(spark, "no", made, "exact")
