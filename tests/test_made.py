@@ -87,3 +87,15 @@ def test_table_function_makes_its_frames(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError):
         tables.register_made(spark, "no", made, "exact")
+
+
+def test_both_modes_in_one_pass(spark, sf):
+    """Rows that are no frames stay with nulls; nothing is joined."""
+    frames = Q.images(spark, sf).frames().unionByName(spark.createDataFrame([(-1, None, "luma8", 512, 512)], "image_id long, pixels binary, fmt string, width int, height int"))
+    got = H.hash_modes(frames)
+    fast, slow = (H.hash_frames(frames, mode).select("image_id", "w0", "w1", "w2", "w3") for mode in C.MODES)
+    want = {r[0]: tuple(r)[1:] for r in fast.collect()}
+    for r in slow.collect():
+        want[r[0]] += tuple(r)[1:]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want and want[-1] == (None,) * 8
+    assert "Join" not in Q.queries()["variant_vs_precise_distance"](spark, sf)._jdf.queryExecution().toString()
