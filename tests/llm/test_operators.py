@@ -16,7 +16,7 @@ from brute import alnum, contamination, deduped_lines, edit_distance, jaccard_gr
 from pyspark.sql import functions as F
 
 from lumisieve.llm.scratch import Scratch
-from lumisieve.llm import chat, decontaminate, jaccard, langid, linededup, lmscore, packing, quality, queries, textvec as T, toxicity, urlrules
+from lumisieve.llm import chat, decontaminate, edits, jaccard, langid, linededup, lmscore, packing, quality, queries, textvec as T, toxicity, urlrules
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,6 +125,42 @@ def test_grouping_in_turns_finds_what_union_find_finds(spark, table):
     assert {i for i in texts if not got[i][0]} == {g * 10 for g in range(40)}
 
 
+def test_line_filters_lose_no_pair_and_leave_out_most_others(small):
+    """Edits of a fifth pass the letter pairs of short lines; promising pairs pass the cells of others, and strange ones do not."""
+    rng = np.random.default_rng(11)
+    lines = sorted({" ".join(w) for t in small.values() for x in (t or "").split("\n") if (w := alnum(x))})
+    short = [x for x in lines if 5 <= len(x) < 64] + ["été 中文 zwölf ñandú", "aaaaaaaaaa", "ababababab"]
+    changed = []
+    for x in short:
+        for _ in range(len(x) // 5):
+            at, kind = int(rng.integers(len(x))), int(rng.integers(3))
+            x = x[:at] + ("é", "", "q" + x[at])[kind] + x[at + 1 :]
+        changed.append(x)
+    most = np.array([max(len(x), len(y)) // 5 * 2 for x, y in zip(short, changed)])
+    a, b = (linededup.letter_pairs(pa.array(t, pa.string())) for t in (short, changed))
+    assert all((np.bitwise_count(p & ~q).sum(axis=0) <= most).all() for p, q in ((a, b), (b, a)))
+
+    long = [x for x in lines if 100 <= len(x) < 2000][:300]
+    phrase = " a passage that is in all of them "
+    one = [x[:50] + phrase + x[50:] for x in long]
+    near = []
+    for x in one:
+        chars = list(x)
+        for at in rng.choice(len(x), len(x) // int(rng.integers(6, 12)), replace=False):
+            chars[at] = "q"
+        near.append("".join(chars))
+    for two, share in ((near, 1.0), (one[1:] + one[:1], 0.2)):
+        size = np.array([[len(t) for t in x] for x in (one, two)])
+        (x, m), (y, n) = (linededup.gram_cells(*T.buffers(pa.array(t, pa.string())), s) for t, s in zip((one, two), size))
+        ids = np.arange(len(one))
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, ids, *size, m, n)] + [pa.array([r.tobytes() for r in c], pa.binary()) for c in (x, y)], list("uvmnxyab"))
+        kept = np.asarray(next(linededup._may_share([batch])).column(0))
+        fit = 5 * abs(size[0] - size[1]) <= size.max(axis=0)
+        hope = edits.promising(pa.array(one), pa.array(two), size.max(axis=0))
+        assert set(ids[hope & fit]) <= set(kept)
+        assert len(kept) <= max(share * len(ids), 1.5 * hope.sum())
+
+
 def test_block_layouts_lose_no_pair():
     rng = np.random.default_rng(1)
     for nodes in (10, 10**4, 10**7, 10**9):
