@@ -47,8 +47,9 @@ BEGIN = T.mix(np.array([0x5EED0B39], T.U))[0]
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all documents, ends included, and counts before documents."""
-    starts, ends, bounds = T.spans(T.LOWER[data], offs, T.NOT_SPACE)
-    words = T.span_hashes(T.LOWER[data], starts, ends)
+    data = T.LOWER[data]
+    starts, ends, bounds = T.spans(data, offs, T.NOT_SPACE)
+    words = T.span_hashes(data, starts, ends)
     docs = len(offs) - 1
     out = np.empty(len(words) + docs, T.U)
     out[np.arange(len(words)) + T.owners(bounds)] = words
@@ -114,7 +115,7 @@ def _ask(order: int, parts: int, wanted: tuple[int, ...]):
                 continue
             keys, code = np.unique(key, return_inverse=True)
             t = np.bincount(code, train[doc], len(keys)).astype(np.int64)
-            d = np.bincount(code, deleted[doc], len(keys)).astype(np.int64)
+            d = np.bincount(code, deleted[doc], len(keys)).astype(np.int64) if deleted.any() else np.zeros_like(t)
             edge = np.searchsorted(keys, np.array([(p << 64) // parts for p in range(1, parts)], T.U)) if parts > 1 else np.zeros(0, np.int64)
             edge = np.concatenate([[0], edge, [len(keys)]]).astype(np.int64)
             for p in range(parts):
@@ -193,21 +194,21 @@ def _estimates(table: pa.Table, answers: pa.Table, order: int, minus: bool):
     minus: deleted counts are taken off.
     """
     tok, cut = _load(table)
-    gram = grams(tok, cut, order)
     part, kind = np.asarray(answers.column("part")), np.asarray(answers.column("n"))
-    seen, maps = [], []
+    counts = []  # of each n: at every token, and at the start of every document
     for n, (key, _) in enumerate(_keys(tok, cut, order), 1):
-        keys = np.unique(key)
+        _, code = np.unique(key, return_inverse=True)
         rows = [i for i in np.flatnonzero(kind == n)[np.argsort(part[kind == n], kind="stable")]]
         both = [_unpack(answers.column("counts")[int(i)].as_py(), 2) for i in rows]
         t, d = (np.concatenate([x[j] for x in both]) for j in range(2))
-        maps.append((keys, t - d if minus else t))
-    count = lambda n, key: maps[n - 1][1][T.lookup(maps[n - 1][0], key)[0]]
-    unigram = count(1, tok)
+        counts.append((t - d if minus else t)[code])
+    unigram = counts[0][: len(tok)]
     ratios, where = [], None
     for n in range(2, order + 1):
-        c = count(n - 1, context(tok, cut, n, gram))
-        ratios.append(count(n, gram[n - 1]) / np.maximum(c, 1))
+        c = np.empty(len(tok), np.int64)  # of the n-1 tokens before
+        c[1:] = counts[n - 2][: len(tok) - 1]
+        c[cut[:-1]] = counts[n - 2][len(tok) :]
+        ratios.append(counts[n - 1][: len(tok)] / np.maximum(c, 1))
         where = c
     return tok, cut, unigram, ratios, bucket(where if where is not None else np.zeros(len(tok), np.int64))
 
@@ -288,6 +289,7 @@ def score(docs: DataFrame, train: F.Column, order: int = ORDER) -> DataFrame:
         asked = rows.groupBy("chunk").applyInArrow(_ask(order, parts, wanted), "part int, chunk long, n int, keys binary, counts binary")
         some = scratch.table(asked.groupBy("part").applyInArrow(_answer, "chunk long, n int, part int, counts binary"))
         answers = some if answers is None else answers.unionByName(some)
+        scratch.settle()  # the next order's shuffle would stand beside this one's
     total = kinds = held_total = held_kinds = 0
     for r in answers.where("chunk < 0").select("counts").collect():
         a = np.frombuffer(bytes(r.counts), "<i8").tolist()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import functools
 import gc
+import time
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -104,6 +105,13 @@ class Scratch:
             self.spark.sparkContext._jvm.System.gc()
         return back
 
+    def settle(self) -> None:
+        """Gives Spark the time to delete the shuffle files of what is written: listeners hold on to them for a moment."""
+        for _ in range(3):
+            time.sleep(1)
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+
     def counted(self, df: DataFrame, tidy: bool = True) -> tuple[DataFrame, int]:
         """The table, and its number of rows, counted while it is written."""
         seen = Observation()

@@ -286,6 +286,27 @@ def test_language_model(order, table, small, edges, monkeypatch):
     assert sum(got[d][4] for d in held) > sum(got[d][3] for d in held)
 
 
+def test_language_model_counts_come_without_searches(monkeypatch):
+    """Counts of n-grams and contexts, starts and empty texts included, are those of plain Python; no token is searched for."""
+    monkeypatch.setattr(T, "lookup", None)
+    texts = ["a b a b c", "", "b A b", "a"]
+    table = pa.table({"text": texts, "chunk": pa.array([3] * 4), "train": [True, True, False, True], "deleted": [False, False, False, True]})
+    answers = lmscore._answer(lmscore._ask(3, 1, (1, 2, 3))(table))
+    answers = answers.filter(pa.array(np.asarray(answers.column("chunk")) >= 0))
+    rows = [["^", "^", *t.lower().split(), "$"] for t in texts]
+    for minus in (False, True):
+        seen = Counter()
+        for row, learned in zip(rows, [1, 1, 0, 0 if minus else 1]):
+            for i in range(2, len(row)):
+                seen.update({tuple(row[i - k : i + 1]): learned for k in range(3)})
+            seen.update({("^",): learned, ("^", "^"): learned})
+        _, _, unigram, ratios, _ = lmscore._estimates(table, answers, 3, minus)
+        at = [(row, i) for row in rows for i in range(2, len(row))]
+        assert unigram.tolist() == [seen[(row[i],)] for row, i in at]
+        for k, ratio in enumerate(ratios, 1):
+            assert ratio.tolist() == [seen[tuple(row[i - k : i + 1])] / max(1, seen[tuple(row[i - k : i])]) for row, i in at]
+
+
 def test_language_model_estimates():
     """Interpolated estimates sum to one over the vocabulary and one unknown word, in every context seen."""
     docs = ["a b a c", "b a b", "c"]
