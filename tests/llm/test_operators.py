@@ -125,6 +125,27 @@ def test_grouping_in_turns_finds_what_union_find_finds(spark, table):
     assert {i for i in texts if not got[i][0]} == {g * 10 for g in range(40)}
 
 
+def test_large_buckets_are_compared_in_tasks_once_for_each_pair(spark, small):
+    """In parts and by passes, each pair that shares keys is found once, and no row is made for those that do not hold."""
+    rng = np.random.default_rng(12)
+    lines = sorted({" ".join(w) for t in small.values() for x in (t or "").split("\n") if 40 <= len(x) <= 120 and (w := alnum(x))})[:12]
+    texts = [*lines, *(x[:-1] + "q" for x in lines), *("y" + x[1:] for x in lines)]
+    keys = [sorted(rng.choice(5, int(rng.integers(1, 5)), replace=False).tolist()) for _ in texts]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "node long, norm string, size int")
+    rows = spark.createDataFrame([(k, i, len(x), i, 36, 36 * 100) for i, x in enumerate(texts) for k in keys[i]], "key long, node long, size int, comp long, many long, bytes long")
+    expected = {(i, j) for i in range(len(texts)) for j in range(i) if set(keys[i]) & set(keys[j]) and 5 * edit_distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j]))}
+    members = linededup.MEMBERS
+    for most, passes in ((members, 1), (10, 3)):
+        linededup.MEMBERS = most
+        try:
+            scratch = Scratch(spark, "together")
+            got = [(max(r), min(r)) for found in linededup._together(rows, docs, linededup._sketched(docs), scratch, passes) for r in found.collect()]
+            scratch.close()
+        finally:
+            linededup.MEMBERS = members
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_line_filters_lose_no_pair_and_leave_out_most_others(small):
     """Edits of a fifth pass the letter pairs of short lines; promising pairs pass the cells of others, and strange ones do not."""
     rng = np.random.default_rng(11)
