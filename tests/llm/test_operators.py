@@ -536,3 +536,24 @@ def test_toxicity_scores_by_hand(spark, small, edges, table):
                 total[c] += n
         z = -0.25 + sum(weights[c] * math.log1p(toxicity.SCALE * n / len(w)) for c, n in total.items())
         assert got[d][0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9), d
+
+
+def test_bounded_edit_distances_are_exact_up_to_the_bound():
+    """Within the bound they are those of plain dynamic programming, beyond it they are above it; counts lose no pair within it."""
+    rng = np.random.default_rng(4)
+    one, two = [], []
+    for k in range(90):
+        x = list(rng.choice(list("abcdeé "[: 3 + k % 5]), int(rng.integers(1, [60, 150, 400][k % 3]))))
+        y = list(x)
+        for _ in range(int(len(x) * rng.random() * 0.4)):
+            p = int(rng.integers(0, len(y)))
+            y[p : p + int(rng.integers(0, 2))] = list(rng.choice(list("abcé"), int(rng.integers(0, 2)))) if len(y) > 1 else ["z"]
+        one.append("".join(x)), two.append("".join(y[len(y) // 5 :] + y[: len(y) // 5] if k % 7 == 0 else y))
+    (a, at), (b, bt) = (T.code_points(pa.array(x)) for x in (one, two))
+    want = np.array([edit_distance(x, y) for x, y in zip(one, two)])
+    assert edits.distances(a, at, b, bt).tolist() == want.tolist()
+    for share in (2, 5, 12):
+        most = np.maximum(np.diff(at), np.diff(bt)) // share
+        got = edits.distances(a, at, b, bt, most)
+        assert (np.where(want <= most, got, most + 1) == np.minimum(want, most + 1)).all() and (got > most)[want > most].all()
+        assert edits.counts_allow(np.asarray(a), at, np.asarray(b), bt, most)[want <= most].all()
