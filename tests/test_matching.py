@@ -147,3 +147,32 @@ def test_many_needles_are_packed_in_blocks_where_bands_are_alike(spark, monkeypa
     rows = spark.range(60).select(F.col("id").alias("needle_id"), *(F.expr(f"shiftleft(1L, CAST(id % 30 AS INT)) AS {w}") for w in ("w0", "w1", "w2", "w3")))
     got = matching.all_distinct(rows, rows.withColumnRenamed("needle_id", "hash_id"))
     assert got.count() == 60 * 60 and ways == ["packed"]
+
+
+def test_equal_hashes_keep_their_ids(spark):
+    """An id at two hashes, a null id and a repeated row have the pairs that plain matching gives."""
+    from lumisieve.operators import matching
+
+    rows = [(1, 0), (1, 3), (None, 0), (2, 7), (2, 7), (3, -1)]
+    need = spark.createDataFrame([(k, w, 0, 0, 0) for k, w in rows], "needle_id long, w0 long, w1 long, w2 long, w3 long")
+    key = lambda t: sorted(map(str, map(tuple, t.collect())))
+    hay = need.withColumnRenamed("needle_id", "hash_id")
+    assert key(matching.all_distinct(need, hay, 2)) == key(Matcher(need, 2, "scan").all(hay))
+    assert key(matching.distinct_near(need.limit(2), hay, 2)) == key(Matcher(need.limit(2), 2, "scan").semi(hay))
+
+
+def test_copies_of_a_frame_are_compared_once(spark, monkeypatch):
+    """filter_then_verify compares different hashes, however many frames have them."""
+    from lumisieve.operators import matching
+    from lumisieve.operators.hashing import hash_frames
+    from lumisieve.sources.frames import synthetic_frames
+
+    frames = synthetic_frames(spark.createDataFrame([(k, k % 50 + 1) for k in range(1, 13)], "p_partkey long, p_size int"))
+    copies = frames.crossJoin(spark.range(5).withColumnRenamed("id", "copy")).withColumn("image_id", F.col("image_id") + 100 * F.col("copy")).drop("copy")
+    need = lambda t: hash_frames(t, "precise").selectExpr("image_id AS needle_id", "w0", "w1", "w2", "w3")
+    one = matching.filter_then_verify(frames, need(frames)).collect()
+    sides, real = [], matching.Matcher.all
+    monkeypatch.setattr(matching.Matcher, "all", lambda self, rows: sides.append(max(self.count, rows.count())) or real(self, rows))
+    got = matching.filter_then_verify(copies, need(copies)).collect()
+    assert sorted(map(tuple, got)) == sorted((i + 100 * a, n + 100 * b, d) for i, n, d in one for a in range(5) for b in range(5))
+    assert one and sides and max(sides) <= 12
