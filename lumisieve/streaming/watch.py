@@ -8,7 +8,8 @@ tried again, after a lost driver too, is matched against the same version and
 replaces what it had written, so results do not depend on failures.
 
 Frames of a batch are the smaller side: their hashes are what is looked up in the store, by
-scan or index as their numbers ask, and the needles are never moved.
+scan or index as their numbers ask, and the needles are not moved - unless comparing all rows would cost
+more than to bring equal hashes of both sides together, and then different hashes are compared once.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.constants import DEFAULT_RADIUS
 from ..functions.expr import WORDS
-from ..functions.runtime import exists
+from ..functions.runtime import exists, passing, stored
 from ..operators.hashing import Made, hash_frames
-from ..operators.matching import Matcher
+from ..operators.matching import Matcher, all_distinct
 from ..operators.store import HashStore
 
 FOUND = "needle_id long, image_id long, dist int"
@@ -81,9 +82,16 @@ class NeedleBook:
 
     def match(self, hashes: DataFrame, version: Version, radius: int = DEFAULT_RADIUS) -> DataFrame:
         """(needle_id, image_id, dist) of hashes (image_id, w0..w3) within the radius of a version's live needles."""
-        found = Matcher(hashes.select(F.col("image_id").alias("needle_id"), *WORDS), radius).all(self.needles(version))
+        store, retired = self.needles(version), self.retired(version)
+        asked = Matcher(hashes.select(F.col("image_id").alias("needle_id"), *WORDS), radius)
+        if asked.better_grouped(store):
+            live = store.hashes().withColumnRenamed("hash_id", "needle_id")
+            live = stored(live.join(retired, "needle_id", "left_anti") if version.retired else live, "live")
+            found = all_distinct(live, hashes.withColumnRenamed("image_id", "hash_id"), radius)
+            return found.select("needle_id", F.col("hash_id").alias("image_id"), "dist")
+        found = asked.all(store)
         pairs = found.select(F.col("hash_id").alias("needle_id"), F.col("needle_id").alias("image_id"), "dist")
-        return pairs.join(self.retired(version), "needle_id", "left_anti") if version.retired else pairs
+        return pairs.join(retired, "needle_id", "left_anti") if version.retired else pairs
 
 
 def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -124,7 +132,8 @@ def watch(frames: DataFrame | Made, book: str, out: str, checkpoint: str, radius
         # hashed once for the count and the match, in a place that the next batch takes over
         hashes.write.mode("overwrite").parquet(f"{out}/_hashes")
         hashes = batch.sparkSession.read.schema(hashes.schema).parquet(f"{out}/_hashes")
-        mine.match(hashes, seen, radius).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with passing(batch.sparkSession):
+            mine.match(hashes, seen, radius).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(screen).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -142,3 +142,22 @@ def test_views_of_a_store(spark, tmp_path):
     view = store.only(first)
     assert (view.rows, view.bounds) == (1, (1, 1)) and [r.hash_id for r in view.hashes().collect()] == [1]
     assert (store.rows, store.bounds) == (2, (1, 2)) and store.only([]).rows == 0
+
+
+def test_a_book_groups_equal_hashes_when_all_rows_cost_more(spark, tmp_path, monkeypatch):
+    """Pairs are those of plain matching, retired needles are left out, and nothing that was stored for it stays."""
+    from lumisieve.functions.runtime import passing
+    from lumisieve.operators import matching
+
+    book = watch.NeedleBook.create(spark, str(tmp_path / "book"), buckets=4)
+    words = "CAST(id % 3 AS LONG) AS w0, 0L AS w1, 0L AS w2, 0L AS w3"
+    book.add(spark.sql(f"SELECT id AS needle_id, {words} FROM range(40)"))
+    book.retire(spark.createDataFrame([(4,), (5,)], "needle_id long"))
+    batch, now = spark.sql(f"SELECT id AS image_id, {words} FROM range(70)"), book.version()
+    key = lambda: sorted(map(tuple, book.match(batch, now, 1).select("needle_id", "image_id", "dist").collect()))
+    want, compared, real = key(), [], matching.all_distinct
+    monkeypatch.setattr(watch, "all_distinct", lambda *x: compared.append(x) or real(*x))
+    for name in ("GROUP_NS", "GROUPS_NS"):
+        monkeypatch.setattr(matching, name, 0)
+    with passing(spark):
+        assert key() == want and compared and not {4, 5} & {n for n, *_ in want}
